@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
 
-from . import crf_quality, media, pu_toxicity, simhash, url_filter
+from . import crf_quality, decontaminate, media, packing, pu_toxicity, simhash, url_filter
 from .common import table
 
+TOKENIZER = tokenizer_path("word_bpe_49k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -35,12 +41,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encode = packing.word_encoder(TOKENIZER)
+    packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), encode))
+    return packed.withColumn("length", F.col("length").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_media_columns": op2_media_columns,
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op8_toxicity": op8_toxicity,
+    "op10_packing": op10_packing,
 }
 
 OP4_SQL = r"""
