@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import crf_quality, decontaminate, media, packing, pu_toxicity, simhash, url_filter
+from . import crf_quality, decontaminate, media, packing, pii, pu_toxicity, simhash, url_filter
 from .common import table
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -41,6 +41,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = packing.word_encoder(TOKENIZER)
     packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), encode))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
