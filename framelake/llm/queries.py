@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import crf_quality, decontaminate, media, packing, pii, pu_toxicity, simhash, url_filter
+from . import crf_quality, decontaminate, html_template, media, packing, pii, pu_toxicity, simhash, url_filter
 from .common import table
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -54,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_media_columns": op2_media_columns,
+    "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
