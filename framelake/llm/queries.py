@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from . import crf_quality, decontaminate, html_template, media, packing, pii, pu_toxicity, simhash, url_filter
+from . import crf_quality, decontaminate, html_template, media, packing, pii, pu_toxicity, simhash, suffix_dedup, url_filter
 from .common import table
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -41,6 +41,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
