@@ -176,6 +176,6 @@ def pack(found: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
 def _chained(moves: DataFrame, step: DataFrame) -> DataFrame:
     """Where the bins of earlier rounds are after one more."""
     later = step.select(F.col("item").alias("__item"), F.col("to").alias("__to"), F.col("shift").alias("__shift"))
-    return moves.join(later, moves.to == later["__item"], "left").select(
+    return moves.join(later, moves["to"] == later["__item"], "left").select(
         "item", F.coalesce("__to", "to").alias("to"), (F.col("shift") + F.coalesce("__shift", F.lit(0))).alias("shift")
     )
