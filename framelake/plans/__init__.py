@@ -1 +1 @@
-"""plans"""
+"""Registered queries over the test tables."""
