@@ -165,7 +165,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
         )
         step = packed.select("item", F.col("bin").alias("to"), F.col("offset").alias("shift"))
         moves = step if moves is None else checkpointed(_chained(moves, step))
-        loose = packed.where(F.col("fill") < int(capacity * nearly_full)).select(F.col("bin").alias("item"), F.col("fill").alias("size"), "part").distinct()
+        left = packed.where(F.col("fill") < int(capacity * nearly_full))
+        loose = left.groupBy(F.col("bin").alias("item")).agg(F.max("fill").alias("size"), F.min("part").alias("part"))
         level += 1
     if moves is None:
         return local.select(*cols, F.col("bin").alias("sequence_id"), "offset")
