@@ -5,7 +5,7 @@ others are looked up in a table of the benchmark's hashes, and every hit names a
 and the diagonal on which they lie. The diagonal is then compared token by token: an overlap counts
 if some window of ``WINDOW`` aligned tokens has at most ``SUBSTITUTIONS`` differences (for shorter
 items: the whole item, with at most a fifth of its tokens). The three masks hit every such window
-of ``WINDOW`` tokens wherever its substitutions are.
+of ``WINDOW`` tokens wherever its substitutions are; a short one does so for shorter items.
 
 The benchmark's table goes to the tasks in blocks of bounded size; documents are never shuffled.
 """
@@ -26,6 +26,8 @@ from .common import id_text, small_batches
 
 WINDOW, SUBSTITUTIONS = 15, 3
 MASKS = ("1111011", "11001000111", "11010110001")
+#: For items shorter than the window: of their tokens, less a fifth, some three lie together.
+SHORT_MASK = "111"
 #: Shorter items are no evidence and are left out.
 MIN_ITEM = 8
 #: Benchmark tokens in one block; each block is one pass over the documents.
@@ -66,10 +68,11 @@ def build(items: list[tuple[int | None, list[str]]]) -> Block:
     flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for _, ws in items for w in ws], np.int64)
     first = np.cumsum([0, *(len(ws) for _, ws in items)])
     tables = []
-    for mask in MASKS:
+    for mask in (*MASKS, SHORT_MASK):
         h = seed_hashes(flat, mask)
         at = np.arange(len(h))
-        at = at[at + len(mask) <= first[np.searchsorted(first, at, "right")]] if len(h) else at
+        end = np.searchsorted(first, at, "right")
+        at = at[(at + len(mask) <= first[end]) & ((mask != SHORT_MASK) | (first[end] - first[end - 1] < WINDOW))]
         at = at[np.argsort(h[at], kind="stable")]
         bits = np.zeros(1 << _BITS, bool)
         bits[h[at] >> np.uint64(64 - _BITS)] = True
@@ -100,8 +103,10 @@ def find(block: Block, texts: list[str]) -> list[tuple[int, int, int, int, int,
     size = np.array([len(w) for w in words], np.int64)
     start = np.cumsum(size) - size
     ids = np.fromiter((get(w, -1) for ws in words for w in ws), np.int64, int(size.sum()))
-    hits = []
-    for mask, (table, at, bits) in zip(MASKS, block.tables, strict=True):
+    hits = [np.empty((0, 3), np.int64)]
+    for mask, (table, at, bits) in zip((*MASKS, SHORT_MASK), block.tables, strict=True):
+        if not len(table):
+            continue
         h = seed_hashes(ids, mask)
         pos = np.flatnonzero(bits[h >> np.uint64(64 - _BITS)])
         lo, hi = np.searchsorted(table, h[pos], "left"), np.searchsorted(table, h[pos], "right")
