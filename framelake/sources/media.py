@@ -31,22 +31,37 @@ def media_catalog(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("kind", kind)
 
 
-def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
+#: Larger files are split into ranges of whole records and read by many tasks.
+SPLIT_ABOVE = 256 << 20
+_FIXED = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+
+
+def _records(spark: SparkSession, path: str, size: int, split_above: int | None = None) -> DataFrame:
     """``file, record, data``: whole records of ``size`` bytes, numbered per file, and a short last one.
 
-    ``sc.binaryRecords`` splits files at record borders but drops file names and tails, so each file's
-    size gives the ranges and a task reads its own range through Spark's file system.
+    Files are cut up in the task that reads them; large ones that hold whole records only are split.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
-    per_task = max(1, (8 << 20) // size)
-    ranges = files.withColumn("n", F.ceil(F.col("length") / size)).select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(per_task).cast("long"))).alias("first"))
-    ranges = ranges.where("length > 0")
-    content = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    cut = ranges.join(content, "file").select("file", "first", F.substring("content", (F.col("first") * size + 1).cast("int"), F.lit(per_task * size)).alias("part"))
-    last = F.ceil(F.octet_length("part") / size).cast("int")
-    return cut.select("file", "first", "part", F.explode(F.sequence(F.lit(0), last - 1)).alias("k")).select(
-        "file", (F.col("first") + F.col("k")).alias("record"), F.substring("part", F.col("k") * size + 1, F.lit(size)).alias("data")
-    )
+    limit = SPLIT_ABOVE if split_above is None else split_above
+    large = (F.col("length") > limit) & (F.col("length") % size == 0)
+    files = spark.read.format("binaryFile").load(path)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, (8 << 20) // size)
+        for b in batches:
+            for file, content in zip(b["file"], b["content"], strict=True):
+                n = -(-len(content) // size)
+                for first in range(0, n, step):
+                    ks = range(first, min(first + step, n))
+                    yield pd.DataFrame({"file": file, "record": ks, "data": [bytes(content[k * size : (k + 1) * size]) for k in ks]})
+
+    schema = "file string, record long, data binary"
+    found = files.where(~large).select(F.col("path").alias("file"), "content").mapInPandas(cut, schema)
+    for (file,) in files.where(large).select("path").collect():  # names of very large files only
+        rows = spark.sparkContext.newAPIHadoopFile(
+            file, _FIXED, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{_FIXED}.recordLength": str(size)}
+        )
+        found = found.union(spark.createDataFrame(rows.map(lambda kv, file=file: (file, int(kv[0]), kv[1])), schema))
+    return found
 
 
 def read_planar_frames(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
@@ -57,7 +72,7 @@ def read_planar_frames(spark: SparkSession, path: str, width: int, height: int)
     return rows.select(
         "file", F.col("record").alias("frame_no"), F.lit(width).alias("w"), F.lit(height).alias("h"), F.substring("data", 1, luma).alias("y"),
         F.substring("data", luma + 1, chroma).alias("u"), F.substring("data", luma + chroma + 1, chroma).alias("v"),
-        (F.octet_length("data") == luma + 2 * chroma).alias("complete"),
+        F.coalesce(F.octet_length("data") == luma + 2 * chroma, F.lit(False)).alias("complete"),
     )
 
 
@@ -79,6 +94,7 @@ def read_pcm(spark: SparkSession, path: str, channels: int, fmt: str = "f32le")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b["data"] = [d if d is not None else b"" for d in b["data"]]
             whole = [len(d) // size for d in b["data"]]
             ch = [[float(x[0]) for x in struct.iter_unpack(letter, bytes(d[: n * size]))] for d, n in zip(b["data"], whole, strict=True)]
             yield pd.DataFrame({"file": b["file"], "idx": b["record"], "ch": ch, "complete": [n == channels for n in whole]})

@@ -43,6 +43,15 @@ def test_pcm(spark, tmp_path, fmt, letter):
     assert got == [(k, [float(v) for v in values[2 * k : 2 * k + 2]], 2 * k + 2 <= 9) for k in range(5)]
 
 
+def test_large_files_are_split(spark, tmp_path):
+    data = bytes(R.randrange(256) for _ in range(1000))
+    (tmp_path / "big.bin").write_bytes(data)
+    (tmp_path / "tail.bin").write_bytes(data + b"xyz")
+    got = {(r.file[-8:], r.record): bytes(r.data) for r in media._records(spark, str(tmp_path), 10, split_above=100).collect()}
+    want = {(f, k): data[10 * k : 10 * k + 10] for f in ("/big.bin", "tail.bin") for k in range(100)}
+    assert got == want | {("tail.bin", 100): b"xyz"}
+
+
 def loop_units(data):
     """Start codes one by one: (pos, code length, length, zeros)."""
     codes, at = [], data.find(b"\0\0\1")
