@@ -59,6 +59,6 @@ def sample_ids(df: DataFrame, id_col: str, n: int, salt: int) -> DataFrame:
 
 
 def sampled_texts(docs: DataFrame, ids: DataFrame) -> list[tuple[int, str]]:
-    """Texts of a bounded set of ids, sorted by id (one text where an id is repeated)."""
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").collect()
-    return sorted({r.doc_id: r.text for r in sorted(rows, key=lambda r: r.text)}.items())
+    """Texts of a bounded set of ids, sorted by id (the smallest where an id is repeated)."""
+    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return sorted((r.doc_id, r.text) for r in found.collect())
