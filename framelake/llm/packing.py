@@ -28,7 +28,7 @@ NEARLY_FULL = 0.995
 #: Partitions that meet in one group of a merge round; pieces packed at once within a partition.
 FAN_IN, BLOCK = 8, 200_000
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 
 Encode = Callable[[list[str]], list[bytes]]
 
