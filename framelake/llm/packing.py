@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -40,31 +41,84 @@ def _worker() -> dict:
 
 def word_encoder(path: str) -> Encode:
     """Ids (little-endian unsigned 32-bit) of whole texts under a tokenizer that never looks across
-    a space or line feed, such as one that splits text into words and drops white space: each distinct
-    run of other characters is encoded once and remembered."""
+    white space, lower-cases, keeps runs of letters apart from other characters, and marks the last
+    piece of a run by the model's suffix. Each distinct run of characters other than space and line
+    feed is encoded once and remembered by the worker.
+    """
     state = _worker()
 
     def encode(texts: list[str]) -> list[bytes]:
-        if ("tokenizer", path) not in state:
-            import os
+        if ("encoder", path) not in state:
+            state["encoder", path] = _Words(path)
+        return state["encoder", path].encode(texts)
+
+    return encode
+
+
+#: Signs that end words; behind a letter or digit they are encoded apart from it.
+_TAIL = ".,!?;:*$#%&"
+
 
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
+class _Words:
+    def __init__(self, path: str) -> None:
+        import json
+        import os
 
-            state["tokenizer", path] = Tokenizer.from_file(path)
-        tokenizer, known = state["tokenizer", path], state.setdefault(("ids", path), {})
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for letters in lower case and normal form, the normalizer and the splitting pattern change nothing
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        if suffix := model.get("end_of_word_suffix"):
+            self.ends[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        known = self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*split) - known.keys()) if split else []
+        fresh = {w for ws in split for w in ws if w not in known}
         if len(known) + len(fresh) > CACHE_WORDS:
             known.clear()
-            fresh = list(set().union(*split))
-        for at in range(0, len(fresh), 20_000):
-            words = fresh[at : at + 20_000]
-            for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            fresh = set().union(*split)
+        self._learn(fresh)
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
-    return encode
+    def _learn(self, fresh: set[str]) -> None:
+        known, made, todo = self.known, [], set()
+        for w in fresh:
+            stem = w.rstrip(_TAIL)
+            plain = stem.isascii()
+            low = stem.lower() if plain else stem
+            last = low[-1:] if plain else unicodedata.normalize("NFC", stem).lower()[-1:]
+            if low != w and last.isalnum():  # nothing behind a letter or digit belongs to its run
+                tail = w[len(stem) :]
+                made.append((w, low, tail))
+                todo.update(x for x in (low, tail) if x and x not in known)
+            else:
+                todo.add(w)
+        plain = [w for w in todo if w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w))]
+        for at in range(0, len(plain), 5000):
+            words = plain[at : at + 5000]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(words):
+                continue  # left for the whole tokenizer
+            raw, low = ids.tobytes(), 0
+            for w, high in zip(words, (4 * ends).tolist(), strict=True):
+                known[w] = raw[low:high]
+                low = high
+        rest = [w for w in todo if w not in known]
+        for at in range(0, len(rest), 20_000):
+            words = rest[at : at + 20_000]
+            for w, e in zip(words, self.whole.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, stem, tail in made:
+            known[w] = known[stem] + known.get(tail, b"")
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
