@@ -59,23 +59,23 @@ def _number(payload: Column, at: int, n: int, little: bool) -> Column:
     return out
 
 
-RTP_LAYOUTS = ("jm", "rfc3550")
+RTP_LAYOUTS = ("low_first", "rfc3550")
 
 
 def rtp_header_fields(packet: Column, layout: str = "rfc3550") -> Column:
     """Struct of the header fields of an RTP packet and its payload.
 
-    ``jm`` packs bit fields from the low end and numbers little-endian, ``rfc3550`` as the standard.
+    ``low_first`` packs bit fields from the low end and numbers little-endian, ``rfc3550`` as the standard.
     """
     if layout not in RTP_LAYOUTS:
         raise ValueError(f"layout {layout!r} is none of {RTP_LAYOUTS}")
     b0, b1 = byte_at(packet, 0), byte_at(packet, 1)
-    jm = layout == "jm"
-    bits = (lambda c, lo, n: F.shiftright(c, lo if jm else 8 - lo - n).bitwiseAND((1 << n) - 1))
+    low = layout == "low_first"
+    bits = (lambda c, lo, n: F.shiftright(c, lo if low else 8 - lo - n).bitwiseAND((1 << n) - 1))
     return F.struct(
         bits(b0, 0, 2).alias("version"), bits(b0, 2, 1).alias("padding"), bits(b0, 3, 1).alias("extension"), bits(b0, 4, 4).alias("csrc_count"),
         bits(b1, 0, 1).alias("marker"), bits(b1, 1, 7).alias("payload_type"),
-        _number(packet, 2, 2, jm).alias("seq"), _number(packet, 4, 4, jm).alias("timestamp"), _number(packet, 8, 4, jm).alias("ssrc"),
+        _number(packet, 2, 2, low).alias("seq"), _number(packet, 4, 4, low).alias("timestamp"), _number(packet, 8, 4, low).alias("ssrc"),
         F.substring(packet, 13, 1 << 30).alias("payload"),
     )
 

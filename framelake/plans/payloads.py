@@ -37,7 +37,7 @@ _RTP = [("version", "b0 & 3"), ("padding", "b0 >> 2 & 1"), ("extension", "b0 >>
 
 ENTRIES = {
     "prj04_rtp_header_fields": Entry(
-        lambda t: _digest(t).withColumn("d", F.unhex("h")).withColumn("f", C.rtp_header_fields(F.col("d"), "jm")).select(
+        lambda t: _digest(t).withColumn("d", F.unhex("h")).withColumn("f", C.rtp_header_fields(F.col("d"), "low_first")).select(
             "doc_id", *[F.col(f"f.{c}").cast("long").alias(c) for c in ("version", "padding", "extension", "csrc_count", "marker", "payload_type", "seq", "timestamp", "ssrc")],
             C.rtp_valid(F.col("d"), F.col("f")).alias("valid"), F.lower(F.hex("f.payload")).alias("payload"),
         ),

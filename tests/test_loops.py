@@ -100,7 +100,7 @@ def test_rtp_header_fields(spark, layout):
     for _ in range(50):
         v, p, x, cc, m, pt = R.choice([(2, 0, 0, 0), (1, 0, 0, 0), (2, 1, 0, 0), (2, 0, 1, 3)]) + (R.randint(0, 1), R.randint(0, 127))
         seq, ts, ssrc = R.randint(0, 65535), R.randint(0, 2**32 - 1), R.randint(0, 2**32 - 1)
-        if layout == "jm":
+        if layout == "low_first":
             head = bytes([v | p << 2 | x << 3 | cc << 4, m | pt << 1]) + struct.pack("<HII", seq, ts, ssrc)
         else:
             head = bytes([v << 6 | p << 5 | x << 4 | cc, m << 7 | pt]) + struct.pack(">HII", seq, ts, ssrc)
