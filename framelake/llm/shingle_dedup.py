@@ -1,0 +1,166 @@
+"""Near-duplicates by the Jaccard similarity of their sets of word shingles.
+
+Candidates come from banded min-hashes: a pair at similarity s shares a band of ``ROWS`` minima with
+probability s ** ROWS, so one at 0.8 is missed by all 40 bands with probability 5e-6. Every pair that
+is linked has been verified on the sets themselves. Copies are collapsed before anything is emitted.
+
+A bucket (documents that share a band) is not compared pair by pair, since a large group of near
+copies would make that quadratic. Each round takes pivots of every bucket, compares them with all its
+members of other components, and links those that are similar enough. Rounds go on until every member
+outside its bucket's main component has been a pivot: then all pairs of a bucket are verified or in
+one component. The member with most links so far is a pivot too, so that the centre of a star is found.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import checkpointed, id_text, small_batches
+from .components import components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 40, 6
+SEED = 42
+#: Pivots of a bucket in the first round; each round doubles them.
+PIVOTS = 4
+
+_DRAW = np.random.default_rng(SEED)
+_FACTORS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def words_of(text: str) -> bytes:
+    """Words between ASCII white space, A-Z lower-cased, one blank between them."""
+    return b" ".join(text.encode().lower().split())
+
+
+def shingle_set(joined: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a text of fewer words is one shingle, without words none."""
+    if not joined:
+        return np.zeros(0, np.uint64)
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist() + [len(joined)]
+    view, digest = memoryview(joined), xxhash.xxh64_intdigest
+    if len(ends) <= SHINGLE:
+        return np.array([digest(joined, SEED)], np.uint64)
+    starts = [0, *(e + 1 for e in ends[: len(ends) - SHINGLE])]
+    return np.unique(np.array([digest(view[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=True)], np.uint64))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A signed hash of every band of minima."""
+    low = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
+    for at in range(0, len(shingles), 2048):
+        part = shingles[at : at + 2048]
+        for k in range(0, BANDS * ROWS, 24):
+            drawn = part[None, :] * _FACTORS[k : k + 24, None] + _OFFSETS[k : k + 24, None]
+            low[k : k + 24] = np.minimum(low[k : k + 24], ((drawn ^ (drawn >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def _key(joined: bytes) -> int:
+    return xxhash.xxh64_intdigest(joined, SEED) - (1 << 63)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, bands`` of every row; key: hash of the words in order. No words, no bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [words_of(t) for t in b.column("text").to_pylist()]
+            found = [bands(shingle_set(t)) if t else [] for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_key(t) for t in texts], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+
+    small_batches(docs.sparkSession)
+    return id_text(docs).mapInArrow(run, "doc_id long, key long, bands array<long>")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``key, shingles`` of the documents ``low, key`` in ``wanted``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [words_of(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_key(t) for t in texts], pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "key", "words"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([shingle_set(t).tobytes() for t in b.column("words").to_pylist()], pa.binary())], names=["key", "shingles"])
+
+    texts = id_text(docs).mapInArrow(read, "doc_id long, key long, words binary")
+    same = (texts.key == wanted.key) & texts.doc_id.eqNullSafe(wanted.low)
+    return texts.join(wanted, same, "left_semi").select("key", "words").mapInArrow(cut, "key long, shingles binary").dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``u, v`` whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = ([np.frombuffer(x, np.uint64) for x in b.column(n).to_pylist()] for n in ("a", "c"))
+            good = [jaccard(x, y) >= SIMILARITY for x, y in zip(a, c, strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    # sizes first: a set that is too small for the other one needs no comparison
+    one = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u")
+    two = one.join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("c")), "v")
+    fit = F.least(F.length("a"), F.length("c")) >= SIMILARITY * F.greatest(F.length("a"), F.length("c"))
+    return two.where(fit).select("u", "v", "a", "c").mapInArrow(run, "u long, v long")
+
+
+def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links ``u, v`` between keys, whose closure is that of all pairs that share a bucket and are similar
+    enough. ``groups``: ``key, low, bands`` of every distinct key."""
+    exploded = groups.select("key", "low", F.explode("bands").alias("bucket"))
+    shared = exploded.withColumn("__n", F.count("*").over(Window.partitionBy("bucket"))).where("__n > 1")
+    shared = checkpointed(shared.select("bucket", "key", "low"))
+    sets = checkpointed(sets_of(docs, shared.select("key", "low").distinct()))
+    members = shared.select("bucket", "key")
+    found = checkpointed(docs.sparkSession.createDataFrame([], "u long, v long"))
+    done = checkpointed(docs.sparkSession.createDataFrame([], "bucket long, key long"))
+    labels, pivots, turn = None, PIVOTS, 0
+    while True:
+        now = members.withColumn("label", F.col("key"))
+        if labels is not None:
+            now = members.join(labels, members.key == labels.node, "left").select("bucket", "key", F.coalesce("component", "key").alias("label"))
+        main = now.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("__m"), F.count("*").alias("of")).where("of > 1")
+        now = checkpointed(now.join(main.select("bucket", F.col("__m.label").alias("main")), "bucket"))  # buckets in one component are settled
+        left = now.join(done, ["bucket", "key"], "left_anti")
+        open_ = left.where("label <> main")
+        slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(pivots))
+        drawn = open_.groupBy("bucket", slot.alias("slot")).agg(F.min_by("key", F.struct(F.xxhash64("key", F.lit(-1 - turn)), "key")).alias("key")).select("bucket", "key")
+        degree = found.select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+        still = open_.select("bucket").distinct()
+        centre = left.join(still, "bucket", "left_semi").join(degree, "key").groupBy("bucket").agg(F.max_by("key", F.struct("degree", "key")).alias("key"))
+        chosen = checkpointed(drawn.union(centre.select("bucket", "key")).distinct())
+        if chosen.isEmpty():
+            return found
+        of = chosen.join(now.select("bucket", "key", "label"), ["bucket", "key"]).select("bucket", F.col("key").alias("pivot"), F.col("label").alias("own"))
+        pairs = now.join(of, "bucket").where("label <> own").select(F.greatest("key", "pivot").alias("u"), F.least("key", "pivot").alias("v")).distinct()
+        found = checkpointed(found.union(verified(pairs, sets)))
+        done = checkpointed(done.union(chosen))
+        labels, pivots, turn = checkpointed(components(found)), 2 * pivots, turn + 1
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, component_id`` of every row: the smallest doc_id reachable over links, its own included."""
+    rows = checkpointed(keyed(docs))
+    groups = checkpointed(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
+    found = components(links(docs, groups))
+    of = groups.join(found, groups.key == found.node, "left").select("key", "low", F.coalesce("component", "key").alias("component"))
+    lows = of.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = checkpointed(of.join(lows, "component").select("key", "component_id"))
+    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "key", "component_id")

@@ -95,12 +95,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays."""
+    return keep_lowest(docs, near_duplicates(docs, radius))
+
+
+def keep_lowest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is the ``component_id`` that ``found`` has for it.
 
     doc_id is the key: of rows that repeat a kept one, one stays. Rows without a doc_id are kept,
     since nothing names them. The texts are shuffled once, by the key, for both steps.
     """
-    drop = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").cast("string").alias("__key")).distinct()
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").cast("string").alias("__key")).distinct()
     own = F.concat(F.lit("row "), F.monotonically_increasing_id())
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long").cast("string"), own))
     first = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))

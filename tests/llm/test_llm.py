@@ -247,6 +247,51 @@ def test_links_reach_every_pair(spark, radius):
     assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+def test_pipeline_near_dedup_against_brute_force(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    text = lambda n: " ".join("w%d" % rnd.randrange(5000) for _ in range(n))
+
+    def edited(t, n):
+        words = t.split()
+        for k in rnd.sample(range(len(words)), n):
+            words[k] = "X%d" % rnd.randrange(10**6)
+        return " ".join(words)
+
+    texts = [text(200) for _ in range(20)]
+    texts += [edited(t, n) for t in texts for n in (1, 2, 3, 4, 5, 6)]
+    star = text(400)
+    texts += [edited(star, rnd.randint(5, 8)) for _ in range(60)] + [star, star.upper(), "", " \n", "One two", "one  TWO", "one two three"]
+    shuffled = list(range(len(texts)))
+    rnd.shuffle(shuffled)
+    rows = list(zip(shuffled, texts)) + [(None, texts[0]), (None, None), (shuffled[3], texts[3])]
+
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                up[root(i)] = root(j)
+    low = {}
+    for k, (d, _) in enumerate(rows):
+        if d is not None:
+            low[root(k)] = min(d, low.get(root(k), d))
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(spark, rows), "").collect()]
+    assert sorted(d for d in got if d is not None) == sorted(low.values()) and got.count(None) == 2
+    assert corpus_pipeline.near_dedup(spark, docs_of(spark, []), "").count() == 0
+
+
 # ------------------------------------------------------------------ 6 quality
 
 
