@@ -1,7 +1,7 @@
 """HTML extraction by equivalence classes of tokens.
 
-Pages of a host come from few templates. A token is an element with its path, or a short text with
-its path; its occurrence vector says how often it occurs in each page of the host. Tokens with equal
+Pages of a host come from few templates. A token is an element with its path, or a text with its
+path; its occurrence vector says how often it occurs in each page of the host. Tokens with equal
 vectors form an equivalence class; the class of tokens that occur exactly once in every page is the
 skeleton, and other classes of enough support that lie within one of its elements nest there. What
 the skeleton and the nested classes leave open are slots. The slot that holds the article is found
@@ -32,8 +32,6 @@ from .url_filter import host_of
 SUPPORT = 0.5
 #: Hosts with fewer pages use the template of all pages.
 MIN_PAGES = 5
-#: Texts up to this length can be tokens.
-MAX_TOKEN_TEXT = 80
 #: Elements nested deeper count as part of the one at this depth.
 MAX_DEPTH = 64
 #: Templates are broadcast up to this size; beyond it, pages and templates are joined by host.
@@ -168,8 +166,7 @@ def page_tokens(page: Page) -> tuple[Counter, Counter, Counter]:
     for path, kept, text in page.blocks:
         if kept:
             chars[path] += len(text)
-        if len(text) <= MAX_TOKEN_TEXT:
-            texts[path, _text_token(path, text)] += 1
+        texts[_text_token(path, text)] += 1
     return Counter(page.elements), chars, texts
 
 
@@ -194,8 +191,8 @@ def tokens(pages: DataFrame) -> DataFrame:
                     add((h, PAGE, "", 0), key, 1, 0)
                     for path, n in elements.items():
                         add((h, ELEMENT, path, 0), key, n, chars[path])
-                for (path, text), n in texts.items():
-                    add((host, TEXT, path, text), key, n, 0)
+                    for text, n in texts.items():  # their hash holds the path
+                        add((h, TEXT, "", text), key, n, 0)
             rows = [(*k, *v) for k, v in found.items()]
             kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             names = ["host", "kind", "token", "text_hash", "n_pages", "total", "vector", "chars"]
@@ -227,7 +224,8 @@ def deduce(rows: list[dict]) -> dict:
 
     ``skeleton``: paths of the elements that are in the pages' own class (once in every page);
     ``nested``: per skeleton element the classes that lie within it and no deeper one; ``main``: the
-    element that holds the article's slots; ``constant``: texts of the skeleton, once in every page.
+    element that holds the article's slots; ``constant``: texts of enough support, however often a
+    page shows them.
     """
     page = next((r for r in rows if r["kind"] == PAGE), None)
     if page is None:
@@ -253,7 +251,7 @@ def deduce(rows: list[dict]) -> dict:
             main = path
             if named and path.rpartition("/")[2].startswith("article"):
                 break
-    constant = [r["text_hash"] for r in own if r["kind"] == TEXT] if page["n_pages"] >= MIN_PAGES else []
+    constant = [r["text_hash"] for r in rows if r["kind"] == TEXT and r["n_pages"] >= SUPPORT * page["n_pages"]] if page["n_pages"] >= MIN_PAGES else []
     return {"skeleton": skeleton, "nested": nested, "main": main, "constant": constant}
 
 
@@ -286,10 +284,8 @@ def extract(source: str, template: dict) -> str:
         main = next((p for p in page.elements if p.rpartition("/")[2].partition(".")[0] in ("article", "main")), "")
     inside = [(p, t) for p, t in kept if not main or _within(p, main)]
     constant = template["constant"]
-    own = [t for p, t in inside if not (len(t) <= MAX_TOKEN_TEXT and _text_token(p, t) in constant)] if constant else [t for _, t in inside]
-    if 2 * sum(map(len, own)) < sum(len(t) for _, t in inside):  # pages that repeat as wholes
-        own = [t for _, t in inside]
-    return "\n".join(own)
+    own = [t for p, t in inside if _text_token(p, t) not in constant] if constant else [t for _, t in inside]
+    return "\n".join(own or [t for _, t in inside])  # pages that repeat as wholes keep their text
 
 
 TEXT_SCHEMA = "page_id long, url string, text string, n_chars long"

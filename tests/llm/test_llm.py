@@ -176,6 +176,19 @@ def test_template_classes(spark):
     assert ["/html/body/nav/ul/li"] in [p for ps in t["nested"].values() for p in ps]
 
 
+def test_repeated_texts_of_any_length_go(spark):
+    notice = "This notice is longer than eighty characters and every page of the host shows it inside its article element."
+    rows, want = [], {}
+    for k in range(24):
+        host = "a.example.com" if k < 12 else "b%d.example.com" % (k // 3)  # three pages each
+        own = sentence(4) + f" {k}"
+        extra = "" if k == 1 else f"<p>{notice}</p>" * (2 if k == 2 else 1)  # missing from one page, twice on another
+        rows.append((k, f"http://{host}/{k}", f"<html><body><article>{extra}<p>{own}</p><p>Read more</p></article></body></html>"))
+        want[k] = own
+    got = {r.page_id: r.text for r in html_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 # ------------------------------------------------------------------ 4 url filter
 
 
