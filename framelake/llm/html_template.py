@@ -4,8 +4,11 @@ Pages of a host come from few templates. A token is an element with its path, or
 path; its occurrence vector says how often it occurs in each page of the host. Tokens with equal
 vectors form an equivalence class; the class of tokens that occur exactly once in every page is the
 skeleton, and other classes of enough support that lie within one of its elements nest there. What
-the skeleton and the nested classes leave open are slots. The slot that holds the article is found
-from the text that the host's pages have in it, and its text is extracted from every page.
+the skeleton and the nested classes leave open are slots.
+
+Extraction does not walk those classes: lists of tag and class names decide what is boilerplate. It
+takes from the template the main element, found from the text that the host's pages have in it, and
+the texts that repeat on the host's pages.
 
 Vectors are compared by their size and the exclusive-or of a hash of (page, count), so they are
 aggregated like any sum: a host with a third of all pages is pre-aggregated in the tasks that read
