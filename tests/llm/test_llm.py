@@ -166,14 +166,52 @@ def test_extraction(spark):
     assert html_template.extract_pages(df.limit(0)).count() == 0
 
 
+def path_of(*labels):
+    path = 0
+    for label in labels:
+        path = html_template._hash(label, path)
+    return path
+
+
 def test_template_classes(spark):
-    pages = [page(k, f"<p>{sentence(20)}</p>") for k in range(8)]
-    read = spark.createDataFrame([(k, "h", p) for k, p in enumerate(pages)], "page_id long, host string, html string")
     import json
 
-    t = {r.host: json.loads(r.template) for r in html_template.templates(read).collect()}["h"]
-    assert "/html/body/article" in t["skeleton"] and t["main"] == "/html/body/article"
-    assert ["/html/body/nav/ul/li"] in [p for ps in t["nested"].values() for p in ps]
+    pages = [page(k, f"<p>{sentence(20)}</p>") for k in range(8)]
+    read = spark.createDataFrame([(1, p) for p in pages + pages[:3]], "host long, html string")
+    made, everywhere = html_template.templates(read)
+    (t,) = [json.loads(r.template) for r in made.collect()]
+    article = path_of("html", "body", "article")
+    assert str(article) in t["skeleton"] and t["main"] == article
+    assert [path_of("html", "body", "nav", "ul", "li")] in t["nested"][str(path_of("html", "body", "nav", "ul"))]
+    aside = path_of("html", "body", "aside")
+    assert html_template._text_token(aside, "side") in everywhere and aside in t["drop"]
+
+
+def anonymous(k, n_menu):
+    """Plain divs only: menu, advert, article, notice, footer; what differs is the article's paragraphs."""
+    menu = "".join(f"<div>menu {i}</div>" for i in range(n_menu))
+    paragraphs = [sentence(R.randint(8, 30)) + f" {k}.{i}" for i in range(R.randint(2, 6))]
+    article = "".join(f"<p>{p}</p>" for p in paragraphs)
+    html = f"<html><body><div>{menu}</div><div>buy {k % 3} now</div><div><h1>Head {k}</h1>{article}<p>Read more</p></div><div>we use cookies</div><div>all rights {k % 2}</div></body></html>"
+    return html, "\n".join([f"Head {k}", *paragraphs])
+
+
+@pytest.mark.parametrize("limit", [0, html_template.BROADCAST_BYTES])
+def test_template_decides_without_names(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_template, "BROADCAST_BYTES", limit)  # 0: templates are joined by host
+    made = [anonymous(k, k % 5 + 1) for k in range(40)]
+    rows = [(k, "http://a.example.com/%d" % k, html) for k, (html, _) in enumerate(made)]
+    rows += rows[:1] * 30  # a page that repeats as a whole counts once
+    got = html_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows) and all(r.text == made[r.page_id][1] for r in got)
+    bare = html_template.Template(html_template.deduce([], []))
+    assert all(html_template.extract(html, bare) != text for html, text in made)  # without the template everything stays
+
+
+def test_inline_parts_and_unclosed_quotes(spark):
+    rows = [(k, "http://a.example.com/", f"<html><body><p>own text {k} <span class='ad'>buy</span> goes on</p><a title=\"x>tail {k}</body></html>") for k in range(12)]
+    got = {r.page_id: r.text for r in html_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].startswith(f"own text {k} goes on") for k in range(12))
 
 
 def test_repeated_texts_of_any_length_go(spark):
