@@ -73,12 +73,16 @@ QUERIES: dict[str, Query] = {
 }
 
 OP4_SQL = r"""
-with parts as (
-  select page_id,
-         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
-                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') as path
-  from pages),
+with rests as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from (select page_id, coalesce(url, '') as url from pages)),
+ends as (
+  select page_id, rest, least(coalesce(nullif(strpos(rest, '/'), 0), length(rest) + 1), coalesce(nullif(strpos(rest, '?'), 0), length(rest) + 1),
+                              coalesce(nullif(strpos(rest, '#'), 0), length(rest) + 1)) as h from rests),
+tails as (
+  select page_id, translate(substr(rest, 1, h - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, substr(rest, h) as tail from ends),
+parts as (
+  select page_id, host, substr(tail, 1, least(coalesce(nullif(strpos(tail, '?'), 0), length(tail) + 1),
+                                              coalesce(nullif(strpos(tail, '#'), 0), length(tail) + 1)) - 1) as path from tails),
 site(rule, verdict) as (values ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'block'),
                                ('example.net/de/8', 'block'), ('org/es/', 'block')),
 words(word) as (values ('cheap-pills'), ('casino-win'), ('free-bets'), ('spam-farm'), ('ads-track'), ('link-farm'),
@@ -86,11 +90,11 @@ words(word) as (values ('cheap-pills'), ('casino-win'), ('free-bets'), ('spam-fa
 best as (
   select host, path, max_by(rule, length(rule)) as rule, max_by(verdict, length(rule)) as verdict
   from (select distinct host, path from parts) u join site s
-    on ('.' || host) like ('%.' || split_part(rule, '/', 1)) and starts_with(path, substr(rule, strpos(rule, '/')))
+    on ends_with('.' || host, '.' || split_part(rule, '/', 1)) and starts_with(path, substr(rule, strpos(rule, '/')))
   group by host, path),
 spam as (
   select distinct host from (select distinct host from parts) h join words w
-    on regexp_matches(host, '(^|[.-])' || replace(word, '-', '[.-]') || '[.-]'))
+    on regexp_matches(host, '(^|[^a-z0-9])' || replace(word, '-', '[^a-z0-9]') || '([^a-z0-9]|$)', 's'))
 select p.page_id, p.host, p.path, b.rule,
        coalesce(b.verdict, case when s.host is not null then 'block' else 'allow' end) as verdict
 from parts p left join best b on p.host = b.host and p.path = b.path left join spam s on p.host = s.host

@@ -1,4 +1,4 @@
-"""URL filters: pattern rules indexed by their rarest literal token.
+r"""URL filters: pattern rules indexed by their rarest literal token.
 
 ``judge_urls`` is native: tokens, rule look-up and regular expressions are column expressions, and
 no row leaves its partition. Every rule carries a regular expression and a set of literal tokens
@@ -7,7 +7,13 @@ least often (counted by one aggregation over the whole column, only for tokens o
 tokens fetch the rules filed under them, and only these run their expressions.
 
 The index is a literal map while there are at most ``MAX_INLINE`` rules; a longer list becomes a
-table that is joined on the token.
+table: tokens are counted, rules filed and candidates fetched by joins on the token, so that no plan
+and no driver holds the list twice. Both give the same rows.
+
+A rule is written ``HOST`` or ``HOST/PATH``. The host pattern has to fit the whole host (``||`` in
+front: or a subdomain of it), the path pattern the beginning of the path (``$`` behind: all of it).
+``*`` stands for any run of characters, in a host of those other than ``/``; ``^`` for one character
+that is neither a-z nor a digit, or for an end of the host; everything else for itself.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ TOKEN_SPLIT = "[^a-z0-9]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """``name``: what is reported; ``pattern``: Java expression over ``host path``; ``rank``: the highest wins."""
+    """``name``: what is reported; ``pattern``: Java expression over host and path; ``rank``: the highest wins."""
 
     name: str | None
     verdict: str
@@ -34,26 +40,43 @@ class Rule:
     rank: int
 
 
-def site_rule(site: str, verdict: str) -> Rule:
-    """A rule ``host/path-prefix``: fits the host, its subdomains and every path that starts so."""
-    host, slash, path = site.partition("/")
-    path = slash + path
-    pattern = rf"^(?:[^ ]*\.)?{re.escape(host)} {re.escape(path)}"
-    whole = re.split(TOKEN_SPLIT, host.lower())
-    if path.count("/") > 1:  # the last piece may go on in the URL, so it is no whole token
-        whole += re.split(TOKEN_SPLIT, path.lower().rpartition("/")[0])
-    return Rule(site, verdict, pattern, tuple(sorted({t for t in whole if t})), 1_000_000 + len(site))
+_EDGE, _PART = r"(?:\A|[^a-z0-9/]|(?=/|\z))", re.compile(r"[a-z0-9]+|.", re.S | re.I)
+
+
+def parse_rule(text: str, verdict: str = "block", name: str | None = None, rank: int | None = None) -> Rule:
+    """The rule that ``text`` writes; without ``rank`` the longer of two rules ranks higher."""
+    wide, rest = text.startswith("||"), text.removeprefix("||")
+    host, slash, path = rest.partition("/")
+    path, whole = slash + path.removesuffix("$"), rest.endswith("$")
+    literals: set[str] = set()
 
+    def written(parts: list[str], star: str, edge: str, opens: bool, closes: bool) -> str:
+        """Expression of a pattern; letters and digits between two ends of tokens are literal tokens."""
+        for k, part in enumerate(parts):
+            before = opens if k == 0 else parts[k - 1] != "*"
+            after = closes if k == len(parts) - 1 else parts[k + 1] != "*"
+            if part.isascii() and part.isalnum() and before and after:
+                literals.add(part.lower())
+        return "".join(star if p == "*" else edge if p == "^" else re.escape(p) for p in parts)
 
-def word_rule(words: str, verdict: str = "block") -> Rule:
-    """An unnamed rule of the general list: the words, joined by hyphens or dots, in the host."""
-    parts = words.split("-")
-    return Rule(None, verdict, r"(?:^|[.-])" + r"[.-]".join(map(re.escape, parts)) + r"[.-][^ ]* ", tuple(parts), len(words))
+    front = written(_PART.findall(host), "[^/]*", _EDGE, True, True)
+    behind = written(_PART.findall(path), ".*", "[^a-z0-9]", True, whole)
+    pattern = r"(?s)\A" + r"(?:[^/]*\.)?" * wide + front + r"(?=/|\z)" + behind + r"\z" * whole
+    if not literals:
+        raise ValueError(f"rule {text!r} has no literal token to be filed under")
+    return Rule(name, verdict, pattern, tuple(sorted(literals)), len(rest) if rank is None else rank)
 
 
-#: General spam and tracking patterns; they decide where no site rule fits.
-WORD_RULES = tuple(
-    map(word_rule, ("cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track", "link-farm", "click-bait", "adult-cams", "payday-loans", "warez-zone"))
+def site_rule(site: str, verdict: str) -> Rule:
+    """A named rule ``host/path-prefix`` that fits the host and its subdomains; it ranks above unnamed ones."""
+    return parse_rule("||" + site, verdict, site, 1_000_000 + len(site))
+
+
+#: General spam and tracking patterns (an example; a list of one's own is a parameter of ``judge_urls``):
+#: they decide where no site rule fits.
+GENERAL_RULES = tuple(
+    parse_rule(f"*^{words.replace('-', '^')}^*")
+    for words in ("cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track", "link-farm", "click-bait", "adult-cams", "payday-loans", "warez-zone")
 )
 SITE_RULES = (
     site_rule("com/en/", "block"), site_rule("example.com/en/7", "allow"), site_rule("net/de/", "block"),
@@ -61,20 +84,30 @@ SITE_RULES = (
 )
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ``://`` (null without one)."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substr(url, at + 3))
+
+
 def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    host = F.regexp_extract(_rest(url), "^[^/?#]*", 0)
+    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_rest(url), "^[^/?#]*+(/[^?#]*)", 1), F.lit(""))
+
+
+def _tokens() -> Column:
+    """Tokens of a URL; the path's first slash parts it from the host."""
+    return F.array_distinct(F.split(F.lower(F.concat("__host", "__path")), TOKEN_SPLIT))
 
 
 def token_counts(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
     """How many URLs hold each literal of the rules: one aggregation, as many rows as there are literals at most."""
     literals = sorted({t for r in rules for t in r.literals})
-    tokens = F.array_distinct(F.split(F.lower(F.concat_ws("/", "__host", "__path")), TOKEN_SPLIT))
-    wanted = F.array_intersect(tokens, F.array(*map(F.lit, literals)))
+    wanted = F.array_intersect(_tokens(), F.array(*map(F.lit, literals)))
     return {r.t: r["count"] for r in urls.select(F.explode(wanted).alias("t")).groupBy("t").count().collect()}
 
 
@@ -88,60 +121,55 @@ def rule_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, lis
 
 def _rule_struct(rule: Rule) -> Column:
     return F.struct(
-        F.lit(rule.rank).alias("rank"), F.lit(rule.name).cast("string").alias("name"),
+        F.lit(-rule.rank).cast("long").alias("down"), F.lit(rule.name).cast("string").alias("name"),
         F.lit(rule.verdict).alias("verdict"), F.lit(rule.pattern).alias("pattern"),
     )
 
 
 def judge_urls(
-    pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RULES, *, url_col: str = "url", default: str = "allow",
+    pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + GENERAL_RULES, *, url_col: str = "url", default: str = "allow",
     max_inline: int = MAX_INLINE,
 ) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict`` added (columns of these names are replaced).
 
-    Null URL or no ``://``: host and path are empty and the verdict is the default. The rule with
-    the highest rank wins; equal ranks go to the smallest name. Repeated rows are judged alike, an
-    empty table gives an empty one.
+    Null URL or no ``://``: host and path are empty and the verdict is the default. Of the rules that
+    fit the highest rank wins; of equal ranks the smallest name (none before any), then the smallest
+    verdict. Repeated rows are judged alike, an empty table gives an empty one, URLs are never cut.
     """
-    for rule in rules:
-        if not rule.literals:
-            raise ValueError(f"rule {rule.pattern} has no literal token to be filed under")
     pages = pages.drop("host", "path", "rule", "verdict", "__host", "__path", "__rule")
     parts = pages.withColumns({"__host": host_of(F.col(url_col)), "__path": path_of(F.col(url_col))})
-    subject = F.concat_ws(" ", "__host", "__path")
-    tokens = F.array_distinct(F.split(F.lower(F.concat_ws("/", "__host", "__path")), TOKEN_SPLIT))
-    index = rule_index(rules, token_counts(parts, rules)) if rules else {}
-    best = lambda found: F.array_max(
-        F.transform(
-            F.filter(found, lambda r: F.rlike(subject, r["pattern"])),
-            lambda r: F.struct(r["rank"].alias("rank"), r["name"].alias("name"), r["verdict"].alias("verdict")),
-        )
-    )
     if not rules:
-        judged = parts.withColumn("__rule", F.lit(None).cast("struct<rank:int,name:string,verdict:string>"))
+        judged = parts.withColumn("__rule", F.lit(None).cast("struct<down:long,name:string,verdict:string>"))
     elif len(rules) <= max_inline:
+        index = rule_index(rules, token_counts(parts, rules))
         filed = F.create_map(*[x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(_rule_struct, rs)))])
-        known = F.filter(tokens, lambda t: F.map_contains_key(filed, t))
-        judged = parts.withColumn("__rule", best(F.flatten(F.transform(known, lambda t: F.element_at(filed, t)))))
+        known = F.filter(_tokens(), lambda t: F.map_contains_key(filed, t))
+        fetched = F.flatten(F.transform(known, lambda t: F.element_at(filed, t)))
+        fitting = F.filter(fetched, lambda r: F.rlike(F.concat("__host", "__path"), r["pattern"]))
+        best = F.array_min(F.transform(fitting, lambda r: F.struct(r["down"].alias("down"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
+        judged = parts.withColumn("__rule", best)
     else:
-        judged = _joined(parts, index, tokens, best)
+        judged = _joined(parts, rules)
     return judged.select(
         *pages.columns, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.name").alias("rule"),
         F.coalesce("__rule.verdict", F.lit(default)).alias("verdict"),
     )
 
 
-def _joined(parts: DataFrame, index: dict[str, list[Rule]], tokens: Column, best) -> DataFrame:
+def _joined(parts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """The same for long rule lists: distinct (host, path) fetch their rules by a join on the token."""
     spark: SparkSession = parts.sparkSession
-    rows = [(t, r.rank, r.name, r.verdict, r.pattern) for t, rs in index.items() for r in rs]
-    filed = spark.createDataFrame(rows, "__t string, rank int, name string, verdict string, pattern string")
-    urls = parts.select("__host", "__path").distinct()
-    found = (
-        urls.select("__host", "__path", F.explode(tokens).alias("__t"))
-        .join(filed, "__t")
-        .where(F.rlike(F.concat_ws(" ", "__host", "__path"), F.col("pattern")))
-        .groupBy("__host", "__path")
-        .agg(F.max(F.struct("rank", "name", "verdict")).alias("__rule"))
+    table = spark.createDataFrame(
+        [(k, -r.rank, r.name, r.verdict, r.pattern, list(r.literals)) for k, r in enumerate(rules)],
+        "__id long, down long, name string, verdict string, pattern string, literals array<string>",
     )
+    urls = parts.select("__host", "__path").distinct().select("__host", "__path", F.explode(_tokens()).alias("__t"))
+    literals = table.select("__id", F.explode("literals").alias("__t"))
+    rows = parts.select(F.explode(_tokens()).alias("__t")).join(literals.select("__t").distinct(), "__t", "left_semi").groupBy("__t").agg(F.count("*").alias("__n"))
+    rarest = literals.join(rows, "__t", "left").groupBy("__id").agg(F.min_by("__t", F.struct(F.coalesce("__n", F.lit(0)), F.col("__t"))).alias("__t"))
+    filed = table.drop("literals").join(rarest, "__id").drop("__id")
+    found = (
+        urls.join(filed, "__t").where(F.rlike(F.concat("__host", "__path"), F.col("pattern")))
+        .groupBy("__host", "__path").agg(F.min(F.struct("down", "name", "verdict")).alias("__rule"))
+    )
     return parts.join(found, ["__host", "__path"], "left")

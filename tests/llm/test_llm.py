@@ -231,7 +231,17 @@ def test_repeated_texts_of_any_length_go(spark):
 
 
 URLS = [None, "", "nothing", "http://", "HTTP://WWW.Example.COM/en/7x?q", "https://a.com/en/", "https://com/en/1", "http://xcom/en/1", "http://a.net/de/9#f", "http://b.example.net/de/8", "ftp://o.org/es", "http://o.org/es/",
-        "http://cheap-pills.x.org/a", "http://x.cheap.pills.org/", "http://mycheap-pills.org/", "http://a.com/EN/", "x://a.com/en/7\nq", "http://a.com?x=/en/"]
+        "http://cheap-pills.x.org/a", "http://x.cheap.pills.org/", "http://mycheap-pills.org/", "http://a.com/EN/", "x://a.com/en/7\nq", "http://a.com?x=/en/",
+        "http://a.com?u=http://b.org/es/1", "http://a.org#x://b.org/es/1", "http://a.com/en?u=x://c.net/de/9", "http:/a://b.net/de/1?", "://", "a://b://c.org/es/2", "http://a b.com/en/ x", "http://x.cheap-pills", "http://a.com:8080/en/9", "http://a.com/en/" + "y" * 5000]
+
+
+def parts_of(url):
+    """Host and path, character by character."""
+    at = (url or "").find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    n = next((k for k, c in enumerate(rest) if c in "/?#"), len(rest))
+    m = next((k for k, c in enumerate(rest) if k >= n and c in "?#"), len(rest))
+    return "".join(c.lower() if c.isascii() else c for c in rest[:n]), rest[n:m]
 
 
 def test_url_rules(spark):
@@ -239,12 +249,10 @@ def test_url_rules(spark):
     rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "block", "example.net/de/8": "block", "org/es/": "block"}
 
     def judge(url):
-        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
-        host = "".join(c.lower() if c.isascii() else c for c in m[1]) if m else ""
-        path = m[2] if m else ""
+        host, path = parts_of(url)
         fit = [r for r in rules if ("." + host).endswith("." + r.partition("/")[0]) and path.startswith("/" + r.partition("/")[2])]
         best = max(fit, key=len, default=None)
-        spam = any(re.search(r"(^|[.-])" + w.replace("-", "[.-]") + r"[.-]", host) for w in ("cheap-pills", "casino-win"))
+        spam = any(re.search(r"(^|[^a-z0-9])" + w.replace("-", "[^a-z0-9]") + r"([^a-z0-9]|$)", host) for w in ("cheap-pills", "casino-win"))
         return host, path, best, rules[best] if best else "block" if spam else "allow"
 
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
@@ -252,7 +260,40 @@ def test_url_rules(spark):
     joined = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, max_inline=0).collect()}
     assert joined == got
     assert {r.verdict for r in url_filter.judge_urls(df, ()).collect()} == {"allow"}
-    assert url_filter.judge_urls(df.limit(0)).count() == 0
+    assert url_filter.judge_urls(df.limit(0)).count() == 0 and url_filter.judge_urls(df.limit(0), max_inline=0).count() == 0
+
+
+def test_url_sql_on_odd_urls(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(URLS)))
+    want = {r[0]: r[1:] for r in con.execute(ORACLE_SQL["op4_url_filter"]).fetchall()}
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()} == want
+
+
+def test_rule_grammar():
+    fits = lambda text, host, path="": bool(re.search(url_filter.parse_rule(text).pattern.replace(r"\z", r"\Z"), host + path))
+    assert fits("||ads.com", "ads.com") and fits("||ads.com", "x.ads.com", "/a") and not fits("||ads.com", "bads.com") and not fits("ads.com", "x.ads.com")
+    assert fits("*.ads.*", "x.ads.net") and not fits("*.ads.*", "ads.net") and fits("*^ads^*", "my-ads.net") and not fits("*^ads^*", "loads.net", "/-ads-")
+    assert fits("||a.com/x*y", "a.com", "/x/123/yes") and fits("||a.com/x^1$", "a.com", "/x-1") and not fits("||a.com/x^1$", "a.com", "/x-12")
+    assert url_filter.parse_rule("||a.com/x-1*tail").literals == ("a", "com", "x") and url_filter.parse_rule("||a.com/x-1$").literals == ("1", "a", "com", "x")
+    with pytest.raises(ValueError):
+        url_filter.parse_rule("*ads*")
+
+
+def test_many_rules_and_ties(spark):
+    urls = [(k, f"http://s{k % 300}.host{k % 97}.com/p{k % 11}/x") for k in range(900)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    rules = [url_filter.parse_rule(f"s{k}.host{k % 97}.com/p*/", "block", f"r{k}", 5) for k in range(30_000)]
+    rules += [url_filter.parse_rule("||com/p3/", "allow", "a3", 5), url_filter.parse_rule("||com/p3/", "block", "b3", 5)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(df, tuple(rules)).collect()}
+    for k, _ in urls:
+        named = f"r{k % 300}" if (k % 300) % 97 == k % 97 else None
+        want = ("a3", "allow") if k % 11 == 3 else (named, "block" if named else "allow")
+        assert got[k] == want, k
 
 
 # ------------------------------------------------------------------ 5 simhash
