@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import aligned, components, repeated, simhash
 from pyspark.sql import functions as F
@@ -572,15 +573,7 @@ def test_packing(spark, odd_rows):
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want += [(str(i), k, at, len(p), zlib.crc32(p.tobytes())) for k, at in enumerate(range(0, len(ids), 2048)) for p in [ids[at : at + 2048]]]
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
-    bins = {}
-    for r in got:
-        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for parts in bins.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 2048
+    bins = checked_bins(got, 2048)
     tokens = sum(r.length for r in got)
     assert len(bins) <= 1.03 * tokens / 2048 + 1
     assert packing.pack(packing.pieces(docs_of(spark, []), packing.word_encoder(TOKENIZER))).count() == 0
@@ -591,6 +584,57 @@ def test_best_fit_takes_the_fullest_bin():
     assert fills.tolist() == [10, 10] and bins.tolist() == [1, 0, 0, 1, 1] and offsets.tolist() == [0, 0, 7, 8, 5]
 
 
+def checked_bins(rows, capacity):
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return bins
+
+
+@pytest.mark.parametrize("kind", ["large", "large and one small", "small", "halves"])
+def test_merge_rounds(spark, monkeypatch, kind):
+    rnd = random.Random(3)
+    sizes = {"large": [rnd.randint(520, 990) for _ in range(900)], "small": [rnd.randint(1, 450) for _ in range(900)], "halves": [500] * 901}
+    sizes["large and one small"] = [*sizes["large"], 3]
+    rows = [(k, n, 7, "x") for k, n in enumerate(sizes[kind])]
+    monkeypatch.setattr(packing, "BLOCK", 100)
+    seen = []
+    merged = packing._merge_partition
+    monkeypatch.setattr(packing, "_merge_partition", lambda *a: seen.append(a) or merged(*a))
+    found = spark.createDataFrame(rows, "row long, length int, bin long, fill string").repartition(40)
+    got = packing.pack(found, 1000).collect()
+    assert sorted((r.row, r.length, r.bin, r.fill) for r in got) == rows
+    bins = checked_bins(got, 1000)
+    _, _, fills = packing.best_fit(np.array(sizes[kind]), 1000)
+    assert len(bins) <= 1.02 * len(fills) + 1  # against best-fit over all pieces at once
+    assert (not seen) == (kind == "large")  # where nothing fits together no round is run
+
+
+def test_a_round_packs_a_share_of_the_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    most = []
+    merged = packing.merged
+    monkeypatch.setattr(packing, "merged", lambda bins, *a: most.append(len(bins)) or merged(bins, *a))
+    bins = np.repeat(np.arange(300), 2)
+    rows = pa.table({"item": bins, "place": bins, "size": np.full(600, 300), "part": bins, "bin": bins, "offset": np.tile([0, 300], 300), "fill": np.full(600, 600)})
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+        get = classmethod(lambda cls: cls)
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    out = list(packing._merge_partition(1000, 995, 2)(iter(rows.to_batches(max_chunksize=33))))
+    assert sum(b.num_rows for b in out) == 600 and max(most) <= 150
+    done = pa.Table.from_batches(out)
+    assert len(set(done.column("bin").to_pylist())) <= 210
+
+
 # ------------------------------------------------------------------ pipeline
 
 
