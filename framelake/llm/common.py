@@ -21,11 +21,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one is set only
-    where that is unset (local tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``, or that the session has set. A
+    temporary one is made only where neither is there and driver and executors are one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="framelake-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -58,7 +60,24 @@ def sample_ids(df: DataFrame, id_col: str, n: int, salt: int) -> DataFrame:
     return ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(n)
 
 
-def sampled_texts(docs: DataFrame, ids: DataFrame) -> list[tuple[int, str]]:
-    """Texts of a bounded set of ids, sorted by id (the smallest where an id is repeated)."""
+#: Most bytes of text that a classifier is fitted on.
+SAMPLE_BYTES = 24 << 20
+
+
+def sampled_rows(docs: DataFrame, ids: DataFrame, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``doc_id, text`` of a bounded set of ids (the smallest text where an id is repeated): as many
+    as ``max_bytes`` hold, in the order of a hash; a longer text alone is passed over."""
     found = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return sorted((r.doc_id, r.text) for r in found.collect())
+    sizes = found.select("doc_id", F.octet_length("text").alias("n")).where(F.col("n") <= max_bytes).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").collect()  # ids and sizes of a bounded sample
+    total, kept = 0, []
+    for r in sizes:
+        if total + r.n <= max_bytes:
+            total += r.n
+            kept.append((r.doc_id,))
+    chosen = docs.sparkSession.createDataFrame(kept, "doc_id long")
+    return found.join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
+def sampled_texts(docs: DataFrame, ids: DataFrame, max_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str]]:
+    """The rows of ``sampled_rows``, sorted by id."""
+    return sorted((r.doc_id, r.text) for r in sampled_rows(docs, ids, max_bytes).collect())
