@@ -1,39 +1,43 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts are lower-cased words. A mask ignores some of the token positions under it; hashes of the
-others are looked up in a table of the benchmark's hashes, and every hit names a document, an item
-and the diagonal on which they lie. The diagonal is then compared token by token: an overlap counts
-if some window of ``WINDOW`` aligned tokens has at most ``SUBSTITUTIONS`` differences (for shorter
-items: the whole item, with at most a fifth of its tokens). The three masks hit every such window
-of ``WINDOW`` tokens wherever its substitutions are; a short one does so for shorter items.
-
-The benchmark's table goes to the tasks in blocks of bounded size; documents are never shuffled.
+Texts are lower-cased words. A mask ignores some of the word positions under it; a seed is the hash of
+the others. Seeds of benchmark and documents are joined, and every hit names a document, an item and
+the diagonal on which they lie. The diagonal is then compared word by word: an overlap is a stretch
+covered by windows of ``WINDOW`` aligned words with at most ``SUBSTITUTIONS`` differences (for items
+of 8 to 14 words the whole item, with at most a fifth of its words; for shorter ones without any).
+The three masks hit every such window wherever its substitutions are. Three words in a row do so for
+shorter items, several times on one diagonal, and the shortest items are seeds as a whole.
+
+Documents are not shuffled for it: a filter of the benchmark's seeds, of bounded size, goes to the
+tasks that read them, and only texts with a seed that passes (suspects) go on. Equal texts and equal
+items are matched once. A hot seed spreads over tasks like any skewed join key.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches
+from .common import checkpointed, id_text, small_batches
 
 WINDOW, SUBSTITUTIONS = 15, 3
 MASKS = ("1111011", "11001000111", "11010110001")
-#: For items shorter than the window: of their tokens, less a fifth, some three lie together.
+#: For items shorter than the window: of their words, less a fifth, some three lie together.
 SHORT_MASK = "111"
-#: Shorter items are no evidence and are left out.
-MIN_ITEM = 8
-#: Benchmark tokens in one block; each block is one pass over the documents.
-BLOCK_TOKENS = 2_000_000
+#: Items of fewer words are found without substitutions.
+EXACT_BELOW = 8
+#: Bits of the seed filter per seed, and the most that it has altogether (32 MB).
+SEED_BITS, MAX_BITS = 32, 28
+#: Words whose hashes a task keeps.
+CACHE_WORDS = 1_000_000
 _WORD = re.compile(r"\w+")
-_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,144 +45,235 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
-    """Hash at every position of the tokens under the mask's ones."""
-    n = max(len(ids) - len(mask) + 1, 0)
-    h = np.zeros(n, np.uint64)
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_HASHES = _Hashes()
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
+    """Hash at every position of the words under the mask's ones; different masks have different hashes."""
+    n = max(len(words) - len(mask) + 1, 0)
+    h = np.full(n, int(mask, 2) << 8 | len(mask), np.uint64)
     for at, bit in enumerate(mask):
         if bit == "1":
-            h = (h + ids[at : at + n].astype(np.uint64) + np.uint64(1)) * _MIX
+            h = (h + words[at : at + n]) * _MIX
             h ^= h >> np.uint64(29)
     return h
 
 
-@dataclass
-class Block:
-    """Part of the benchmark: its words, its tokens end to end, and per mask the sorted hashes."""
+def masks_for(n: int) -> tuple[str, ...]:
+    """Masks whose seeds an item of ``n`` words has."""
+    return MASKS if n >= WINDOW else (SHORT_MASK,) if n >= EXACT_BELOW else ("1" * n,) if n else ()
 
-    vocabulary: dict[str, int]
-    names: list[int | None]
-    ids: np.ndarray
-    first: np.ndarray  # start of each item, and the end
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # hashes, positions, bits that are set
 
+def window_of(n: int) -> tuple[int, int]:
+    """Window and substitutions allowed in it for an item of ``n`` words."""
+    return (WINDOW, SUBSTITUTIONS) if n >= WINDOW else (n, n // 5 if n >= EXACT_BELOW else 0)
 
-def build(items: list[tuple[int | None, list[str]]]) -> Block:
-    vocabulary: dict[str, int] = {}
-    flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for _, ws in items for w in ws], np.int64)
-    first = np.cumsum([0, *(len(ws) for _, ws in items)])
-    tables = []
-    for mask in (*MASKS, SHORT_MASK):
-        h = seed_hashes(flat, mask)
-        at = np.arange(len(h))
-        end = np.searchsorted(first, at, "right")
-        at = at[(at + len(mask) <= first[end]) & ((mask != SHORT_MASK) | (first[end] - first[end - 1] < WINDOW))]
-        at = at[np.argsort(h[at], kind="stable")]
-        bits = np.zeros(1 << _BITS, bool)
-        bits[h[at] >> np.uint64(64 - _BITS)] = True
-        tables.append((h[at], at, bits))
-    return Block(vocabulary, [i for i, _ in items], flat, first, tables)
-
-
-def overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-    """First and last item position (end exclusive) covered by windows that count when item position
-    i lies on document position i + shift, and the equal tokens between; None if there is none."""
-    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    window, allowed = (WINDOW, SUBSTITUTIONS) if len(item) >= WINDOW else (len(item), len(item) // 5)
-    if hi - lo < window:
-        return None
-    same = np.concatenate([[0], np.cumsum(item[lo:hi] == doc[lo + shift : hi + shift])])
-    good = np.flatnonzero(same[window:] - same[:-window] >= window - allowed)
+
+def needed_hits(n: int) -> int:
+    """Seeds that an overlap of an item of ``n`` words hits at least on its diagonal: each substitution spoils three in a row."""
+    return max(1, n - 2 - 3 * (n // 5)) if EXACT_BELOW <= n < WINDOW else 1
+
+
+def stretches(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """Overlaps of an item and the words aligned to it (0: none there): first and last position (end exclusive), equal words."""
+    window, allowed = window_of(len(item))
+    same = np.concatenate([[0], np.cumsum(item == doc)])
+    good = np.flatnonzero((same[window:] - same[:-window] >= window - allowed))
     if not len(good):
-        return None
-    a, b = good[0], good[-1] + window
-    return lo + int(a), lo + int(b), int(same[b] - same[a])
+        return []
+    cut = np.flatnonzero(np.diff(good) > window) + 1
+    return [(int(g[0]), int(g[-1]) + window, int(same[g[-1] + window] - same[g[0]])) for g in np.split(good, cut)]
+
+
+# -------------------------------------------------------------------- the benchmark
+
+
+def _seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys, seeds, at, need = [], [], [], []
+        for key, raw in zip(b.column("item").to_pylist(), b.column("words").to_pylist(), strict=True):
+            words = np.frombuffer(raw, np.uint64)
+            for mask in masks_for(len(words)):
+                h = seed_hashes(words, mask)
+                seeds.append(h.view(np.int64))
+                at.append(np.arange(len(h), dtype=np.int32))
+                keys += [key] * len(h)
+                need.append(np.full(len(h), needed_hits(len(words)), np.int32))
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(flat(seeds, np.int64)), pa.array(keys, pa.string()), pa.array(flat(at, np.int32)), pa.array(flat(need, np.int32))], names=["seed", "item", "at", "need"])
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``item_id, item`` of every row of the benchmark, and ``item, words`` (hashes) of every distinct text with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [word_hashes(words_of(t)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh128_hexdigest(w) for w in words], pa.string()), pa.array(words, pa.binary())], names=["item_id", "item", "words"])
+
+    rows = id_text(benchmark, "item_id").mapInArrow(run, "item_id long, item string, words binary").where(F.octet_length("words") > 0)
+    rows = checkpointed(rows)
+    return rows.select("item_id", "item"), rows.select("item", "words").dropDuplicates(["item"])
 
 
-def find(block: Block, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
-    """Overlaps of the texts: number of the text and of the item, start in each, aligned and equal
-    tokens. One row per text and item: the diagonal with the most equal tokens, the first of equals."""
-    get = block.vocabulary.get
+class _Filter:
+    """Which seeds may be the benchmark's: two bits of every seed are set."""
+
+    def __init__(self, bits: np.ndarray, log: int, masks: tuple[str, ...]) -> None:
+        self.bits, self.log, self.masks = bits, log, masks
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        found = self._has(h >> np.uint64(64 - self.log))
+        at = np.flatnonzero(found)
+        return at[self._has(h[at] & np.uint64((1 << self.log) - 1))]
+
+    def _has(self, bit: np.ndarray) -> np.ndarray:
+        return (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _filter_of(seeds: DataFrame, items: DataFrame, max_bits: int) -> _Filter:
+    """The filter, made by one aggregation; what comes to the driver is no larger than ``2 ** max_bits`` bits allow."""
+    lengths = [r.n for r in items.select((F.octet_length("words") / 8).cast("int").alias("n")).select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]
+    masks = tuple(sorted({m for n in lengths for m in masks_for(n)}))
+    log = min(max_bits, max(16, (SEED_BITS * seeds.count()).bit_length()))
+    bit = F.explode(F.array(F.shiftrightunsigned("seed", 64 - log), F.col("seed").bitwiseAND((1 << log) - 1)))
+    octets = seeds.select(bit.alias("b")).groupBy(F.shiftright("b", 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("b").bitwiseAND(7).cast("int"))).alias("v")).toArrow()
+    bits = np.zeros(1 << (log - 3), np.uint8)
+    bits[octets.column("at").to_numpy()] = octets.column("v").to_numpy().astype(np.uint8)
+    return _Filter(bits, log, masks)
+
+
+# -------------------------------------------------------------------- documents
+
+
+def hits_of(texts: list[str], known: _Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of the texts that pass the filter: number of the text, position there, seed."""
     words = [words_of(t) for t in texts]
     size = np.array([len(w) for w in words], np.int64)
     start = np.cumsum(size) - size
-    ids = np.fromiter((get(w, -1) for ws in words for w in ws), np.int64, int(size.sum()))
-    hits = [np.empty((0, 3), np.int64)]
-    for mask, (table, at, bits) in zip((*MASKS, SHORT_MASK), block.tables, strict=True):
-        if not len(table):
-            continue
-        h = seed_hashes(ids, mask)
-        pos = np.flatnonzero(bits[h >> np.uint64(64 - _BITS)])
-        lo, hi = np.searchsorted(table, h[pos], "left"), np.searchsorted(table, h[pos], "right")
-        n = hi - lo
-        pos, ref = np.repeat(pos, n), at[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        text = np.searchsorted(start, pos, "right") - 1
-        item = np.searchsorted(block.first, ref, "right") - 1
-        hits.append(np.column_stack([text, item, (pos - start[text]) - (ref - block.first[item])]))
-    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for t, i, shift in np.unique(np.concatenate(hits), axis=0).tolist():
-        item, doc = block.ids[block.first[i] : block.first[i + 1]], ids[start[t] : start[t] + size[t]]
-        got = overlap(item, doc, shift)
-        if got and (got[2] > best.get((t, i), (0, 0, 0, 0))[3]):
-            best[t, i] = (got[0] + shift, got[0], got[1] - got[0], got[2])
-    return [(t, i, *rest) for (t, i), rest in sorted(best.items())]
-
-
-def blocks(benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> Iterator[Block]:
-    """The benchmark's items, a bounded block at a time. Null texts have no words; items that repeat stay apart."""
-    held, n = [], 0
-    for row in id_text(benchmark, "item_id").orderBy("doc_id", "text").toLocalIterator():
-        words = words_of(row.text)
-        if len(words) < MIN_ITEM:
-            continue
-        if held and n + len(words) > limit:
-            yield build(held)
-            held, n = [], 0
-        held.append((row.doc_id, words))
-        n += len(words)
-    if held:
-        yield build(held)
+    flat = word_hashes([w for ws in words for w in ws])
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for mask in known.masks:
+        h = seed_hashes(flat, mask)
+        at = known.passes(h)
+        text = np.searchsorted(start, at, "right") - 1
+        inside = at + len(mask) <= start[text] + size[text]
+        at, text = at[inside], text[inside]
+        out.append((text, at - start[text], h[at].view(np.int64)))
+    text, at, seed = (np.concatenate([o[k] for o in out]) for k in range(3))
+    order = np.argsort(text, kind="stable")
+    return text[order], at[order], seed[order]
+
+
+_HITS = "array<struct<seed:long,at:int>>"
+
+
+def _suspects(docs: DataFrame, known: _Filter, text_col: str) -> DataFrame:
+    """``row`` (all columns), ``text``, ``hits`` of the documents with seeds that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast((known.bits, known.log, known.masks))  # bounded by MAX_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Filter(*shared.value)
+        for b in batches:
+            text, at, seed = hits_of(b.column("text").to_pylist(), known)
+            rows, first = np.unique(text, return_index=True)
+            offsets = pa.array(np.append(first, len(text)).astype(np.int32))
+            hits = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(seed), pa.array(at.astype(np.int32))], names=["seed", "at"]))
+            chosen = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("row").take(chosen), b.column("text").take(chosen), hits], names=["row", "text", "hits"])
+
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return named.mapInArrow(run, f"row {named.schema['row'].dataType.simpleString()}, text string, hits {_HITS}").withColumn("key", F.md5(F.encode("text", "UTF-8")))
+
+
+def _matches(suspects: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``key, item, doc_start, item_start, n_aligned, n_equal`` of the distinct suspect texts."""
+    texts = suspects.dropDuplicates(["key"])
+    met = texts.select("key", F.inline("hits")).join(seeds.withColumnRenamed("at", "__i"), "seed")
+    diagonals = met.groupBy("key", "item", (F.col("at") - F.col("__i")).alias("shift")).agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
+    wanted = diagonals.join(items.select("item", (F.octet_length("words") / 8).cast("int").alias("size")), "item")
+    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("item", "shift", "size")).alias("wanted"))  # one text's own diagonals
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of a text that each diagonal puts beside its item."""
+        for b in batches:
+            rows = []
+            for key, text, wanted in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+                words = word_hashes(words_of(text))
+                for w in wanted:
+                    part = np.zeros(w["size"], np.uint64)
+                    lo, hi = max(0, w["shift"]), min(len(words), w["shift"] + w["size"])
+                    part[lo - w["shift"] : hi - w["shift"]] = words[lo:hi]
+                    rows.append((key, w["item"], w["shift"], part.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.binary()))], names=["key", "item", "shift", "part"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, item, shift, part, words in zip(*(b.column(c).to_pylist() for c in ("key", "item", "shift", "part", "words")), strict=True):
+                rows += [(key, item, a + shift, a, e - a, n) for a, e, n in stretches(np.frombuffer(words, np.uint64), np.frombuffer(part, np.uint64))]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "item", "doc_start", "item_start", "n_aligned", "n_equal"])
+
+    parts = texts.select("key", "text").join(per_text, "key").mapInArrow(cut, "key string, item string, shift int, part binary")
+    beside = parts.join(items, "item").select("key", "item", "shift", "part", "words")
+    return beside.mapInArrow(verify, "key string, item string, doc_start int, item_start int, n_aligned int, n_equal int")
 
 
 OVERLAP_SCHEMA = "doc_id long, item_id long, doc_start int, item_start int, n_aligned int, n_equal int"
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per row of ``docs`` and benchmark item that overlap: where (in words), and how much.
+def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, max_bits: int):
+    small_batches(docs.sparkSession)
+    ids, items = _items(benchmark)
+    seeds = checkpointed(items.mapInArrow(_seeds_of, "seed long, item string, at int, need int"))
+    known = _filter_of(seeds, items, max_bits)
+    return ids, items, seeds, known
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per row of ``docs``, benchmark item and stretch of aligned words that overlap: where (in
+    words), and how much. An item may lie in a document several times, on several diagonals.
 
-    Null or empty texts overlap nothing; repeated rows are found again; without items: no rows.
+    Null or empty texts overlap nothing; repeated rows are found again, and so are items that repeat;
+    without items: no rows. Texts of any length are compared as wholes; further columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    texts, sc = id_text(docs), docs.sparkSession.sparkContext
-    found = None
-    for block in blocks(benchmark, limit):
-        shared = sc.broadcast(vars(block))  # bounded by ``limit`` tokens
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block(**shared.value)
-            for b in batches:
-                rows = find(block, b.column("text").to_pylist())
-                ids, names = b.column("doc_id"), block.names
-                cols = [ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([names[r[1]] for r in rows], pa.int64())]
-                cols += [pa.array([r[k] for r in rows], pa.int32()) for k in range(2, 6)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "doc_start", "item_start", "n_aligned", "n_equal"])
-
-        part = texts.mapInArrow(run, OVERLAP_SCHEMA)
-        found = part if found is None else found.union(part)
-    return docs.sparkSession.createDataFrame([], OVERLAP_SCHEMA) if found is None else found
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", limit: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of ``docs``, unchanged, that overlap no benchmark item."""
-    small_batches(docs.sparkSession)
-    for block in blocks(benchmark, limit):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(block))
+    ids, items, seeds, known = _prepared(docs, benchmark, "text", max_bits)
+    suspects = checkpointed(_suspects(id_text(docs), known, "text"))
+    found = _matches(suspects, items, seeds).join(ids, "item")
+    cols = ["doc_start", "item_start", "n_aligned", "n_equal"]
+    return suspects.select("row.doc_id", "key").join(found, "key").select("doc_id", "item_id", *cols)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block(**shared.value)
-            for b in batches:
-                hit = {r[0] for r in find(block, [t or "" for t in b.column(text_col).to_pylist()])}
-                yield pa.RecordBatch.from_struct_array(pc.filter(b.to_struct_array(), pa.array([i not in hit for i in range(b.num_rows)])))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least_words: int = EXACT_BELOW, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, unchanged, that overlap no benchmark item by ``least_words`` aligned words.
+
+    A whole item of fewer words is found by ``overlaps`` but says nothing about a text that holds it,
+    so that it drops none unless ``least_words`` is lower. Null texts stay.
+    """
+    _, items, seeds, known = _prepared(docs, benchmark, text_col, max_bits)
+    suspects = checkpointed(_suspects(docs, known, text_col))
+    dirty = _matches(suspects, items, seeds).where(F.col("n_aligned") >= least_words).select("key").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast((known.bits, known.log, known.masks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Filter(*shared.value)
+        for b in batches:
+            text = hits_of([t or "" for t in b.column(text_col).to_pylist()], known)[0]
+            free = np.ones(b.num_rows, bool)
+            free[text] = False
+            yield pa.RecordBatch.from_struct_array(pc.filter(b.to_struct_array(), pa.array(free)))
+
+    return docs.mapInArrow(run, docs.schema).unionByName(suspects.join(dirty, "key", "left_anti").select("row.*"))

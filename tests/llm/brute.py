@@ -59,14 +59,18 @@ def repeated(rows, n=50):
 
 
 def aligned(item, doc, window=15, allowed=3):
-    """Does some diagonal hold ``window`` aligned tokens with at most ``allowed`` differences?"""
+    """(place in doc, place in item, aligned, equal) of every stretch of windows with few enough differences."""
     if len(item) < window:
-        window, allowed = len(item), len(item) // 5
-    best = 0
-    for shift in range(-len(item), len(doc)):
+        window, allowed = len(item), len(item) // 5 if len(item) >= 8 else 0
+    found = []
+    for shift in range(-len(item), len(doc)) if item else ():
         lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
         same = [item[k] == doc[k + shift] for k in range(lo, hi)]
-        good = [k for k in range(len(same) - window + 1) if sum(same[k : k + window]) >= window - allowed]
-        if good:
-            best = max(best, sum(same[good[0] : good[-1] + window]))
-    return best
+        inside = set()
+        for k in range(len(same) - window + 1):
+            if sum(same[k : k + window]) >= window - allowed:
+                inside.update(range(k, k + window))
+        for a in sorted(k for k in inside if k - 1 not in inside):
+            e = next(k for k in range(a, len(same) + 1) if k not in inside)
+            found.append((a + lo + shift, a + lo, e - a, sum(same[a:e])))
+    return found

@@ -58,7 +58,7 @@ def test_masks_hit_every_window():
 
 
 def test_overlaps_against_brute_force(spark):
-    items = [(k, sentence(R.choice([3, 9, 15, 18, 30]))) for k in range(12)] + [(None, sentence(20)), (99, None), (3, sentence(16))]
+    items = [(k, sentence(([1, 2, 3, 5, 9, 9, 12, 15, 15, 18, 30, 30][k]))) for k in range(12)] + [(None, sentence(20)), (99, None), (3, sentence(16))]
     rows = []
     for d in range(60):
         words = sentence(R.randint(0, 30)).split()
@@ -69,26 +69,40 @@ def test_overlaps_against_brute_force(spark):
         rows.append((d, " ".join(words)))
     rows += [(None, items[5][1]), (7, None), (8, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((str(r.doc_id), str(r.item_id), r.n_equal) for r in decontaminate.overlaps(docs_of(spark, rows), bench, limit=60).collect())
-    want = []
-    for d, t in rows:
-        for i, s in items:
-            item = (s or "").split()
-            if len(item) >= decontaminate.MIN_ITEM and (n := aligned(item, (t or "").split())):
-                want.append((str(d), str(i), n))
-    assert got == sorted(want) and want
-    dirty = {d for d, _, _ in want}
-    kept = decontaminate.keep_clean(docs_of(spark, rows), bench, limit=60)
+    found = decontaminate.overlaps(docs_of(spark, rows), bench).collect()
+    got = sorted((str(r.doc_id), str(r.item_id), r.doc_start, r.item_start, r.n_aligned, r.n_equal) for r in found)
+    split = lambda t: (t or "").split()
+    want = sorted((str(d), str(i), *at) for d, t in rows for i, s in items for at in aligned(split(s), split(t)))
+    assert got == want and {len(split(s)) for _, s in items} >= {1, 3, 9, 15}
+    tight = decontaminate.overlaps(docs_of(spark, rows), bench, max_bits=3)  # a filter that lets nearly everything pass
+    assert sorted((str(r.doc_id), str(r.item_id), r.doc_start, r.item_start, r.n_aligned, r.n_equal) for r in tight.collect()) == want
+    kept = decontaminate.keep_clean(docs_of(spark, rows), bench)
     assert kept.columns == docs_of(spark, rows).columns
-    hit = lambda t: any(len((s or "").split()) >= 8 and aligned((s or "").split(), (t or "").split()) for _, s in items)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, t in rows if not hit(t)) and dirty
+    hit = lambda t: any(at[2] >= 8 for _, s in items for at in aligned(split(s), split(t)))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, t in rows if not hit(t))
+    short = decontaminate.keep_clean(docs_of(spark, rows), bench, least_words=3)
+    assert short.count() < kept.count()
+
+
+def test_seeds_hit_every_short_overlap():
+    from itertools import combinations
+
+    for n in range(decontaminate.EXACT_BELOW, decontaminate.WINDOW):
+        for gone in combinations(range(n), n // 5):
+            hits = sum(not {k, k + 1, k + 2} & set(gone) for k in range(n - 2))
+            assert hits >= decontaminate.needed_hits(n) and (hits or n // 5 == 0), (n, gone)
 
 
-def test_overlaps_empty(spark):
+def test_overlaps_empty_and_clashing_columns(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(docs_of(spark, [(1, "a")]), bench).count() == 0
-    one = spark.createDataFrame([(1, sentence(20))], "item_id long, text string")
-    assert decontaminate.overlaps(docs_of(spark, []), one).count() == 0
+    assert decontaminate.keep_clean(docs_of(spark, [(1, "a")]), bench).count() == 1
+    item = sentence(20)
+    one = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontaminate.overlaps(docs_of(spark, []), one).count() == 0 and decontaminate.keep_clean(docs_of(spark, []), one).count() == 0
+    odd = spark.createDataFrame([(1, item, 1, 2), (2, "else", 3, 4), (3, None, 5, 6)], "doc_id long, text string, key long, hits long")
+    kept = decontaminate.keep_clean(odd, one)
+    assert sorted(kept.collect()) == sorted(odd.where("doc_id > 1").collect()) and kept.columns == odd.columns
 
 
 # ------------------------------------------------------------------ 2 media
