@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import idiv
+from .folds import fold_in_order
 
 
 def stream_summary(packets: DataFrame, tb: tuple[int, int], by: str = "stream_id") -> DataFrame:
@@ -38,26 +40,20 @@ def gop_summary(frames: DataFrame, bit_rate: int, fps: int, by: str = "stream_id
 
 
 def gop_initial_qp(gops: DataFrame, first_qp: int, qp_min: int = 0, qp_max: int = 51, by: str = "stream_id") -> DataFrame:
-    """First quantiser of every group (gop, np, nb, sum_qp, last_qp of its P frames) from the group before.
-
-    The limit of two steps from the value before chains, so the ordered groups of a stream (one row
-    each) are folded.
-    """
-    limit = lambda v, lo, hi: F.greatest(lo, F.least(hi, v))
-    ordered = F.array_sort(F.collect_list(F.struct("gop", "np", "nb", "sum_qp", "last_qp")))
-
-    def step(state: Column, g: Column) -> Column:
-        said = F.concat(state["said"], F.array(F.struct(g["gop"].alias("gop"), state["qp"].alias("qp"))))
-        average = F.floor(g["sum_qp"] / F.greatest(g["np"], F.lit(1)) + 0.5).cast("int")
-        average = average - F.least(F.lit(2), F.floor((g["np"] + g["nb"] + 1) / 15.0 + 0.5).cast("int"))
-        average = F.when(average > g["last_qp"] - 2, average - 1).otherwise(average)
-        near = limit(average, state["qp"] - 2, state["qp"] + 2)
-        nxt = F.when(g["np"] > 0, limit(near, F.lit(qp_min), F.lit(qp_max))).otherwise(state["qp"])
-        return F.struct(nxt.cast("int").alias("qp"), said.alias("said"))
-
-    start = F.struct(F.lit(first_qp).alias("qp"), F.expr("cast(array() as array<struct<gop:bigint,qp:int>>)").alias("said"))
-    folded = gops.withColumn("gop", F.col("gop").cast("long")).groupBy(by).agg(F.aggregate(ordered, start, step)["said"].alias("__s"))
-    return folded.select(by, F.inline("__s"))
+    """``by, gop, qp``: first quantiser of every group (gop, np, nb, sum_qp, last_qp of its P frames) from the
+    group before. The limit of two steps from the value before chains, so the groups are folded in order."""
+
+    def step(qp: int, g: tuple) -> tuple:
+        n_p, n_b, total, last = g
+        nxt = qp
+        if n_p:
+            average = math.floor(total / n_p + 0.5) - min(2, math.floor((n_p + n_b + 1) / 15 + 0.5))
+            average -= average > last - 2
+            nxt = max(qp_min, min(qp_max, max(qp - 2, min(qp + 2, average))))
+        return nxt, (qp,)
+
+    rows = gops.select(by, F.col("gop").cast("long").alias("gop"), *[F.col(c).cast("long").alias(c) for c in ("np", "nb", "sum_qp", "last_qp")])
+    return fold_in_order(rows, by, "gop", first_qp, step, "qp int")
 
 
 def pixel_errors(cur: DataFrame, ref: DataFrame, by: list[str], pixel: tuple[str, ...] = ("x", "y")) -> DataFrame:

@@ -55,12 +55,14 @@ def mark_segments(blocks: DataFrame, segments: DataFrame, by: str = "frame_no",
 
 
 def apply_zones(frames: DataFrame, zones: DataFrame, no: str = "i", default_qp: int = 26) -> DataFrame:
-    """Frames with the zone that holds their number (lowest zone_id wins) and its quantiser."""
-    covered = zones.select(F.explode(F.sequence("start_i", "end_i")).alias(no), "zone_id", "qp")
-    first = covered.groupBy(no).agg(F.min(F.struct("zone_id", "qp")).alias("__z"))
+    """Frames with the zone that holds their number (lowest zone_id wins), its quantiser, and the factor by
+    which it changes the bit rate (1 where the zone sets none; a zone has one or the other)."""
+    covered = zones.select(F.explode(F.sequence("start_i", "end_i")).alias(no), "zone_id", "qp", "bitrate_factor")
+    first = covered.groupBy(no).agg(F.min(F.struct("zone_id", "qp", "bitrate_factor")).alias("__z"))
     return frames.join(first, no, "left").select(
-        *frames.columns, F.col("__z.zone_id").alias("zone_id"), F.coalesce("__z.qp", F.lit(default_qp)).cast("long").alias("qp")
-    )
+        *frames.columns, F.col("__z.zone_id").alias("zone_id"), F.coalesce("__z.qp", F.lit(default_qp)).cast("long").alias("qp"),
+        F.coalesce("__z.bitrate_factor", F.lit(1.0)).alias("bitrate_factor"),
+    )
 
 
 def slice_group_of(mbs: DataFrame, rects: DataFrame, n_groups: int) -> DataFrame:
@@ -92,6 +94,23 @@ def wipe_group(mb: Column, width: int, height: int, units_in_first: int, backwar
     return raster_group(F.pmod(mb, F.lit(width)) * height + idiv(mb, width), units_in_first, backwards)
 
 
+def explicit_group(mbs: DataFrame, ids: DataFrame, by: str = "frame_no", mb: str = "mb") -> DataFrame:
+    """Units with the slice group that a list names for each (``by``, unit, slice_group); 0 where it names none."""
+    return mbs.join(ids.select(by, mb, F.col("slice_group").alias("__g")), [by, mb], "left").withColumn("slice_group", F.coalesce("__g", F.lit(0)).cast("long")).drop("__g")
+
+
+def unit_to_mb_group(group_of_unit: DataFrame, width: int, field: bool, by: str = "frame_no") -> DataFrame:
+    """``by, mb, slice_group`` of macroblocks from the groups of map units where a frame codes its rows in
+    pairs: a unit stands for two macroblocks one above the other (``field``: in the same row of both fields,
+    otherwise in adjacent rows of a pair)."""
+    unit = F.col("mb")
+    row, col = idiv(unit, width), F.pmod(unit, F.lit(width))
+    rows = F.array(row, row + F.lit(0)) if field else F.array(2 * row, 2 * row + 1)
+    if field:
+        return group_of_unit.select(by, F.explode(F.array(2 * row * width + col, (2 * row + 1) * width + col)).alias("mb"), "slice_group")
+    return group_of_unit.select(by, F.explode(rows).alias("__row"), col.alias("__col"), "slice_group").select(by, (F.col("__row") * width + F.col("__col")).alias("mb"), "slice_group")
+
+
 def mux_interleave(video: DataFrame, audio: DataFrame, by: str = "file", order: str = "pos", pts: str = "pts") -> DataFrame:
     """Packets of both inputs in writing order: video while its last written time is not later than
     audio's; the first input to run out ends the file. ``pts`` must be in one clock.
@@ -188,6 +207,17 @@ def block_match(cur: DataFrame, ref: DataFrame, reach: int, by: list[str], size:
     return best.select(*by, "block_x", "block_y", F.col("m.dx").cast("long").alias("dx"), F.col("m.dy").cast("long").alias("dy"), F.col("m.sad").cast("long").alias("sad"))
 
 
+def reference_lists(slices: DataFrame, n: int, by: list[str], order: str = "k") -> tuple[DataFrame, DataFrame]:
+    """The ``n`` last references before and the ``n`` first behind every picture that is none, as two tables
+    of ``*by, i, idx, poc``: references are numbered, and a picture names the numbers around it."""
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = slices.withColumn("__r", F.sum((F.col("is_ref") == 1).cast("long")).over(upto))
+    refs = numbered.where("is_ref = 1").select(*by, "__r", F.col(order).alias("idx"), "poc")
+    cur = numbered.where("is_ref = 0").select(*by, "i", F.col("__r").alias("__c"))
+    beside = lambda first, last: cur.withColumn("__r", F.explode(F.sequence(F.col("__c") + first, F.col("__c") + last))).join(refs, [*by, "__r"]).select(*by, "i", "idx", "poc")
+    return beside(1 - n, 0), beside(1, n)
+
+
 def implicit_weights(cur: DataFrame, list0: DataFrame, list1: DataFrame, by: list[str]) -> DataFrame:
     """Weights of every pair of references of a picture, from distances in picture order."""
     pairs = cur.join(list0.select(*by, F.col("idx").alias("idx0"), F.col("poc").alias("poc0")), by).join(

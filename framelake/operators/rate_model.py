@@ -1,15 +1,17 @@
 """The rolling rate model: an adaptive window of coded frames is fitted, outliers go, and it is fitted again.
 
 The length of a window depends on that of the one before, so a stream's frames are worked through in
-order: pandas per stream, with 20 frames of state.
+order, with 20 frames of state.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .folds import fold_in_order
 
 HISTORY = 20
 
@@ -28,33 +30,25 @@ def estimate(points: list[tuple[float, float]]) -> tuple[float, float]:
     return (weighted * squares - total * inverse) / det, (total * n - weighted * inverse) / det
 
 
-def rolled(frames: list[tuple[float, float, float]]) -> list[tuple[int, float, float]]:
-    """(window, x1, x2) after every frame (q, bits, mad) of a stream, in order."""
-    out: list[tuple[int, float, float]] = []
-    history: list[tuple[float, float]] = []
-    window, before = 0, None
-    for k, (q, bits, mad) in enumerate(frames, 1):
-        history = [(q, bits / mad), *history][:HISTORY]
-        likeness = 1.0 if before is None or not max(mad, before) else min(mad, before) / max(mad, before)
-        window = min(max(int(likeness * HISTORY), 1), k, window + 1, HISTORY)
-        held = history[:window]
-        x1, x2 = estimate(held)
-        errors = [x1 / q + x2 / (q * q) - r for q, r in held]
-        limit = 0.0 if window == 2 else math.sqrt(sum(e * e for e in errors) / window)
-        x1, x2 = estimate([p for n, (p, e) in enumerate(zip(held, errors, strict=True)) if n == 0 or abs(e) <= limit])
-        out.append((window, x1, x2))
-        before = mad
-    return out
+State = tuple[int, int, float | None, tuple[tuple[float, float], ...]]
+START: State = (0, 0, None, ())
 
 
-def rolling_rate_model(frames: DataFrame, by: str = "stream_id", order: str = "i") -> DataFrame:
-    """``by, order, window, x1, x2`` for frames with ``q``, ``bits`` and ``mad`` (above 0)."""
+def next_model(state: State, frame: tuple[float, float, float]) -> tuple[State, tuple[int, float, float]]:
+    """The state (frames, window, mad before, points, newest first) and (window, x1, x2) after a frame (q, bits, mad)."""
+    k, window, before, history = state
+    q, bits, mad = frame
+    history = ((q, bits / mad), *history)[:HISTORY]
+    likeness = 1.0 if before is None or not max(mad, before) else min(mad, before) / max(mad, before)
+    window = min(max(int(likeness * HISTORY), 1), k + 1, window + 1, HISTORY)
+    held = list(history[:window])
+    x1, x2 = estimate(held)
+    errors = [x1 / q + x2 / (q * q) - r for q, r in held]
+    limit = 0.0 if window == 2 else math.sqrt(sum(e * e for e in errors) / window)
+    x1, x2 = estimate([p for n, (p, e) in enumerate(zip(held, errors, strict=True)) if n == 0 or abs(e) <= limit])
+    return (k + 1, window, mad, history), (window, x1, x2)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        found = rolled(list(zip(part["q"], part["bits"], part["mad"], strict=True)))
-        out = part[[by, order]].copy()
-        out["window"], out["x1"], out["x2"] = zip(*found, strict=True) if found else ([], [], [])
-        return out
 
-    return frames.select(by, order, "q", "bits", "mad").groupBy(by).applyInPandas(run, f"{by} long, {order} long, window long, x1 double, x2 double")
+def rolling_rate_model(frames: DataFrame, by: str = "stream_id", order: str = "i") -> DataFrame:
+    """``by, order, window, x1, x2`` for frames with ``q``, ``bits`` and ``mad`` (above 0)."""
+    return fold_in_order(frames.select(by, order, *[F.col(c).cast("double").alias(c) for c in ("q", "bits", "mad")]), by, order, START, next_model, "window long, x1 double, x2 double")

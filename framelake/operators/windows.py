@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import idiv
+from .folds import fold_in_order
 
 
 def _upto(by: list[str] | str, order: list[str] | str) -> Window:
@@ -150,17 +151,17 @@ def buffer_fullness(frames: DataFrame, rate: int, fps: int, omega: float = 0.9,
 
 
 def complexity_ema(frames: DataFrame, by: str = "stream_id", order: str = "i", value: str = "complexity") -> DataFrame:
-    """Weight of the B frames: the running mean up to seven, then an eighth of the old and seven
-    eighths of the new. Per stream its B frames are folded in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("a"))))
+    """``by, order, weight``: the average weight of the B frames so far. Of n frames the newest counts
+    (n - 1) / n and the average before it 1 / n while n < 8, then an eighth and seven eighths."""
 
-    def step(state: Column, e: Column) -> Column:
-        n = state["n"] + 1
-        w = F.when(n < 8, state["w"] * (n - 1) / n + e["a"] / n).otherwise(state["w"] / 8 + e["a"] * 7 / 8)
-        return F.struct(n.alias("n"), w.alias("w"), F.concat(state["out"], F.array(F.struct(e["o"].alias(order), w.alias("weight")))).alias("out"))
+    def step(state: tuple[int, float], row: tuple) -> tuple:
+        n, average = state[0] + 1, state[1]
+        average = row[0] * (n - 1) / n + average / n if n > 1 else row[0]
+        if n >= 8:
+            average = row[0] / 8 + 7 * state[1] / 8
+        return (n, average), (average,)
 
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("w"), F.expr(f"cast(array() as array<struct<{order}:bigint,weight:double>>)").alias("out"))
-    return frames.groupBy(by).agg(F.aggregate(ordered, start, step)["out"].alias("__o")).select(by, F.inline("__o"))
+    return fold_in_order(frames.select(by, order, F.col(value).cast("double").alias("value")), by, order, (0, 0.0), step, "weight double")
 
 
 def frame_num_gaps(slices: DataFrame, max_frame_num: int, gaps_allowed: Column, by: str = "stream_id", order: str = "i") -> DataFrame:
@@ -181,31 +182,48 @@ def pair_fields(pictures: DataFrame, by: str = "stream_id", order: str = "i") ->
     return placed.groupBy(by, "__run", "__pair").agg(F.min(order).alias(order), F.count("*").alias("n_pictures"), F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(order, "structure"))), lambda s: s["structure"])).alias("structure")).drop("__run", "__pair")
 
 
-def reframe(samples: DataFrame, n: int, by: str = "file") -> DataFrame:
+def reframe(samples: DataFrame, n: int, by: str | tuple[str, ...] = "file") -> DataFrame:
     """Frames of ``n`` samples (the last may be shorter), values in order."""
-    return samples.groupBy(by, idiv(F.col("idx"), n).alias("frame")).agg(
+    keys = [by] if isinstance(by, str) else list(by)
+    return samples.groupBy(*keys, idiv(F.col("idx"), n).alias("frame")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "s"))), lambda e: e["s"]).alias("samples")
     )
 
 
 def pack_by_bytes(units: DataFrame, cap: int, by: str = "stream_id", order: str = "pos", size: str = "size") -> DataFrame:
-    """Units with ``group``: a new one starts when the cap would be exceeded. Greedy, so a stream's
-    units (order and size only) are folded in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
+    """``by, order, size, group``: a new group starts when the cap would be exceeded (greedy)."""
 
-    def step(state: Column, e: Column) -> Column:
-        fits = (state["fill"] + e["s"] <= cap) & (state["g"] >= 0)
-        g = F.when(fits, state["g"]).otherwise(state["g"] + 1)
-        return F.struct(g.alias("g"), F.when(fits, state["fill"] + e["s"]).otherwise(e["s"]).alias("fill"), F.concat(state["out"], F.array(F.struct(e["o"].alias(order), e["s"].alias(size), g.alias("group")))).alias("out"))
+    def step(state: tuple[int, int], row: tuple) -> tuple:
+        group, fill = state
+        fits = group >= 0 and fill + row[0] <= cap
+        state = (group, fill + row[0]) if fits else (group + 1, row[0])
+        return state, (state[0],)
 
-    start = F.struct(F.lit(-1).cast("long").alias("g"), F.lit(0).cast("long").alias("fill"), F.expr(f"cast(array() as array<struct<{order}:bigint,{size}:bigint,group:bigint>>)").alias("out"))
-    return units.groupBy(by).agg(F.aggregate(ordered, start, step)["out"].alias("__o")).select(by, F.inline("__o"))
+    return fold_in_order(units.select(by, order, F.col(size).cast("long").alias(size)), by, order, (-1, 0), step, "group long", carry=(size,))
 
 
-def conceal_by_copy(blocks: DataFrame, by: tuple[str, ...] = ("x", "y"), order: str = "frame_no") -> DataFrame:
-    """Lost blocks (state up to 1) with the value at their place in the latest earlier frame that has one."""
+#: Frames of a segment: places that all frames share are worked through in segments side by side.
+SEGMENT = 4096
+
+
+def _carried(blocks: DataFrame, by: list[str], order: str, value: Column) -> DataFrame:
+    """``by, __seg, __carry``: the last ``value`` that is not null in the segments before each, one row per place and segment."""
+    last = blocks.groupBy(*by, "__seg").agg(F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias("__last"))
+    return last.select(*by, "__seg", F.last("__last", ignorenulls=True).over(_before(by, "__seg")).alias("__carry"))
+
+
+def conceal_by_copy(blocks: DataFrame, by: tuple[str, ...] = ("x", "y"), order: str = "frame_no", segment: int = SEGMENT) -> DataFrame:
+    """Lost blocks (state up to 1) with the value at their place in the latest earlier frame that has one.
+
+    There are few places and many frames: windows run over segments of frames, and what a segment takes
+    over from those before it comes from one row per place and segment.
+    """
+    key = [*by, "__seg"]
+    cut = blocks.withColumn("__seg", idiv(F.col(order), segment))
     good = F.when(F.col("state") > 1, F.col("v"))
-    return blocks.withColumn("concealed", F.last(good, ignorenulls=True).over(_upto(list(by), order)))
+    inside = cut.withColumn("__in", F.last(good, ignorenulls=True).over(_upto(key, order)))
+    carried = _carried(cut, list(by), order, good)
+    return inside.join(carried, key, "left").select(*blocks.columns, F.coalesce("__in", "__carry").alias("concealed"))
 
 
 def conceal_by_neighbours(pixels: DataFrame, size: int, by: str = "frame_no") -> DataFrame:
@@ -247,11 +265,23 @@ def linear_resample(samples: DataFrame, src_rate: int, dst_rate: int, by: list[s
     return made.select(*by, "j", F.round(F.col("s") + t * (F.coalesce("__next", "s") - F.col("s")), 6).alias("s"))
 
 
-def refresh_age(blocks: DataFrame, cap: int, by: tuple[str, ...] = ("x", "y"), order: str = "frame_no") -> DataFrame:
-    """Pictures since a block was refreshed (1 when it is), at most ``cap``."""
-    runs = blocks.withColumn("__run", F.sum((F.col("refreshed") == 1).cast("long")).over(_upto(list(by), order)))
-    age = F.row_number().over(Window.partitionBy(*by, "__run").orderBy(order))
-    return runs.withColumn("age", F.least(age, F.lit(cap)).cast("long")).drop("__run")
+def refresh_age(blocks: DataFrame, cap: int, by: tuple[str, ...] = ("x", "y"), order: str = "frame_no", segment: int = SEGMENT) -> DataFrame:
+    """Pictures since a block was refreshed (1 when it is), at most ``cap``; before its first refresh since the
+    start. Counted in segments of pictures, to which those before them add their counts."""
+    key = [*by, "__seg"]
+    cut = blocks.withColumn("__seg", idiv(F.col(order), segment))
+    now = F.col("refreshed") == 1
+    at = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    inside = cut.withColumn("__at", at).withColumn("__hit", F.last(F.when(now, F.col("__at")), ignorenulls=True).over(_upto(key, order)))
+    ends = cut.groupBy(*key).agg(F.count("*").alias("__n"), F.max(F.when(now, F.col(order))).alias("__last"))
+    behind = cut.join(ends.select(*key, "__last"), key).where(F.col("__last").isNull() | (F.col(order) >= F.col("__last"))).groupBy(*key).agg(F.count("*").alias("__tail"))
+    ends = ends.join(behind, key, "left")
+    whole = _before(list(by), "__seg")
+    run = F.sum(F.col("__last").isNotNull().cast("long")).over(_upto(list(by), "__seg"))
+    tails = ends.withColumn("__run", run).withColumn("__sum", F.sum("__tail").over(Window.partitionBy(*by, "__run").orderBy("__seg").rowsBetween(Window.unboundedPreceding, 0)))
+    carry = tails.select(*key, F.coalesce(F.last("__sum").over(whole), F.lit(0)).alias("__carry"))
+    age = F.when(F.col("__hit").isNotNull(), F.col("__at") - F.col("__hit") + 1).otherwise(F.col("__at") + F.col("__carry"))
+    return inside.join(carry, key).select(*blocks.columns, F.least(age, F.lit(cap)).cast("long").alias("age"))
 
 
 def next_in_group(mbs: DataFrame, by: str = "frame_no", group: str = "slice_group", mb: str = "mb") -> DataFrame:

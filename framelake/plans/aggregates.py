@@ -51,7 +51,17 @@ select stream_id, count(*) as n, cast(sum(size) as bigint) as bytes, min(pts) as
 select stream_id, gop, count(*) filter (ftype = 'P') as np, count(*) filter (ftype = 'B') as nb, cast(sum(bits) as bigint) as used,
 cast(floor((1 + count(*) filter (ftype in ('P', 'B'))) * 500000 / 30.0 + 0.5) as bigint) as allotted from {m_gop} group by stream_id, gop)""",
     ),
-    "ag04_gop_initial_qp": Entry(lambda t: A.gop_initial_qp(_gops(t), 26)),
+    "ag04_gop_initial_qp": Entry(
+        lambda t: A.gop_initial_qp(_gops(t), 26).withColumn("qp", F.col("qp").cast("long")),
+        """with recursive q as (select stream_id, gop, count(*) filter (ftype = 'P') as np, count(*) filter (ftype = 'B') as nb, coalesce(sum(bits % 40 + 10) filter (ftype = 'P'), 0) as total,
+  coalesce(max_by(bits % 40 + 10, i) filter (ftype = 'P'), 26) as last from {m_gop} group by stream_id, gop),
+n as (select *, row_number() over (partition by stream_id order by gop) as k, floor(total / greatest(np, 1) + 0.5) - least(2, floor((np + nb + 1) / 15.0 + 0.5)) as a from q),
+v as (select *, case when a > last - 2 then a - 1 else a end as average from n),
+e as (select stream_id, gop, k, cast(26 as double) as qp from v where k = 1 union all
+  select v.stream_id, v.gop, v.k, case when b.np > 0 then greatest(0, least(51, greatest(e.qp - 2, least(e.qp + 2, b.average)))) else e.qp end
+  from e join v b on b.stream_id = e.stream_id and b.k = e.k join v on v.stream_id = e.stream_id and v.k = e.k + 1)
+select stream_id, gop, cast(qp as bigint) as qp from e""",
+    ),
     "ag05_pixel_errors": Entry(
         lambda t: A.pixel_errors(*_pair(t), ["frame_no"]),
         f"""select a.frame_no, cast(sum(abs(a.v - b.v)) as bigint) as sad, round(avg(abs(a.v - b.v)), 6) as mad, round(avg((a.v - b.v) * (a.v - b.v)), 6) as mse,
@@ -83,7 +93,15 @@ select frame_no, ref_no, case when w between -64 and 127 then w else 32 end as w
         lambda t: A.entropy(t("m_symbols"), "doc_id"),
         "select doc_id, round(sum(-p * log2(p)), 6) as entropy from (select doc_id, n / sum(n) over (partition by doc_id) as p from {m_symbols}) group by doc_id",
     ),
-    "ag09_coded_size": Entry(lambda t: A.coded_size(t("m_symbols"), A.prefix_code_lengths(t("m_symbols")), "doc_id")),
+    "ag09_coded_size": Entry(
+        lambda t: A.coded_size(t("m_symbols"), A.prefix_code_lengths(t("m_symbols")), "doc_id").withColumn("bits", F.col("bits").cast("long")),
+        """with recursive c as (select sym, cast(sum(n) as bigint) as n, row_number() over (order by sum(n), sym) - 1 as k from {m_symbols} group by sym),
+h as (select list_sort(list({'n': n, 'k': k, 's': [sym]})) as heap, count(*) as made, cast([] as varchar[]) as deeper from c union all
+  select list_sort(list_append(heap[3:], {'n': heap[1].n + heap[2].n, 'k': made, 's': list_concat(heap[1].s, heap[2].s)})), made + 1, list_concat(deeper, list_concat(heap[1].s, heap[2].s)) from h where len(heap) > 1),
+l as (select unnest(deeper) as sym from h where len(heap) = 1),
+d as (select sym, count(*) as length from l group by sym)
+select doc_id, cast(sum(n * length) as bigint) as bits from {m_symbols} join d using (sym) group by doc_id""",
+    ),
     "ag10_model_cost": Entry(
         lambda t: A.model_cost(t("m_symbols"), {"a": 0.5, "e": 0.25, "i": 0.125, "o": 0.1}, "doc_id"),
         """select doc_id, round(sum(n * case sym when 'a' then 1.0 when 'e' then 2.0 when 'i' then 3.0 when 'o' then -log2(0.1) else 0.0 end), 6) as bits,
@@ -112,8 +130,8 @@ select total, ones as trailing_ones, zeros as total_zeros, count(*) as n from o
 from (select frame_no, block, unnest(c) as c, unnest(range(16)) as p from {m_coeff}) where c <> 0) where run is not null group by run""",
     ),
     "ag13_rtp_loss_summary": Entry(
-        lambda t: A.rtp_loss_summary(t("m_rtp").where("arrival % 9 <> 4").withColumn("seq", F.when(F.col("arrival") % 11 == 5, F.col("seq") - 1).otherwise(F.col("seq")) % 65536)),
-        """with r as (select ssrc, arrival, case when arrival % 11 = 5 then seq - 1 else seq end % 65536 as seq from {m_rtp} where arrival % 9 <> 4),
+        lambda t: A.rtp_loss_summary(t("m_rtp").withColumn("seq", F.when(F.col("arrival") % 11 == 5, F.col("seq") - 1).otherwise(F.col("seq")) % 65536)),
+        """with r as (select ssrc, arrival, case when arrival % 11 = 5 then seq - 1 else seq end % 65536 as seq from {m_rtp}),
 d as (select *, coalesce(((seq - lag(seq) over (partition by ssrc order by arrival) + 32768) % 65536 + 65536) % 65536 - 32768, 0) as d from r),
 s as (select ssrc, sum(d) over (partition by ssrc order by arrival rows unbounded preceding) as s from d)
 select ssrc, cast(max(s) - min(s) + 1 as bigint) as expected, count(*) as received, cast(max(s) - min(s) + 1 - count(distinct s) as bigint) as lost,

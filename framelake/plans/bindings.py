@@ -60,8 +60,10 @@ from {events} where event_type = 'signup'""",
     ),
     "m_zones": (
         """select p_partkey as zone_id, mod(p_partkey * 3, 60) as start_i,
-       mod(p_partkey * 3, 60) + mod(p_size, 5) as end_i, cast(mod(p_size, 52) as bigint) as qp
-from {part} where p_partkey < 40""",
+       mod(p_partkey * 3, 60) + mod(p_size, 5) as end_i,
+       case when mod(p_partkey, 4) <> 1 then cast(mod(p_size, 52) as bigint) end as qp,
+       case when mod(p_partkey, 4) = 1 then cast(mod(p_size, 8) as double) / 4 + 0.25 end as bitrate_factor
+from {part}""",
         None,
     ),
     "m_configs": (
@@ -166,4 +168,8 @@ def duck(sql: str) -> str:
     if not made:
         return body
     ctes = ",\n".join(f"{n} as ({text})" for n, text in made.items())
-    return f"with {ctes},\n{body.lstrip()[5:]}" if body.lstrip().startswith("with ") else f"with {ctes}\n{body}"
+    body = body.lstrip()
+    for opening in ("with recursive ", "with "):
+        if body.startswith(opening):
+            return f"{opening}{ctes},\n{body.removeprefix(opening)}"
+    return f"with {ctes}\n{body}"

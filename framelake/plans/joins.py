@@ -38,22 +38,20 @@ def _clocked(t, kind):
     return rows.select(F.col("stream_id").alias("file"), "pos", (F.col("pts") * scale + F.col("size")).alias("ts"), F.lit(kind).alias("kind"))
 
 
-def _buckets(t):
-    rates = W.default_rates(t("m_frame_log"))
-    return W.leaky_bucket(t("m_frame_log"), rates)
-
-
 def _hrd(t):
-    decoders = t("m_frame_log").where("i < 5").select("stream_id", "i", (F.col("bits") * 2).alias("rate"), (F.col("bits") * 9).alias("buffer"), (F.col("bits") * 7).alias("fullness"))
-    # one row per rate: of equal rates the default list holds one
-    found = J.check_hrd(decoders, _simple_buckets(t))
+    decoders = t("m_frame_log").select("stream_id", "i", (F.col("bits") * 2).alias("rate"), (F.col("bits") * 9).alias("buffer"), (F.col("bits") * 7).alias("fullness"))
+    found = J.check_hrd(decoders, W.leaky_bucket(t("m_frame_log"), W.default_rates(t("m_frame_log"))))
     return found.select("stream_id", "i", F.round("need_b", 6).alias("need_b"), F.round("need_f", 6).alias("need_f"), "compliant")
 
 
-def _simple_buckets(t):
-    return t("m_frame_log").where("ftype = 'IDR'").groupBy("stream_id", F.col("bits").alias("rate")).agg(
-        F.max(F.col("i") * 100 + 50000).alias("b"), F.max(F.col("i") * 50 + 20000).alias("f")
-    )
+LEAKY_CTES = """rates as (select stream_id, cast(floor(avg(bits) * (1 + k / 4.0)) as bigint) as rate from {m_frame_log}, (select unnest(range(4)) as k) group by stream_id, k),
+a as (select f.stream_id, r.rate, i as n, bits, sum(bits) over w as c, first_value(bits) over w as b0 from {m_frame_log} f join rates r on f.stream_id = r.stream_id
+  window w as (partition by f.stream_id, r.rate order by i rows unbounded preceding)),
+b as (select *, max(n * rate - c + bits) over w - (n * rate - c + bits) + bits as need, b0 + n * rate - c + greatest(0, max(c - b0 - n * rate) over w) as y, c - n * rate as low from a
+  window w as (partition by stream_id, rate order by n rows unbounded preceding)),
+m as (select *, max(need) over (partition by stream_id, rate) as bmax from b),
+f as (select *, min(case when need = bmax then n end) over (partition by stream_id, rate) as fi, min(case when y + rate > bmax then n end) over (partition by stream_id, rate) as brk from m),
+leaky as (select stream_id, rate, cast(max(bmax) as bigint) as b, cast(greatest(max(b0), max(case when n <= least(fi, coalesce(brk, fi)) then low end)) as bigint) as f from f group by stream_id, rate)"""
 
 
 def _qpfile(t):
@@ -74,9 +72,17 @@ def _overlay(t):
 def _implicit(t):
     s = W.poc_type0(t("m_slices"), 16)
     per = ["stream_id", "gop"]
-    refs = lambda rest: s.where(f"is_ref = 1 and k % 6 = {rest} and k < 24").select(*per, F.col("k").alias("idx"), "poc")
-    cur = s.where("ftype = 'B' and k < 24").select(*per, "i", "poc")
-    return J.implicit_weights(cur, refs(2), refs(5), per).select("stream_id", "i", "idx0", "idx1", "w0", "w1")
+    before, behind = J.reference_lists(s, 2, per)
+    return J.implicit_weights(s.where("is_ref = 0").select(*per, "i", "poc"), before, behind, [*per, "i"]).select("stream_id", "i", "idx0", "idx1", "w0", "w1")
+
+
+def _group_lists(t):
+    """Explicit groups: a list names two of three units; and groups of map units whose macroblocks lie in pairs of rows."""
+    mbs = _mbs(t).select("frame_no", "mb")
+    ids = mbs.where("mb % 3 <> 0").select("frame_no", "mb", (F.col("mb") % 4).alias("slice_group"))
+    explicit = J.explicit_group(mbs, ids)
+    frames, fields = (J.unit_to_mb_group(explicit, 8, field).withColumnRenamed("slice_group", n) for field, n in ((False, "of_pair"), (True, "of_field")))
+    return frames.join(fields, ["frame_no", "mb"]).join(explicit, ["frame_no", "mb"], "left").select("frame_no", "mb", "slice_group", "of_pair", "of_field")
 
 
 _POC_SQL = """poc as (select *, 16 * (coalesce(sum(case when is_ref = 1 then step else 0 end) over (partition by stream_id, gop order by i rows between unbounded preceding and 1 preceding), 0) + step) + poc_lsb as poc
@@ -103,9 +109,15 @@ from s asof left join sps q on s.file = q.file and s.sps_id = q.id and s.pos >=
         "select b.frame_no, y * 8 + x as mb, s.bad from {m_blocks} b left join {m_segments} s on b.frame_no = s.frame_no and y * 8 + x between start_mb and end_mb",
     ),
     "jn04_apply_zones": Entry(
-        lambda t: J.apply_zones(t("m_frame_log"), t("m_zones")).select("stream_id", "i", "zone_id", "qp"),
-        """select f.stream_id, f.i, z.zone_id, coalesce(z.qp, 26) as qp from {m_frame_log} f left join
-(select i, min(zone_id) as zone_id, min_by(qp, zone_id) as qp from (select distinct i from {m_frame_log}) k join {m_zones} on i between start_i and end_i group by i) z on f.i = z.i""",
+        lambda t: J.apply_zones(t("m_frame_log"), t("m_zones")).select("stream_id", "i", "zone_id", "qp", "bitrate_factor"),
+        """with z as (select k.i, z.*, row_number() over (partition by k.i order by zone_id) as n from (select distinct i from {m_frame_log}) k join {m_zones} z on k.i between start_i and end_i)
+select f.stream_id, f.i, z.zone_id, coalesce(z.qp, 26) as qp, coalesce(z.bitrate_factor, 1.0) as bitrate_factor from {m_frame_log} f left join z on f.i = z.i and z.n = 1""",
+    ),
+    "jn05_explicit_groups": Entry(
+        _group_lists,
+        """with e as (select frame_no, x, y, case when (y * 8 + x) % 3 <> 0 then (y * 8 + x) % 4 else 0 end as g from {m_blocks}),
+p as (select frame_no, (2 * y + k) * 8 + x as mb, g from e, (select unnest(range(2)) as k))
+select p.frame_no, p.mb, o.g as slice_group, p.g as of_pair, p.g as of_field from p left join e o on o.frame_no = p.frame_no and o.y * 8 + o.x = p.mb""",
     ),
     "jn05_slice_groups": Entry(
         lambda t: J.slice_group_of(_mbs(t), _rects(t), 4).select(
@@ -139,12 +151,11 @@ greatest(10, least(45, case when i % 7 = 2 then bits % 70 else bits % 40 end)) a
     ),
     "jn09_check_hrd": Entry(
         _hrd,
-        """with b as (select *, lead(rate) over w as r1, lead(b) over w as b1, lead(f) over w as f1
-  from (select stream_id, bits as rate, max(i * 100 + 50000) as b, max(i * 50 + 20000) as f from {m_frame_log} where ftype = 'IDR' group by stream_id, bits)
-  window w as (partition by stream_id order by rate)),
-d as (select d.stream_id, d.i, d.bits, b.b + coalesce((d.bits * 2 - b.rate) / (r1 - b.rate), 0.0) * (coalesce(b1, b.b) - b.b) as nb,
-  b.f + coalesce((d.bits * 2 - b.rate) / (r1 - b.rate), 0.0) * (coalesce(f1, b.f) - b.f) as nf
-  from {m_frame_log} d left join b on d.stream_id = b.stream_id and d.bits * 2 >= b.rate and (r1 is null or d.bits * 2 < r1) where d.i < 5)
+        f"""with {LEAKY_CTES},
+s as (select *, lead(rate) over w as r1, lead(b) over w as b1, lead(f) over w as f1 from leaky window w as (partition by stream_id order by rate)),
+d as (select d.stream_id, d.i, d.bits, s.b + coalesce((d.bits * 2 - s.rate) / (r1 - s.rate), 0.0) * (coalesce(b1, s.b) - s.b) as nb,
+  s.f + coalesce((d.bits * 2 - s.rate) / (r1 - s.rate), 0.0) * (coalesce(f1, s.f) - s.f) as nf
+  from {{m_frame_log}} d left join s on d.stream_id = s.stream_id and d.bits * 2 >= s.rate and (r1 is null or d.bits * 2 < r1))
 select stream_id, i, round(cast(nb as double), 6) as need_b, round(cast(nf as double), 6) as need_f, bits * 9 > nb and bits * 7 > nf as compliant from d""",
     ),
     "jn10_dangling_refs": Entry(
@@ -179,9 +190,11 @@ from (select *, row_number() over (partition by frame_no, block_x, block_y order
     "jn16_implicit_weights": Entry(
         _implicit,
         f"""with {_POC_SQL},
-p as (select c.stream_id, c.i, a.k as idx0, b.k as idx1, b.poc - a.poc as pt, c.poc - a.poc as p0 from poc c
-  join poc a on a.stream_id = c.stream_id and a.gop = c.gop and a.is_ref = 1 and a.k % 6 = 2 and a.k < 24
-  join poc b on b.stream_id = c.stream_id and b.gop = c.gop and b.is_ref = 1 and b.k % 6 = 5 and b.k < 24 where c.ftype = 'B' and c.k < 24),
+r as (select *, row_number() over (partition by stream_id, gop order by k) as n from poc where is_ref = 1),
+u as (select *, coalesce((select count(*) from r where r.stream_id = poc.stream_id and r.gop = poc.gop and r.k < poc.k), 0) as c from poc where is_ref = 0),
+p as (select c.stream_id, c.i, a.k as idx0, b.k as idx1, b.poc - a.poc as pt, c.poc - a.poc as p0 from u c
+  join r a on a.stream_id = c.stream_id and a.gop = c.gop and a.n in (c.c, c.c - 1)
+  join r b on b.stream_id = c.stream_id and b.gop = c.gop and b.n in (c.c + 1, c.c + 2)),
 w as (select *, greatest(-1024, least(1023, cast(floor((case when pt = 0 then 0 else trunc((16384 + floor(pt / 2.0)) / pt) end * p0 + 32) / 64.0) as bigint))) as z from p),
 v as (select *, cast(floor(z / 4.0) as bigint) as w1x from w)
 select stream_id, i, idx0, idx1, case when pt <> 0 and w1x between -64 and 128 then 64 - w1x else 32 end as w0,

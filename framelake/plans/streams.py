@@ -13,9 +13,9 @@ ENTRIES = {
         "select stream_id, cast(date_trunc('day', ts) as timestamp) as start, count(*) as n, cast(sum(bits) as bigint) as bits from {m_frame_log} group by all",
     ),
     "sm04_sliding_over_limit": Entry(
-        lambda t: S.over_limit(S.bitrate_windows(t("m_frame_log"), "2 days", "1 day"), 150000),
+        lambda t: S.over_limit(S.bitrate_windows(t("m_frame_log"), "2 days", "1 day"), 60000),
         """select stream_id, start, count(*) as n, cast(sum(bits) as bigint) as bits from (
-select stream_id, bits, cast(date_trunc('day', ts) - to_days(k) as timestamp) as start from {m_frame_log}, (select cast(unnest(range(2)) as integer) as k)) group by stream_id, start having sum(bits) > 150000""",
+select stream_id, bits, cast(date_trunc('day', ts) - to_days(k) as timestamp) as start from {m_frame_log}, (select cast(unnest(range(2)) as integer) as k)) group by stream_id, start having sum(bits) > 60000""",
     ),
     "sm05_bursts": Entry(
         lambda t: S.bursts(t("m_frame_log"), "6 hours").withColumn("end", F.col("end")),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rate_model
 from ..operators import windows as W
 from ..operators.joins import slice_group_of
-from .joins import _POC_SQL, _RECTS, _mbs, _rects
+from .joins import _POC_SQL, _RECTS, LEAKY_CTES, _mbs, _rects
 from .registry import Entry
 
 
@@ -27,20 +28,19 @@ k as (select *, case when nal_type between 1 and 5 then 'v' when nal_type in (6,
 l as (select *, last_value(kind ignore nulls) over (partition by file order by pos rows between unbounded preceding and 1 preceding) as before from k),
 a as (select *, cast(1 + sum(case when kind = 'o' and before = 'v' then 1 else 0 end) over (partition by file order by pos rows unbounded preceding) as bigint) as au from l)"""
 
-_LEAKY_SQL = """with rates as (select stream_id, cast(floor(avg(bits) * (1 + k / 4.0)) as bigint) as rate from {m_frame_log}, (select unnest(range(4)) as k) group by stream_id, k),
-a as (select f.stream_id, r.rate, i as n, bits, sum(bits) over w as c, first_value(bits) over w as b0 from {m_frame_log} f join rates r on f.stream_id = r.stream_id
-  window w as (partition by f.stream_id, r.rate order by i rows unbounded preceding)),
-b as (select *, max(n * rate - c + bits) over w - (n * rate - c + bits) + bits as need, b0 + n * rate - c + greatest(0, max(c - b0 - n * rate) over w) as y, c - n * rate as low from a
-  window w as (partition by stream_id, rate order by n rows unbounded preceding)),
-m as (select *, max(need) over (partition by stream_id, rate) as bmax from b),
-f as (select *, min(case when need = bmax then n end) over (partition by stream_id, rate) as fi, min(case when y + rate > bmax then n end) over (partition by stream_id, rate) as brk from m)
-select stream_id, rate, cast(max(bmax) as bigint) as b, cast(greatest(max(b0), max(case when n <= least(fi, coalesce(brk, fi)) then low end)) as bigint) as f from f group by stream_id, rate"""
+_LEAKY_SQL = f"with {LEAKY_CTES} select * from leaky"
 
 
 def _dts(t):
     return t("m_packets").where("pts is not null").select("stream_id", "pos", "pts", (F.col("pos") * 3600 + (F.col("size") % 5 - 2) * 3000).alias("dts"))
 
 
+def _skipping(t):
+    """Slices whose frame numbers jump by two more at every sixth event: their pictures have not come."""
+    skipped = F.sum((F.col("event_id") % 6 == 1).cast("long")).over(Window.partitionBy("stream_id", "gop").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return t("m_slices").withColumn("frame_num", (F.col("k") + 2 * skipped) % 8)
+
+
 _BEFORE = "rows between unbounded preceding and 1 preceding"
 
 ENTRIES = {
@@ -93,23 +93,45 @@ select ssrc, arrival, cast(1000 * sum(case when d < -10 then d + 256 else d end)
         """with l as (select stream_id, i, sum(bits) over w - row_number() over w * (700000 / 30.0) as level from {m_frame_log} window w as (partition by stream_id order by i rows unbounded preceding))
 select stream_id, i, round(level, 6) as fullness, round(0.8 * 2.56 * 700000 - level, 6) as upper1, round((0.8 * 2.56 * 700000 - level) * 0.9, 6) as upper2, round(700000 / 30.0 - level, 6) as lower from l""",
     ),
-    "wn11_complexity_ema": Entry(lambda t: W.complexity_ema(t("m_frame_log").where("ftype = 'B'").withColumn("complexity", F.col("bits") / 100)).select("stream_id", "i", F.round("weight", 6).alias("weight"))),
+    "wn11_complexity_ema": Entry(
+        lambda t: W.complexity_ema(t("m_frame_log").where("ftype = 'B'").withColumn("complexity", F.col("bits") / 100)).select("stream_id", "i", F.round("weight", 6).alias("weight")),
+        """with recursive b as (select stream_id, i, bits / 100.0 as w, row_number() over (partition by stream_id order by i) as n from {m_frame_log} where ftype = 'B'),
+e as (select stream_id, i, n, cast(w as double) as a from b where n = 1 union all
+  select b.stream_id, b.i, b.n, case when b.n < 8 then cast(b.w as double) * (b.n - 1) / b.n + e.a / b.n else cast(b.w as double) / 8 + 7 * e.a / 8 end from e join b on b.stream_id = e.stream_id and b.n = e.n + 1)
+select stream_id, i, round(a, 6) as weight from e""",
+    ),
     "wn12_rolling_rate_model": Entry(
         lambda t: rate_model.rolling_rate_model(
             t("m_frame_log").where("ftype = 'P'").select("stream_id", "i", (F.col("bits") % 40 + 1.0).alias("q"), F.col("bits").cast("double").alias("bits"), (F.col("bits") % 17 + 1.0).alias("mad"))
         )
     ),
     "wn13_frame_num_gaps": Entry(
-        lambda t: W.frame_num_gaps(t("m_slices").where("event_id % 6 <> 1"), 8, F.col("pps_id") == 3).select("stream_id", "i", "frame_num", "prev"),
+        lambda t: W.frame_num_gaps(_skipping(t), 8, F.col("pps_id") == 3).select("stream_id", "i", "frame_num", "prev"),
         f"""select stream_id, i, frame_num, prev from (select *, last_value(case when is_ref = 1 then frame_num end ignore nulls) over (partition by stream_id order by i {_BEFORE}) as prev
-from {{m_slices}} where event_id % 6 <> 1) where frame_num <> prev and frame_num <> (prev + 1) % 8 and idr = 0 and pps_id <> 3""",
+from (select * replace (cast((k + 2 * sum(case when event_id % 6 = 1 then 1 else 0 end) over (partition by stream_id, gop order by k rows unbounded preceding)) % 8 as bigint) as frame_num)
+  from {{m_slices}})) where frame_num <> prev and frame_num <> (prev + 1) % 8 and idr = 0 and pps_id <> 3""",
+    ),
+    "wn14_pair_fields": Entry(
+        lambda t: W.pair_fields(t("m_frame_log").select("stream_id", "i", F.element_at(F.array(F.lit("T"), F.lit("B"), F.lit("F"), F.lit("B"), F.lit("T")), (F.col("bits") % 5 + 1).cast("int")).alias("structure"))),
+        """with recursive p as (select stream_id, i, ['T', 'B', 'F', 'B', 'T'][bits % 5 + 1] as s, row_number() over (partition by stream_id order by i) as n from {m_frame_log}),
+e as (select stream_id, n, i, s, case when s = 'F' then null else i end as held, case when s = 'F' then null else s end as held_s, case when s = 'F' then 1 else 0 end as alone, false as pairs from p where n = 1 union all
+  select p.stream_id, p.n, p.i, p.s, case when p.s = 'F' or (e.held_s is not null and e.held_s <> p.s) then null else p.i end, case when p.s = 'F' or (e.held_s is not null and e.held_s <> p.s) then null else p.s end,
+    0, p.s <> 'F' and e.held_s is not null and e.held_s <> p.s from e join p on p.stream_id = e.stream_id and p.n = e.n + 1),
+m as (select *, lead(pairs) over (partition by stream_id order by n) as taken, lead(s) over (partition by stream_id order by n) as next_s from e)
+select stream_id, i, case when taken then 2 else 1 end as n_pictures, case when taken then s || next_s else s end as structure from m where not pairs""",
     ),
-    "wn14_pair_fields": Entry(lambda t: W.pair_fields(t("m_frame_log").select("stream_id", "i", F.element_at(F.array(F.lit("T"), F.lit("B"), F.lit("F"), F.lit("B"), F.lit("T")), (F.col("bits") % 5 + 1).cast("int")).alias("structure")))),
     "wn15_reframe": Entry(
-        lambda t: W.reframe(t("m_samples").where("ch = 0"), 12).select("file", F.col("frame").cast("long").alias("frame"), F.size("samples").cast("long").alias("n"), F.round(F.element_at("samples", 1), 6).alias("first"), F.round(F.element_at("samples", -1), 6).alias("last")),
-        "select file, idx // 12 as frame, count(*) as n, round(arg_min(s, idx), 6) as first, round(arg_max(s, idx), 6) as last from {m_samples} where ch = 0 group by all",
+        lambda t: W.reframe(t("m_samples"), 12, ("file", "ch")).select("file", "ch", F.col("frame").cast("long").alias("frame"), F.size("samples").cast("long").alias("n"), F.round(F.element_at("samples", 1), 6).alias("first"), F.round(F.element_at("samples", -1), 6).alias("last")),
+        "select file, ch, idx // 12 as frame, count(*) as n, round(arg_min(s, idx), 6) as first, round(arg_max(s, idx), 6) as last from {m_samples} group by file, ch, idx // 12",
+    ),
+    "wn16_pack_by_bytes": Entry(
+        lambda t: W.pack_by_bytes(t("m_packets"), 12000),
+        """with recursive p as (select stream_id, pos, size, row_number() over (partition by stream_id order by pos) as n from {m_packets}),
+e as (select stream_id, pos, size, n, cast(0 as bigint) as g, size as fill from p where n = 1 union all
+  select p.stream_id, p.pos, p.size, p.n, case when e.fill + p.size <= 12000 then e.g else e.g + 1 end, case when e.fill + p.size <= 12000 then e.fill + p.size else p.size end
+  from e join p on p.stream_id = e.stream_id and p.n = e.n + 1)
+select stream_id, pos, size, g as "group" from e""",
     ),
-    "wn16_pack_by_bytes": Entry(lambda t: W.pack_by_bytes(t("m_packets"), 12000)),
     "wn17_conceal_by_copy": Entry(
         lambda t: W.conceal_by_copy(t("m_blocks")).select("frame_no", "x", "y", F.col("concealed").cast("long").alias("concealed")),
         "select frame_no, x, y, cast(last_value(case when state > 1 then v end ignore nulls) over (partition by x, y order by frame_no rows unbounded preceding) as bigint) as concealed from {m_blocks}",

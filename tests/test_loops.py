@@ -243,7 +243,7 @@ def test_complexity_ema_and_packing(spark):
     w = 0.0
     got = {r.i: r.weight for r in W.complexity_ema(df).collect()}
     for n, a in enumerate(values, 1):
-        w = w * (n - 1) / n + a / n if n < 8 else w / 8 + a * 7 / 8
+        w = a if n == 1 else a * (n - 1) / n + w / n if n < 8 else a / 8 + w * 7 / 8  # the newest frame's weight is the first term
         assert math.isclose(got[n - 1], w)
     sizes = [R.randint(1, 50) for _ in range(60)]
     packed = W.pack_by_bytes(spark.createDataFrame([(1, i, s) for i, s in enumerate(sizes)], "stream_id long, pos long, size long"), 60)
@@ -263,7 +263,10 @@ def test_rolling_rate_model(spark):
     assert math.isclose(x1, 5000) and math.isclose(x2, 900)
     assert rate_model.estimate([(2.0, 10.0), (2.0, 20.0)]) == (30.0, 0.0)
     frames = [(q, r * 2, 2.0) for q, r in exact * 5]
-    windows = [w for w, _, _ in rate_model.rolled(frames)]
+    state, windows = rate_model.START, []
+    for f in frames:
+        state, (w, _, _) = rate_model.next_model(state, f)
+        windows.append(w)
     assert windows == [min(k, 20) for k in range(1, 26)]
     df = spark.createDataFrame([(s, i, *f) for s in (1, 2) for i, f in enumerate(frames)], "stream_id long, i long, q double, bits double, mad double")
     rows = rate_model.rolling_rate_model(df).where("i >= 5").collect()
@@ -302,3 +305,30 @@ def test_interleaved_group_and_ssim(spark):
     px = spark.createDataFrame([(0, x, y, (x * 31 + y * 17) % 256) for x in range(16) for y in range(16)], "frame_no long, x long, y long, v int")
     assert A.ssim(px, px).first().ssim == 1.0
     assert A.pixel_errors(px, px, ["frame_no"]).first().psnr is None
+
+
+@pytest.mark.parametrize("segment", [1, 3, 4096])
+def test_segments_of_frames(spark, segment):
+    rows = [(f, x, 0, R.randint(0, 255), R.choice([1, 1, 3]), int(R.random() < 0.2)) for f in range(40) if f % 7 for x in range(3)]
+    df = spark.createDataFrame(rows, "frame_no long, x long, y long, v int, state int, refreshed int")
+    copied = {(r.frame_no, r.x): r.concealed for r in W.conceal_by_copy(df, segment=segment).collect()}
+    ages = {(r.frame_no, r.x): r.age for r in W.refresh_age(df, 9, segment=segment).collect()}
+    for x in range(3):
+        last, age = None, 0
+        for f, _, _, v, state, refreshed in [r for r in rows if r[1] == x]:
+            last = v if state > 1 else last
+            age = 1 if refreshed else age + 1
+            assert copied[f, x] == last and ages[f, x] == min(age, 9)
+    assert len(copied) == len(ages) == len(rows)
+
+
+def test_folds_go_on_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(s, i, R.randint(1, 50)) for s in range(5) for i in range(60)]
+        R.shuffle(rows)
+        got = W.pack_by_bytes(spark.createDataFrame(rows, "stream_id long, pos long, size long").repartition(3), 60).collect()
+        assert len(got) == 300 and all(sum(r.size for r in got if (r.stream_id, r.group) == key) <= 60 for key in {(r.stream_id, r.group) for r in got})
+        assert max(r.group for r in got) < 60
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
