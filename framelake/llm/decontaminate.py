@@ -36,7 +36,7 @@ EXACT_BELOW = 8
 #: Bits of the seed filter per seed, and the most that it has altogether (32 MB).
 SEED_BITS, MAX_BITS = 32, 28
 #: Words whose hashes a task keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

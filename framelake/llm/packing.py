@@ -33,7 +33,7 @@ NEARLY_FULL = 0.995
 #: Groups that meet in one of the next merge round; pieces packed at once.
 FAN_IN, BLOCK = 8, 200_000
 #: Words whose ids a worker keeps, and their greatest length: longer ones are encoded where they occur.
-CACHE_WORDS, CACHE_LENGTH = 800_000, 40
+CACHE_WORDS, CACHE_LENGTH = 600_000, 40
 
 Encode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 

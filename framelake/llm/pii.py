@@ -1,9 +1,13 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The network is trained in numpy from labelled spans (those of the base patterns in a bounded sample
-of texts, and generated variants of their formats), tags the characters of overlapping windows, and
-every window is decoded by Viterbi. The spans of all windows of a text are reconciled globally: cut
-ones give way to whole ones, those of one kind that overlap are joined, the rest do not overlap.
+of texts, and generated variants of their formats that the patterns do not know: spaced or defanged
+addresses, numbers with other separators), tags the characters of overlapping windows, and every
+window is decoded by Viterbi. The spans of all windows of a text are reconciled globally: those that
+a window's border cuts give way to whole ones that they overlap, those of one kind that overlap are
+joined, of different kinds the longer stays. Ends within a run of letters or digits move to its ends,
+so that no number is cut; what then lacks the parts of its kind (four numbers up to 255, a Luhn sum,
+9 to 15 digits in groups, a domain) is dropped.
 
 A span of any kind holds a digit or an ``@``; decoding drops others. So windows without one of
 these characters cannot yield a span and are not run; this changes no result, at any size.
@@ -36,9 +40,11 @@ PATTERNS = (
 Span = tuple[int, int, int]  # kind, start, end
 
 WIDTH, STRIDE = 128, 64
+#: Windows that the network is fitted on: twice as wide as the longest of the made-up values.
+TRAIN_WIDTH = 64
 HIDDEN = 16
-#: Most texts that spans are learnt from.
-SAMPLE = 2000
+#: Most texts that spans are learnt from (those of them that hold a digit or ``@``).
+SAMPLE = 6000
 #: Tags: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 _CHARS = "0123456789@+.-()_%: \n"
@@ -123,48 +129,56 @@ class Network:
     trans: np.ndarray
 
     @staticmethod
-    def fresh(seed: int = 9) -> Network:
+    def fresh(seed: int = 9, kind: type = np.float32) -> Network:
         rng = np.random.default_rng(seed)
         embed = rng.normal(0, 0.4, (2, ALPHABET + 1, 4 * HIDDEN))
         embed[:, :, HIDDEN : 2 * HIDDEN] += 1  # forget gates open
         recur = rng.normal(0, 0.25, (2, HIDDEN, 4 * HIDDEN))
-        return Network(embed, recur, rng.normal(0, 0.2, (2 * HIDDEN + 1, TAGS)), rng.normal(0, 0.1, (TAGS, TAGS)))
+        return Network(*(p.astype(kind) for p in (embed, recur, rng.normal(0, 0.2, (2 * HIDDEN + 1, TAGS)), rng.normal(0, 0.1, (TAGS, TAGS)))))
 
     def params(self) -> list[np.ndarray]:
         return [self.embed, self.recur, self.out, self.trans]
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
-        """Tag scores (batch, width, tags) of character codes, and what the backward pass needs."""
-        batch, width = x.shape
-        states, kept = np.empty((batch, width, 2 * HIDDEN)), []
-        for d in (0, 1):
-            h, c, steps = np.zeros((batch, HIDDEN)), np.zeros((batch, HIDDEN)), []
-            for t in range(width) if d == 0 else range(width - 1, -1, -1):
-                z = self.embed[d][x[:, t]] + h @ self.recur[d]
-                ifo = _sigmoid(z[:, : 3 * HIDDEN])
-                i, f, o, g = ifo[:, :HIDDEN], ifo[:, HIDDEN : 2 * HIDDEN], ifo[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
-                c_new = f * c + i * g
-                tc = np.tanh(c_new)
-                steps.append((t, i, f, o, g, c, tc, h))
-                h, c = o * tc, c_new
-                states[:, t, d * HIDDEN : (d + 1) * HIDDEN] = h
-            kept.append(steps)
-        return states @ self.out[:-1] + self.out[-1], [states, kept]
+    def forward(self, x: np.ndarray, train: bool = False) -> tuple[np.ndarray, list]:
+        """Tag scores (batch, width, tags) of character codes, and what the backward pass needs.
+
+        Both directions advance together: step t is character t of the one and width - 1 - t of the other.
+        """
+        (batch, width), n = x.shape, HIDDEN
+        given = np.stack([self.embed[0][x.T], self.embed[1][x[:, ::-1].T]], axis=1)  # width, direction, batch, gates
+        h, c, kept = np.zeros((2, batch, n), given.dtype), np.zeros((2, batch, n), given.dtype), []
+        states = np.empty((width, 2, batch, n), given.dtype)
+        for t in range(width):
+            z = given[t] + h @ self.recur
+            ifo, g = _sigmoid(z[..., : 3 * n]), np.tanh(z[..., 3 * n :])
+            i, f, o = ifo[..., :n], ifo[..., n : 2 * n], ifo[..., 2 * n :]
+            c_new = f * c + i * g
+            tc = np.tanh(c_new)
+            if train:
+                kept.append((i, f, o, g, c, tc, h))
+            h, c = o * tc, c_new
+            states[t] = h
+        both = np.concatenate([states[:, 0], states[::-1, 1]], axis=-1).transpose(1, 0, 2)
+        return both @ self.out[:-1] + self.out[-1], [both, kept]
 
     def backward(self, x: np.ndarray, memo: list, slope: np.ndarray) -> list[np.ndarray]:
-        states, kept = memo
-        d_out = np.vstack([np.tensordot(states, slope, ((0, 1), (0, 1))), slope.sum(axis=(0, 1))[None]])
-        d_states = slope @ self.out[:-1].T
-        d_embed, d_recur = np.zeros_like(self.embed), np.zeros_like(self.recur)
-        for d in (0, 1):
-            dh_next, dc_next = np.zeros((len(x), HIDDEN)), np.zeros((len(x), HIDDEN))
-            for t, i, f, o, g, c, tc, h in reversed(kept[d]):
-                dh = d_states[:, t, d * HIDDEN : (d + 1) * HIDDEN] + dh_next
-                dc = dh * o * (1 - tc**2) + dc_next
-                dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)], axis=1)
-                d_recur[d] += h.T @ dz
-                np.add.at(d_embed[d], x[:, t], dz)
-                dh_next, dc_next = dz @ self.recur[d].T, dc * f
+        (both, kept), (batch, width), n = memo, x.shape, HIDDEN
+        d_out = np.vstack([np.tensordot(both, slope, ((0, 1), (0, 1))), slope.sum(axis=(0, 1))[None]])
+        pulled = (slope @ self.out[:-1].T).transpose(1, 0, 2)
+        d_states = np.stack([pulled[..., :n], pulled[::-1, :, n:]], axis=1)
+        d_recur, dzs = np.zeros_like(self.recur), np.empty((width, 2, batch, 4 * n), d_states.dtype)
+        dh_next = dc_next = np.zeros((2, batch, n), d_states.dtype)
+        for t in range(width - 1, -1, -1):
+            i, f, o, g, c, tc, h = kept[t]
+            dh = d_states[t] + dh_next
+            dc = dh * o * (1 - tc**2) + dc_next
+            dzs[t] = dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)], axis=-1)
+            d_recur += h.transpose(0, 2, 1) @ dz
+            dh_next, dc_next = dz @ self.recur.transpose(0, 2, 1), dc * f
+        d_embed = np.empty_like(self.embed)
+        for d, codes_ in enumerate((x.T, x[:, ::-1].T)):
+            which = (codes_.reshape(-1, 1) == np.arange(ALPHABET + 1)).astype(dzs.dtype)
+            d_embed[d] = which.T @ dzs[:, d].reshape(-1, 4 * n)
         return [d_embed, d_recur, d_out]
 
 
@@ -214,39 +228,54 @@ def viterbi(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
 _FILL = "of and the to in la de der die que el que an is for this that with number call write server pay le les un".split()
 
 
+def _with_luhn(digits: str) -> str:
+    """The digits with a last one that makes their Luhn sum right."""
+    return next(digits + c for c in "0123456789" if _luhn(digits + c))
+
+
 def _made_up(rng: np.random.Generator) -> tuple[str, int]:
-    """A value of one of the kinds, or (kind -1) something that looks a little like one."""
+    """A value of one of the kinds in a format of the base patterns or a variant, or (kind -1) something
+    that looks a little like one."""
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     letters = lambda n: "".join(chr(97 + i) for i in rng.integers(0, 26, n))
     pick = lambda *xs: xs[rng.integers(0, len(xs))]
     kind = int(rng.integers(0, 8))
     if kind == 0:
         host = f"{letters(rng.integers(3, 8))}{pick('', digits(1))}.{pick('example.com', 'example.org', 'com', 'net', 'co.uk')}"
-        return f"{letters(rng.integers(2, 9))}{pick('', '.', '_', '-')}{pick('', digits(2), letters(3))}{pick('@', '@', '@', ' @ ')}{host}", 0
+        if rng.random() < 0.3:
+            host = host.replace(".", "[.]")
+        return f"{letters(rng.integers(2, 9))}{pick('', '.', '_', '-')}{pick('', digits(2), letters(3))}{pick('@', '@', ' @ ')}{host}", 0
     if kind == 1:
-        return ".".join(str(n) for n in rng.integers(0, 256, 4)), 1
+        return pick(".", ".", "[.]", " . ").join(str(n) for n in rng.integers(0, 256, 4)), 1
     if kind == 2:
-        parts = ["4" + digits(3), digits(4), digits(4), digits(4)]
-        return pick("", "", "-", " ").join(parts), 2
+        number = _with_luhn("4" + digits(14))
+        return pick("", "", "-", " ", ".", "/", "  ").join(number[k : k + 4] for k in range(0, 16, 4)), 2
     if kind == 3:
-        return pick(f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(4)} {digits(3)}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}"), 3
+        a, b, c = digits(3), digits(3), digits(4)
+        return pick(f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {c} {b}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1/{a}/{b}/{c}", f"00 {digits(2)} {a} {b} {c}"), 3
     if kind == 4:
         return f'token = "{"".join(rng.choice(list("0123456789abcdef"), 40))}"', -1
-    return pick(f"version {digits(1)}.{digits(1)}", digits(rng.integers(1, 9)), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(1)},{digits(3)}", f"AKIA{letters(12).upper()}{digits(3)}", f"password={digits(3)}{letters(4)}{digits(6)}", f"{digits(4)}-{digits(2)}-{digits(2)}"), -1
+    wrong = _with_luhn("5" + digits(14))
+    wrong = wrong[:-1] + str((int(wrong[-1]) + 1 + int(rng.integers(0, 8))) % 10)
+    return pick(
+        f"version {digits(1)}.{digits(1)}", digits(rng.integers(1, 9)), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(1)},{digits(3)}", f"AKIA{letters(12).upper()}{digits(3)}",
+        f"password={digits(3)}{letters(4)}{digits(6)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"@{letters(5)}", f"{letters(4)} @ {digits(2)}",
+        digits(rng.integers(10, 16)), wrong, f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+    ), -1
 
 
-def examples(texts: list[str], rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
+def examples(texts: list[str], rng: np.random.Generator, n: int, width: int = TRAIN_WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """``n`` windows and their tags: half around the base spans of the texts, half with made-up values."""
-    x, y = np.full((n, WIDTH), PAD), np.zeros((n, WIDTH), np.int64)
+    x, y = np.full((n, width), PAD), np.zeros((n, width), np.int64)
     real = [(t, s) for t in texts if _ANCHOR.search(t) for s in [base_spans(t)]]
     for row in range(n):
         if row % 2 and real:
             text, spans = real[rng.integers(0, len(real))]
             anchors = [m.start() for m in _ANCHOR.finditer(text)]
-            at = max(0, anchors[rng.integers(0, len(anchors))] - int(rng.integers(0, WIDTH)))
+            at = max(0, anchors[rng.integers(0, len(anchors))] - int(rng.integers(0, width)))
         else:
             words, spans, text, at = [], [], "", 0
-            while len(text) < WIDTH:
+            while len(text) < width:
                 if rng.random() < 0.12:
                     value, kind = _made_up(rng)
                     if kind >= 0:
@@ -254,39 +283,39 @@ def examples(texts: list[str], rng: np.random.Generator, n: int) -> tuple[np.nda
                     text += value + (" ", " ", ". ", ", ", "\n")[rng.integers(0, 5)]
                 else:
                     text += _FILL[rng.integers(0, len(_FILL))] + " "
-        part = codes(text[at : at + WIDTH])
+        part = codes(text[at : at + width])
         x[row, : len(part)] = part
         for kind, a, b in spans:
-            a, b = max(a - at, 0) if a >= at else a - at, min(b - at, WIDTH)
-            if b > 0 and a < WIDTH:
+            a, b = max(a - at, 0) if a >= at else a - at, min(b - at, width)
+            if b > 0 and a < width:
                 y[row, max(a, 0) : b] = 2 + 2 * kind
                 if a >= 0:
                     y[row, a] = 1 + 2 * kind
     return x, y
 
 
-def fit(texts: list[str], steps: int = 220, batch: int = 64, rate: float = 0.02, seed: int = 9) -> Network:
-    """Adam on the CRF's log loss, over windows drawn anew for every step."""
+def fit(texts: list[str], steps: int = 500, batch: int = 64, rate: float = 0.02, seed: int = 9) -> Network:
+    """Adam on the CRF's log loss, over batches drawn from a set of windows."""
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
     m, v = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()]
-    xs, ys = examples(texts, rng, 40 * batch)
+    xs, ys = examples(texts, rng, 120 * batch)
     for step in range(1, steps + 1):
         rows = rng.integers(0, len(xs), batch)
         x, y = xs[rows], ys[rows]
-        scores, memo = net.forward(x)
+        scores, memo = net.forward(x, True)
         _, slope, d_trans = crf_slopes(scores, y, net.trans)
         pull = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, (p, g) in enumerate(zip(net.params(), [*net.backward(x, memo, slope), d_trans], strict=True)):
             g = np.clip(g, -1, 1)
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g**2
-            p -= pull * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            p -= (pull * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(p.dtype)
     return net
 
 
 def train(docs: DataFrame, n: int = SAMPLE) -> Network:
-    """Fit on the base spans of at most ``n`` texts that hold a digit or ``@``."""
-    with_anchor = id_text(docs).where(F.rlike("text", F.lit("[0-9@]")))
-    return fit([t for _, t in sampled_texts(with_anchor, sample_ids(with_anchor, "doc_id", n, 10))])
+    """Fit on the base spans of at most ``n`` sampled texts; fit once and pass the network on to use it again."""
+    texts = id_text(docs)
+    return fit([t for _, t in sampled_texts(texts, sample_ids(texts, "doc_id", n, 10)) if _ANCHOR.search(t)])
 
 
 # ---------------------------------------------------------------------------------- decoding
@@ -315,9 +344,10 @@ def _decoded(tags: np.ndarray) -> list[Span]:
 
 
 def network_spans(net: Network, texts: list[str], batch: int = 256) -> list[list[Span]]:
-    """Reconciled spans of every text's windows."""
+    """Reconciled spans of every text's windows, their ends moved to those of words and numbers."""
     where = [(i, at) for i, t in enumerate(texts) for at in windows_of(t)]
-    raw: list[list[Span]] = [[] for _ in texts]
+    whole: list[list[Span]] = [[] for _ in texts]
+    cut: list[list[Span]] = [[] for _ in texts]
     for first in range(0, len(where), batch):
         part = where[first : first + batch]
         x = np.full((len(part), WIDTH), PAD)
@@ -327,21 +357,17 @@ def network_spans(net: Network, texts: list[str], batch: int = 256) -> list[list
         tags = viterbi(net.forward(x)[0], net.trans)
         for r, (i, at) in enumerate(part):
             for kind, a, b in _decoded(tags[r]):
-                text = texts[i]
-                a, b = a + at, min(b + at, len(text))
-                while a < b and text[a].isspace():
-                    a += 1
-                while b > a and text[b - 1] in " \n\t.,;:":
-                    b -= 1
-                if _ANCHOR.search(text, a, b):
-                    raw[i].append((kind, a, b))
-    return [reconcile(r) for r in raw]
-
-
-def reconcile(spans: list[Span]) -> list[Span]:
-    """Spans of one kind that overlap are joined; of different kinds, the longer stays (then the earlier)."""
+                at_border = a == 0 < at or b == WIDTH < len(texts[i]) - at
+                (cut if at_border else whole)[i].append((kind, a + at, min(b + at, len(texts[i]))))
+    return [[s for s in (tidy(t, s) for s in reconcile(w, c)) if s] for t, w, c in zip(texts, whole, cut, strict=True)]
+
+
+def reconcile(whole: list[Span], cut: list[Span] = ()) -> list[Span]:
+    """Spans that a border cuts give way to whole ones they overlap. Of those left, spans of one kind that
+    overlap are joined; of different kinds the longer stays (then the earlier, then the kind listed first)."""
+    left = sorted({c for c in cut if all(c[2] <= a or c[1] >= b for _, a, b in whole)} | set(whole))
     joined: list[list[int]] = []
-    for kind, a, b in sorted(set(spans)):
+    for kind, a, b in left:
         if joined and joined[-1][0] == kind and a < joined[-1][2]:
             joined[-1][2] = max(joined[-1][2], b)
         else:
@@ -353,14 +379,35 @@ def reconcile(spans: list[Span]) -> list[Span]:
     return sorted(kept)
 
 
+def tidy(text: str, span: Span) -> Span | None:
+    """The span without blanks and stops around it, its ends moved out to those of runs of letters or digits."""
+    kind, a, b = span
+    while a < b and (text[a].isspace() or text[a] in ",;:"):
+        a += 1
+    while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
+        b -= 1
+    while 0 < a < b and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while a < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    return (kind, a, b) if _ANCHOR.search(text, a, b) else None
+
+
+_PLAUSIBLE = (
+    re.compile(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+((\.|\[\.\]| \. )[A-Za-z0-9-]+)+"),
+    re.compile(r"[0-9]{1,3}(\D{1,3}[0-9]{1,3}){3}"),
+    re.compile(r"[0-9](\D{0,2}[0-9]){12,18}"),
+    re.compile(r"[+(]?[0-9]+(\D{1,3}[0-9]+)+"),
+)
+
+
 def plausible(kind: int, text: str) -> bool:
     """A span of the network alone counts if it has the parts of its kind."""
-    digits = sum(c in "0123456789" for c in text)
-    if kind == 0:
-        return "@" in text.strip("@ ") and "." in text.partition("@")[2]
-    if kind == 1:
-        return text.count(".") == 3 and digits >= 4
-    return 13 <= digits <= 19 if kind == 2 else 9 <= digits <= 15
+    if not _PLAUSIBLE[kind].fullmatch(text):
+        return False
+    numbers = re.findall("[0-9]+", text)
+    digits = "".join(numbers)
+    return (True, all(int(n) <= 255 for n in numbers), _luhn(digits), 9 <= len(digits) <= 15 and len(numbers) > 2)[kind]
 
 
 def all_spans(net: Network, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:

@@ -399,6 +399,63 @@ def test_pipeline_near_dedup_against_brute_force(spark):
     assert corpus_pipeline.near_dedup(spark, docs_of(spark, []), "").count() == 0
 
 
+def test_wide_fingerprint_counts_bits():
+    rng = np.random.default_rng(6)
+    from framelake.llm import simhash_texts as near_texts
+
+    for n in (1, 2, 239, 240, 241, 20_000):
+        shingles = rng.integers(0, 1 << 63, n, np.uint64)
+        ones = np.zeros((near_texts.WORDS, 64), int)
+        for w, factor in enumerate(near_texts._FACTORS):
+            h = (shingles ^ (shingles >> np.uint64(31))) * factor
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+            ones[w] = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0)
+        bits = [int(2 * c > n) for c in ones.ravel()]
+        got = near_texts.wide_fingerprint(shingles)
+        assert [int(got[k // 64]) >> k % 64 & 1 for k in range(64 * near_texts.WORDS)] == bits
+        bands = near_texts.bands_of(got)
+        assert [b >> near_texts.BITS for b in bands.tolist()] == list(range(near_texts.BANDS))
+        assert [b & 1 for b in bands.tolist()] == bits[: near_texts.BANDS * near_texts.BITS : near_texts.BITS]
+
+
+def test_pairs_at_the_similarity_meet():
+    """Recall of the bands for pairs of sets at 0.8, 0.85 and 0.9, and of the sketch before them."""
+    from framelake.llm import simhash_texts as near_texts
+
+    rng = np.random.default_rng(8)
+    for similarity, least in ((0.8, 0.95), (0.85, 0.99), (0.9, 0.995)):
+        met = kept = 0
+        for _ in range(400):
+            n = 200
+            common = round(2 * n * similarity / (1 + similarity))
+            a = rng.integers(0, 1 << 63, 2 * n - common, np.uint64)
+            one, two = np.unique(a[:n]), np.unique(np.concatenate([a[:common], a[n:]]))
+            kept += len(set(one[:16].tolist()) & set(two.tolist())) >= 6
+            x, y = (near_texts.bands_of(near_texts.wide_fingerprint(s)) for s in (one, two))
+            met += any((p ^ q).bit_count() <= 2 for p, q in zip(x.tolist(), y.tolist()))
+        assert met >= least * 400 and kept >= 399, (similarity, met, kept)
+
+
+def test_families_are_verified_in_blocks(spark, monkeypatch):
+    from framelake.llm import simhash_texts as near_texts
+
+    rnd = random.Random(12)
+    words = ["w%d" % rnd.randrange(5000) for _ in range(300)]
+    rows = []
+    for k in range(80):
+        mine = list(words)
+        for at in rnd.sample(range(300), rnd.randint(2, 9)):
+            mine[at] = "x%d" % rnd.randrange(10**6)
+        rows.append((k, " ".join(mine)))
+    whole = {r.doc_id: r.component_id for r in near_texts.near_duplicates(docs_of(spark, rows)).collect()}
+    monkeypatch.setattr(near_texts, "BLOCK_BYTES", 20_000)
+    assert {r.doc_id: r.component_id for r in near_texts.near_duplicates(docs_of(spark, rows)).collect()} == whole
+    sets = [near_texts.shingle_set(near_texts.words_of(t)) for _, t in rows]
+    near_texts.similar_within(sets, 0)
+    assert len(set(whole.values())) < 80
+
+
 # ------------------------------------------------------------------ 6 quality
 
 
