@@ -542,6 +542,32 @@ def test_toxicity(spark):
     assert pu_toxicity.classify(docs_of(spark, []), labels).count() == 0
 
 
+def test_risk_and_its_slope():
+    rng = np.random.default_rng(7)
+    n_p, n, k = 5, 17, 4
+    x = rng.integers(0, 3, (n, k)).astype(float)
+    rows, cols = np.nonzero(x)
+    for shift in (0.0, -6.0, 6.0):
+        theta = rng.normal(size=k + 1)
+        theta[k] += shift
+        for prior in (0.05, 0.6):
+            f = x @ theta[:k] + theta[k]
+            loss = lambda z: np.log1p(np.exp(-z))
+            negative = loss(-f[n_p:]).mean() - prior * loss(-f[:n_p]).mean()
+            risk, slope = pu_toxicity.gradient(theta, cols, x[rows, cols], rows, n_p, n, prior)
+            assert np.isclose(risk, prior * loss(f[:n_p]).mean() + max(0, negative))
+
+            def part(t):
+                f = x @ t[:k] + t[k]
+                neg = loss(-f[n_p:]).mean() - prior * loss(-f[:n_p]).mean()
+                return prior * loss(f[:n_p]).mean() + neg if negative >= 0 else -neg
+
+            for i in range(k + 1):
+                step = np.zeros(k + 1)
+                step[i] = 1e-6
+                assert np.isclose((part(theta + step) - part(theta - step)) / 2e-6, slope[i], atol=1e-6)
+
+
 # ------------------------------------------------------------------ 9 personal data
 
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
