@@ -34,7 +34,7 @@ SHORT_MASK = "111"
 #: Items of fewer words are found without substitutions.
 EXACT_BELOW = 8
 #: Bits of the seed filter per seed, and the most that it has altogether (32 MB).
-SEED_BITS, MAX_BITS = 32, 28
+SEED_BITS, MAX_BITS = 256, 28
 #: Words whose hashes a task keeps.
 CACHE_WORDS = 250_000
 _WORD = re.compile(r"\w+")
@@ -129,7 +129,7 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class _Filter:
-    """Which seeds may be the benchmark's: two bits of every seed are set."""
+    """Which seeds may be the benchmark's: three bits of every seed are set."""
 
     def __init__(self, bits: np.ndarray, log: int, masks: tuple[str, ...]) -> None:
         self.bits, self.log, self.masks = bits, log, masks
@@ -137,7 +137,9 @@ class _Filter:
     def passes(self, h: np.ndarray) -> np.ndarray:
         found = self._has(h >> np.uint64(64 - self.log))
         at = np.flatnonzero(found)
-        return at[self._has(h[at] & np.uint64((1 << self.log) - 1))]
+        for shift in (0, 18):
+            at = at[self._has((h[at] >> np.uint64(shift)) & np.uint64((1 << self.log) - 1))]
+        return at
 
     def _has(self, bit: np.ndarray) -> np.ndarray:
         return (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -148,7 +150,7 @@ def _filter_of(seeds: DataFrame, items: DataFrame, max_bits: int) -> _Filter:
     lengths = [r.n for r in items.select((F.octet_length("words") / 8).cast("int").alias("n")).select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]
     masks = tuple(sorted({m for n in lengths for m in masks_for(n)}))
     log = min(max_bits, max(16, (SEED_BITS * seeds.count()).bit_length()))
-    bit = F.explode(F.array(F.shiftrightunsigned("seed", 64 - log), F.col("seed").bitwiseAND((1 << log) - 1)))
+    bit = F.explode(F.array(F.shiftrightunsigned("seed", 64 - log), *[F.shiftrightunsigned("seed", k).bitwiseAND((1 << log) - 1) for k in (0, 18)]))
     octets = seeds.select(bit.alias("b")).groupBy(F.shiftright("b", 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("b").bitwiseAND(7).cast("int"))).alias("v")).toArrow()
     bits = np.zeros(1 << (log - 3), np.uint8)
     bits[octets.column("at").to_numpy()] = octets.column("v").to_numpy().astype(np.uint8)

@@ -501,12 +501,14 @@ def test_quality_learns_and_keeps_columns(spark):
 # ------------------------------------------------------------------ 7 suffix dedup
 
 
-@pytest.mark.parametrize("chunk", [300, 1 << 20])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "hot", "broadcast"), [(300, 50_000, 24 << 20), (1 << 20, 50_000, 24 << 20), (300, 3, 24 << 20), (2000, 0, 0)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, chunk, hot, broadcast):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # anchors above it are dealt window by window
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", broadcast)  # 0: answers are joined by chunk
     base = ["".join(R.choice("abcdé ") for _ in range(R.randint(0, 300))) for _ in range(6)] + ["ab" * 120, "a" * 200]
     rows = [(R.randint(0, 40), "".join(R.choice(base)[R.randint(0, 90) :][: R.randint(0, 160)] + R.choice(["", "x", "ü"]) for _ in range(R.randint(0, 4)))) for _ in range(70)]
-    rows += [(None, base[0] + "zz"), (None, base[0] + "zz"), (50, None), (51, ""), (3, base[6]), (3, base[6])]
+    rows += [(None, base[0] + "zz"), (None, base[0] + "zz"), (50, None), (51, ""), (3, base[6]), (3, base[6]), ((1 << 63) - 1, base[7] + "own"), (-5, base[3])]
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs_of(spark, rows)).collect()]
     assert sorted(got, key=repr) == sorted(repeated(rows), key=repr)
     assert sum(r[2] for r in got) > 500
