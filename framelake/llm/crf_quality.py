@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import id_text, in_training_fold, sample_ids, sampled_texts, small_batches
+from .common import id_text, in_training_fold, sample_ids, sampled_texts, small_batches, tidied
 
 #: Most documents of each label that the field is fitted on.
 SAMPLE_PER_LABEL = 1500
@@ -161,11 +161,13 @@ def scored(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
     small_batches(docs.sparkSession)
     kept = docs.drop(out)
     schema = StructType([*kept.schema.fields, StructField(out, DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row (repeated rows stay, a null id is held out)."""
+    """``doc_id, held_out, score, predicted`` of every row. Null text counts as empty, repeated rows stay, a null
+    id is held out, a score at the threshold counts as good, an empty table gives an empty one. A text of n
+    lines takes n steps forward and back, whatever their length; further columns are ignored."""
     texts = id_text(docs)
     found = scored(texts, train(docs, labels, per_label)).drop("text")
     return found.select(
@@ -175,6 +177,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, p
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose quality reaches the threshold."""
+    """The rows of ``docs``, unchanged, whose quality reaches the threshold. Null texts count as empty, repeated
+    rows are judged alike, an empty table gives an empty one; without labels all rows score 0.5 and stay."""
     field = train(docs, labels, per_label)
-    return scored(docs, field, out="__quality").where(F.col("__quality") >= threshold).drop("__quality")
+    name = "__quality"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, field, out=name).where(F.col(name) >= threshold).drop(name)

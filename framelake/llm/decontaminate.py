@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, small_batches
+from .common import checkpointed, id_text, small_batches, tidied
 
 WINDOW, SUBSTITUTIONS = 15, 3
 MASKS = ("1111011", "11001000111", "11010110001")
@@ -36,7 +36,7 @@ EXACT_BELOW = 8
 #: Bits of the seed filter per seed, and the most that it has altogether (32 MB).
 SEED_BITS, MAX_BITS = 256, 28
 #: Words whose hashes a task keeps.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -195,9 +195,10 @@ def _suspects(docs: DataFrame, known: _Filter, text_col: str) -> DataFrame:
             hits = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(seed), pa.array(at.astype(np.int32))], names=["seed", "at"]))
             chosen = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("row").take(chosen), b.column("text").take(chosen), hits], names=["row", "text", "hits"])
+        _HASHES.clear()
 
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return named.mapInArrow(run, f"row {named.schema['row'].dataType.simpleString()}, text string, hits {_HITS}").withColumn("key", F.md5(F.encode("text", "UTF-8")))
+    return named.mapInArrow(tidied(run), f"row {named.schema['row'].dataType.simpleString()}, text string, hits {_HITS}").withColumn("key", F.md5(F.encode("text", "UTF-8")))
 
 
 def _matches(suspects: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -229,7 +230,7 @@ def _matches(suspects: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFra
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "item", "doc_start", "item_start", "n_aligned", "n_equal"])
 
-    parts = texts.select("key", "text").join(per_text, "key").mapInArrow(cut, "key string, item string, shift int, part binary")
+    parts = texts.select("key", "text").join(per_text, "key").mapInArrow(tidied(cut), "key string, item string, shift int, part binary")
     beside = parts.join(items, "item").select("key", "item", "shift", "part", "words")
     return beside.mapInArrow(verify, "key string, item string, doc_start int, item_start int, n_aligned int, n_equal int")
 
@@ -277,5 +278,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
             free = np.ones(b.num_rows, bool)
             free[text] = False
             yield pa.RecordBatch.from_struct_array(pc.filter(b.to_struct_array(), pa.array(free)))
+        _HASHES.clear()
 
-    return docs.mapInArrow(run, docs.schema).unionByName(suspects.join(dirty, "key", "left_anti").select("row.*"))
+    return docs.mapInArrow(tidied(run), docs.schema).unionByName(suspects.join(dirty, "key", "left_anti").select("row.*"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, small_batches
+from .common import checkpointed, id_text, small_batches, tidied
 
 CAPACITY = 2048
 END = np.zeros(1, "<u4").tobytes()
@@ -33,7 +33,7 @@ NEARLY_FULL = 0.995
 #: Groups that meet in one of the next merge round; pieces packed at once.
 FAN_IN, BLOCK = 8, 200_000
 #: Words whose ids a worker keeps, and their greatest length: longer ones are encoded where they occur.
-CACHE_WORDS, CACHE_LENGTH = 600_000, 40
+CACHE_WORDS, CACHE_LENGTH = 300_000, 40
 
 Encode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -190,7 +190,7 @@ def pieces(docs: DataFrame, encode: Encode, capacity: int = CAPACITY, with_ids:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types_)], names=names)
 
     small_batches(docs.sparkSession)
-    return id_text(docs).mapInArrow(run, PIECE_SCHEMA + ", ids binary" * with_ids)
+    return id_text(docs).mapInArrow(tidied(run), PIECE_SCHEMA + ", ids binary" * with_ids)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

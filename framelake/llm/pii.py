@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, sample_ids, sampled_rows, small_batches
+from .common import id_text, sample_ids, sampled_rows, small_batches, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. That of email is [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+,
@@ -322,7 +322,7 @@ def train(docs: DataFrame, n: int = SAMPLE) -> Network:
         net = fit([t for b in batches for t in b.column("text").to_pylist()])
         yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()]) for p in net.params()], names=["embed", "recur", "out", "trans"])
 
-    found = sample.mapInArrow(run, "embed binary, recur binary, out binary, trans binary").first()
+    found = sample.mapInArrow(tidied(run), "embed binary, recur binary, out binary, trans binary").first()
     shapes = [p.shape for p in Network.fresh().params()]
     return Network(*(np.frombuffer(raw, np.float32).reshape(shape).copy() for raw, shape in zip(found, shapes, strict=True)))
 
@@ -450,7 +450,7 @@ def detect(docs: DataFrame, net: Network | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, digest, every, n], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     small_batches(docs.sparkSession)
-    return id_text(docs).mapInArrow(run, FOUND_SCHEMA)
+    return id_text(docs).mapInArrow(tidied(run), FOUND_SCHEMA)
 
 
 def _masked(text: str, spans: list[Span]) -> str:
@@ -483,4 +483,4 @@ def redact(docs: DataFrame, net: Network | None = None, text_col: str = "text",
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -102,12 +102,13 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_lowest(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` whose doc_id is the ``component_id`` that ``found`` has for it.
 
-    doc_id is the key: of rows that repeat a kept one, one stays. Rows without a doc_id are kept,
-    since nothing names them. The texts are shuffled once, by the key, for both steps.
+    doc_id is the key: of rows that repeat a kept one, one stays (the first where they differ). Rows
+    without a doc_id are kept, since nothing names them. The texts are shuffled once, by the key, for
+    both steps. Columns may have any names and types.
     """
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").cast("string").alias("__key")).distinct()
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").cast("string").alias("key")).distinct()
     own = F.concat(F.lit("row "), F.monotonically_increasing_id())
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long").cast("string"), own))
-    first = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
-    kept = keyed.join(drop, "__key", "left_anti").withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return kept.select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), own).alias("key"), F.monotonically_increasing_id().alias("at"), row)
+    first = Window.partitionBy("key").orderBy("at")
+    return keyed.join(drop, "key", "left_anti").withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
