@@ -87,9 +87,9 @@ def rtp_valid(packet: Column, fields: Column) -> Column:
 
 
 def strip_emulation(payload: Column) -> Column:
-    """Without each 03 that follows two zeros."""
+    """Without each 03 that follows exactly two zeros."""
     text = F.decode(payload, "ISO-8859-1")
-    return F.encode(F.regexp_replace(text, "\\x00\\x00\\x03", "\u0000\u0000"), "ISO-8859-1")
+    return F.encode(F.regexp_replace(text, "(?<!\\x00)\\x00\\x00\\x03", "\u0000\u0000"), "ISO-8859-1")
 
 
 def insert_emulation(payload: Column) -> Column:
@@ -158,9 +158,15 @@ def qstep_upper_bounds() -> list[float]:
 
 
 def qstep_to_qp(q: Column) -> Column:
-    """Nearest index: the number of indices whose upper bound lies below the step, at most the last."""
-    bounds = F.array(*map(F.lit, qstep_upper_bounds()[:-1]))
-    return F.size(F.filter(bounds, lambda b: b < q)).cast("long")
+    """Nearest index: the number of indices whose upper bound lies below the step, at most the last.
+
+    Bounds double every six indices, so a logarithm gives the octave and six comparisons the rest.
+    """
+    bounds = qstep_upper_bounds()[:6]
+    octave = F.floor(F.log2(q / bounds[0]))
+    scale = F.pow(F.lit(2.0), octave)
+    inside = sum(((scale * b < q).cast("long") for b in bounds), F.lit(0).cast("long"))
+    return F.when(q > bounds[0], F.least(F.lit(MAX_QP).cast("long"), 6 * octave + inside)).when(q.isNotNull(), F.lit(0).cast("long"))
 
 
 def mb_xy(mb: Column, width: Column | int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import idiv, weight_pixels
+from ..functions.columns import idiv, rtp_header_fields, weight_pixels
 
 #: Sample formats and their raw names (planar ones are written as one packed channel).
 SAMPLE_FORMATS = {
@@ -111,3 +111,16 @@ def zero_byte_warnings(nal: DataFrame) -> DataFrame:
     return nal.where((F.col("start_code_len") == 3) & (F.col("nal_type").isin(7, 8) | (F.col("au_position") == 1)))
 
 
+
+
+def parted_rtp(packets: DataFrame, packet: str = "packet", layout: str = "rfc3550") -> tuple[DataFrame, DataFrame]:
+    """Packets with their header fields (column ``rtp``): those that are valid, and the others in quarantine
+    with the first ``reason`` that holds."""
+    fields = packets.withColumn("rtp", rtp_header_fields(F.col(packet), layout))
+    f = F.col("rtp")
+    reason = (
+        F.when(F.col(packet).isNull() | (F.octet_length(packet) < 12), F.lit("short")).when(f["version"] != 2, F.lit("version")).when(f["padding"] != 0, F.lit("padding"))
+        .when(f["extension"] != 0, F.lit("extension")).when(f["csrc_count"] != 0, F.lit("sources"))
+    )
+    judged = fields.withColumn("reason", reason)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")

@@ -82,9 +82,10 @@ from {lineitem}""",
         None,
     ),
     "m_symbols": (
-        """select doc_id, sym, count(*) as n
-from (select doc_id, explode(split(regexp_replace(lower(text), '[^a-z]', ''), '')) as sym from {documents}) t
-where sym <> '' group by doc_id, sym""",
+        """select doc_id, sym, n from (
+  select doc_id, inline(transform(split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '),
+    c -> named_struct('sym', c, 'n', cast(length(t) - length(replace(t, c, '')) as bigint))))
+  from (select doc_id, lower(text) as t from {documents}) l) s where n > 0""",
         """select doc_id, sym, count(*) as n
 from (select doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '')) as sym from {documents}) t
 where sym <> '' group by doc_id, sym""",

@@ -16,6 +16,12 @@ ENTRIES = {
         lambda t: S.over_limit(S.bitrate_windows(t("m_frame_log"), "2 days", "1 day"), 60000),
         """select stream_id, start, count(*) as n, cast(sum(bits) as bigint) as bits from (
 select stream_id, bits, cast(date_trunc('day', ts) - to_days(k) as timestamp) as start from {m_frame_log}, (select cast(unnest(range(2)) as integer) as k)) group by stream_id, start having sum(bits) > 60000""",
+    ),
+    "sm07_late_rows": Entry(
+        lambda t: S.late_rows(t("m_frame_log").select("stream_id", (F.col("i") + F.when(F.col("ftype") == "B", 3).otherwise(0)).alias("arrival"), "i", "ts").withColumn("arrival", F.col("arrival") * 10 + F.col("i") % 10), "12 hours"),
+        """with a as (select stream_id, ts, (i + case when ftype = 'B' then 3 else 0 end) * 10 + i % 10 as arrival from {m_frame_log}),
+l as (select *, max(ts) over (partition by stream_id order by arrival rows between unbounded preceding and 1 preceding) as newest from a)
+select stream_id, count(*) as n, count(*) filter (ts < newest - interval 12 hours) as late from l group by stream_id""",
     ),
     "sm05_bursts": Entry(
         lambda t: S.bursts(t("m_frame_log"), "6 hours").withColumn("end", F.col("end")),
