@@ -9,14 +9,17 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import idiv, nal_header_fields
+from .records import SPLIT_BYTES, RecordSource
 
-#: Bytes and struct letters of sample formats.
-SAMPLES = {"u8": (1, "B"), "s16le": (2, "<h"), "s32le": (4, "<i"), "f32le": (4, "<f"), "f64le": (8, "<d"), "s16be": (2, ">h"), "s32be": (4, ">i"), "f32be": (4, ">f"), "f64be": (8, ">d")}
+#: Bytes and number types of sample formats.
+SAMPLES = {"u8": (1, "u1"), "s16le": (2, "<i2"), "s32le": (4, "<i4"), "f32le": (4, "<f4"), "f64le": (8, "<f8"), "s16be": (2, ">i2"), "s32be": (4, ">i4"), "f32be": (4, ">f4"), "f64be": (8, ">f8")}
 KINDS = {
     "video": "mp4 mkv flv avi mov ts yuv h264 264 mpg webm".split(), "audio": "mp3 aac wav pcm flac ogg m4a".split(),
     "text": "txt cfg csv sdp log".split(), "image": "png jpg jpeg bmp gif".split(),
@@ -31,18 +34,16 @@ def media_catalog(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("kind", kind)
 
 
-#: Larger files are split into ranges of whole records and read by many tasks.
+#: Larger files are read in byte ranges by many tasks.
 SPLIT_ABOVE = 256 << 20
-_FIXED = "org.apache.spark.input.FixedLengthBinaryInputFormat"
 
 
-def _records(spark: SparkSession, path: str, size: int, split_above: int | None = None) -> DataFrame:
+def _records(spark: SparkSession, path: str, size: int, split_above: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``file, record, data``: whole records of ``size`` bytes, numbered per file, and a short last one.
 
-    Files are cut up in the task that reads them; large ones that hold whole records only are split.
+    Files are cut up in the task that reads them; large ones, whatever their length, are read in ranges.
     """
     limit = SPLIT_ABOVE if split_above is None else split_above
-    large = (F.col("length") > limit) & (F.col("length") % size == 0)
     files = spark.read.format("binaryFile").load(path)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,12 +56,11 @@ def _records(spark: SparkSession, path: str, size: int, split_above: int | None
                     yield pd.DataFrame({"file": file, "record": ks, "data": [bytes(content[k * size : (k + 1) * size]) for k in ks]})
 
     schema = "file string, record long, data binary"
-    found = files.where(~large).select(F.col("path").alias("file"), "content").mapInPandas(cut, schema)
-    for (file,) in files.where(large).select("path").collect():  # names of very large files only
-        rows = spark.sparkContext.newAPIHadoopFile(
-            file, _FIXED, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{_FIXED}.recordLength": str(size)}
-        )
-        found = found.union(spark.createDataFrame(rows.map(lambda kv, file=file: (file, int(kv[0]), kv[1])), schema))
+    found = files.where(F.col("length") <= limit).select(F.col("path").alias("file"), "content").mapInPandas(cut, schema)
+    spark.dataSource.register(RecordSource)
+    for (file,) in files.where(F.col("length") > limit).select("path").collect():  # names of very large files only
+        ranges = spark.read.format("fixed_records").option("path", file).option("record_size", size).option("split_bytes", split_bytes).load()
+        found = found.unionByName(ranges.withColumn("file", F.lit(file)))
     return found
 
 
@@ -92,14 +92,15 @@ def read_pcm(spark: SparkSession, path: str, channels: int, fmt: str = "f32le")
     size, letter = SAMPLES[fmt]
     rows = _records(spark, path, channels * size)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["data"] = [d if d is not None else b"" for d in b["data"]]
-            whole = [len(d) // size for d in b["data"]]
-            ch = [[float(x[0]) for x in struct.iter_unpack(letter, bytes(d[: n * size]))] for d, n in zip(b["data"], whole, strict=True)]
-            yield pd.DataFrame({"file": b["file"], "idx": b["record"], "ch": ch, "complete": [n == channels for n in whole]})
+            data = [d[: len(d) // size * size] for d in b.column("data").to_pylist()]
+            n = np.array([len(d) // size for d in data], np.int64)
+            values = np.frombuffer(b"".join(data), letter).astype(np.float64)
+            ch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("record"), ch, pa.array(n == channels)], names=["file", "idx", "ch", "complete"])
 
-    return rows.mapInPandas(run, "file string, idx long, ch array<double>, complete boolean")
+    return rows.mapInArrow(run, "file string, idx long, ch array<double>, complete boolean")
 
 
 def read_chunks(spark: SparkSession, path: str, size: int = 4096) -> DataFrame:

@@ -47,7 +47,9 @@ def test_large_files_are_split(spark, tmp_path):
     data = bytes(R.randrange(256) for _ in range(1000))
     (tmp_path / "big.bin").write_bytes(data)
     (tmp_path / "tail.bin").write_bytes(data + b"xyz")
-    got = {(r.file[-8:], r.record): bytes(r.data) for r in media._records(spark, str(tmp_path), 10, split_above=100).collect()}
+    rows = media._records(spark, str(tmp_path), 10, split_above=100, split_bytes=70)
+    assert rows.rdd.getNumPartitions() >= 2 * 15  # whatever the length, no task reads more than seven records
+    got = {(r.file[-8:], r.record): bytes(r.data) for r in rows.collect()}
     want = {(f, k): data[10 * k : 10 * k + 10] for f in ("/big.bin", "tail.bin") for k in range(100)}
     assert got == want | {("tail.bin", 100): b"xyz"}
 
@@ -159,3 +161,18 @@ def test_sinks(spark, tmp_path):
 def test_zero_byte_warnings(spark):
     nal = spark.createDataFrame([("a", 0, 4, 9), ("a", 1, 3, 7), ("a", 2, 3, 5), ("a", 3, 3, 9), ("a", 4, 3, 1)], "file string, pos long, start_code_len int, nal_type int")
     assert sorted(r.pos for r in zero_byte_warnings(access_units(nal)).collect()) == [1, 3]
+
+
+def test_record_source_reads_a_folder_in_ranges(spark, tmp_path):
+    from framelake.sources.records import RecordSource
+
+    data = {f"{n}.bin": bytes(R.randrange(256) for _ in range(n)) for n in (0, 5, 24, 101)}
+    for name, raw in data.items():
+        (tmp_path / name).write_bytes(raw)
+    spark.dataSource.register(RecordSource)
+    rows = spark.read.format("fixed_records").option("path", str(tmp_path)).option("record_size", 8).option("split_bytes", 16).load()
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.file, r.record)):
+        got[r.file.rsplit("/", 1)[1]] = got.get(r.file.rsplit("/", 1)[1], b"") + bytes(r.data)
+    assert got == {n: raw for n, raw in data.items() if raw}
+    assert rows.columns == ["file", "record", "data"] and rows.agg(F.max(F.octet_length("data"))).first()[0] == 8
