@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, joins, payloads, projections, selection, streams, windows
+from . import aggregates, files, joins, payloads, projections, selection, streams, windows
 from .registry import Entry
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 ENTRIES: dict[str, Entry] = {}
-for _module in (projections, joins, aggregates, windows, selection, streams, payloads):
+for _module in (projections, joins, aggregates, windows, selection, streams, payloads, files):
     ENTRIES |= _module.ENTRIES
 
 QUERIES: dict[str, Query] = {name: e.query for name, e in ENTRIES.items()}
