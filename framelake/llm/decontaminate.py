@@ -230,7 +230,7 @@ def _matches(suspects: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFra
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "item", "doc_start", "item_start", "n_aligned", "n_equal"])
 
-    parts = texts.select("key", "text").join(per_text, "key").mapInArrow(tidied(cut), "key string, item string, shift int, part binary")
+    parts = checkpointed(texts.select("key", "text").join(per_text, "key").mapInArrow(tidied(cut), "key string, item string, shift int, part binary"))  # one Python worker a task
     beside = parts.join(items, "item").select("key", "item", "shift", "part", "words")
     return beside.mapInArrow(verify, "key string, item string, doc_start int, item_start int, n_aligned int, n_equal int")
 

@@ -32,8 +32,10 @@ END = np.zeros(1, "<u4").tobytes()
 NEARLY_FULL = 0.995
 #: Groups that meet in one of the next merge round; pieces packed at once.
 FAN_IN, BLOCK = 8, 200_000
+#: Texts that are encoded together.
+ROWS = 250
 #: Words whose ids a worker keeps, and their greatest length: longer ones are encoded where they occur.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 40
+CACHE_WORDS, CACHE_LENGTH = 240_000, 40
 
 Encode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -90,21 +92,19 @@ def _spaced(texts: pa.Array) -> pa.Array:
 
 class _Words:
     def __init__(self, path: str) -> None:
-        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
         # for letters in lower case and normal form, the normalizer and the splitting pattern change nothing
-        self.letters.normalizer = None
+        self.letters = Tokenizer(self.whole.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
-        if suffix := model.get("end_of_word_suffix"):
-            self.ends[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+        vocabulary, suffix = self.whole.get_vocab(), self.whole.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, encode: Encode, capacity: int = CAPACITY, with_ids:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             flat, sizes = encode(b.column("text"))
             raw, rows, low = memoryview(flat.astype("<u4").tobytes()), [], 0
             for doc_id, n in zip(b.column("doc_id").to_pylist(), (4 * sizes).tolist(), strict=True):
