@@ -140,14 +140,25 @@ def leaky_bucket(frames: DataFrame, rates: DataFrame, by: str = "stream_id", ord
     )
 
 
-def buffer_fullness(frames: DataFrame, rate: int, fps: int, omega: float = 0.9, by: str = "stream_id", order: str = "i") -> DataFrame:
+def running(rows: DataFrame, value: str, by: list[str], order: str, segment: int) -> DataFrame:
+    """``rows`` with ``__n`` and ``__sum``: rows and values of a key up to each. A long key is summed in
+    segments of ``order`` side by side, to which one row per segment brings what came before it."""
+    key = [*by, "__seg"]
+    cut = rows.withColumn("__seg", idiv(F.col(order), segment))
+    ends = cut.groupBy(*key).agg(F.count("*").alias("__c"), F.sum(value).alias("__s"))
+    earlier = _before(by, "__seg")
+    carry = ends.select(*key, F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__c"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s"))
+    inside = cut.withColumns({"__n": F.row_number().over(Window.partitionBy(*key).orderBy(order)), "__sum": F.sum(value).over(_upto(key, order))})
+    return inside.join(carry, key).select(*rows.columns, (F.col("__n") + F.col("__c")).alias("__n"), (F.col("__sum") + F.col("__s")).alias("__sum"))
+
+
+def buffer_fullness(frames: DataFrame, rate: int, fps: int, omega: float = 0.9, by: str = "stream_id", order: str = "i", segment: int = 1 << 16) -> DataFrame:
     """Encoder buffer: bits in, rate / fps out; size 2.56 rate, bounds around it that move the other way."""
-    upto = _upto(by, order)
-    level = F.sum("bits").over(upto) - F.row_number().over(Window.partitionBy(by).orderBy(order)) * (rate / fps)
+    level = F.col("__sum") - F.col("__n") * (rate / fps)
     size = 2.56 * rate
-    return frames.withColumn("fullness", F.round(level, 6)).withColumns({
+    return running(frames, "bits", [by], order, segment).withColumn("fullness", F.round(level, 6)).withColumns({
         "upper1": F.round(F.lit(0.8 * size) - level, 6), "upper2": F.round((F.lit(0.8 * size) - level) * omega, 6), "lower": F.round(F.lit(rate / fps) - level, 6),
-    })
+    }).drop("__n", "__sum")
 
 
 def complexity_ema(frames: DataFrame, by: str = "stream_id", order: str = "i", value: str = "complexity") -> DataFrame:

@@ -19,6 +19,12 @@ def _deliveries(t):
     return d.where("file % 2 = 0").select("id", "body"), d.where("file % 2 = 1").select("id", "body")
 
 
+def _sets(t):
+    e = F.col("event_id")
+    s = t("events").select("user_id", (e % 3).alias("poc_type"), (e % 5).alias("log2_max_poc_lsb"), (e % 7).alias("offset_non_ref"))
+    return s.where("user_id % 2 = 0").drop("user_id"), s.where("user_id % 2 = 1").drop("user_id")
+
+
 ENTRIES = {
     "so01_sort_rates": Entry(
         lambda t: S.sort_rates(W.default_rates(t("m_frame_log"))),
@@ -51,6 +57,13 @@ from (select stream_id, i // 3 as pic, bits % 4 as redundant_pic_cnt, i as pos f
         lambda t: S.param_set_changes(*_deliveries(t)),
         """with a as (select id, body % 50 as body from {m_param_defs} where file % 2 = 0), b as (select id, body % 50 as body from {m_param_defs} where file % 2 = 1)
 select *, 'a' as side from (select * from a except all select * from b) union all select *, 'b' as side from (select * from b except all select * from a)""",
+    ),
+    "st03_changes_in_force": Entry(
+        lambda t: S.param_set_changes(*_sets(t), normalise=True).groupBy("side", "poc_type", "log2_max_poc_lsb", "offset_non_ref").agg(F.count("*").alias("n")),
+        """with s as (select user_id % 2 as half, event_id % 3 as poc_type, case when event_id % 3 = 0 then event_id % 5 end as log2_max_poc_lsb, case when event_id % 3 = 1 then event_id % 7 end as offset_non_ref from {events}),
+d as (select *, 'a' as side from (select poc_type, log2_max_poc_lsb, offset_non_ref from s where half = 0 except all select poc_type, log2_max_poc_lsb, offset_non_ref from s where half = 1)
+  union all select *, 'b' from (select poc_type, log2_max_poc_lsb, offset_non_ref from s where half = 1 except all select poc_type, log2_max_poc_lsb, offset_non_ref from s where half = 0))
+select side, poc_type, log2_max_poc_lsb, offset_non_ref, count(*) as n from d group by all""",
     ),
     "st03_param_sets_in_common": Entry(
         lambda t: S.param_sets_in_common(*_deliveries(t)),

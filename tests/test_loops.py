@@ -332,3 +332,16 @@ def test_folds_go_on_over_batches(spark):
         assert max(r.group for r in got) < 60
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("segment", [1, 7, 1 << 16])
+def test_running_sums_in_segments(spark, segment):
+    rows = [(s, i, R.randint(1, 90)) for s in range(3) for i in range(50) if R.random() < 0.8]
+    df = spark.createDataFrame(rows, "stream_id long, i long, bits long").repartition(3)
+    got = {(r.stream_id, r.i): r.fullness for r in W.buffer_fullness(df, 300, 30, segment=segment).collect()}
+    for s in range(3):
+        level = 0.0
+        for _, i, bits in [r for r in rows if r[0] == s]:
+            level += bits - 10
+            assert math.isclose(got[s, i], level)
+    assert len(got) == len(rows)
