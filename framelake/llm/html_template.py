@@ -370,7 +370,7 @@ def templates(pages: DataFrame) -> tuple[DataFrame, list[int]]:
     filled = checkpointed(filled)
     anywhere = filled.groupBy("token").agg(F.sum("blocks").alias("all_blocks"), F.sum("distinct").alias("all_distinct"))
     filled = filled.join(anywhere, "token")
-    constant = texts.join(sizes, "host").where(F.col("n_pages") >= TEXT_SUPPORT * (F.col("__of") + PRIOR)).groupBy("host").agg(F.collect_list("token").alias("constants"))
+    constant = texts.where(F.col("n_pages") >= TEXT_SUPPORT * (1 + PRIOR)).join(sizes, "host").where(F.col("n_pages") >= TEXT_SUPPORT * (F.col("__of") + PRIOR)).groupBy("host").agg(F.collect_list("token").alias("constants"))
     kept = found.where(F.col("kind") == ELEMENT).join(sizes, "host").where(F.col("n_pages") >= SUPPORT * F.col("__of")).drop("kind", "__of")
     whole = kept.join(filled, ["host", "token"], "left").fillna(0, ["blocks", "distinct", "all_blocks", "all_distinct"])
     names = ["token", "parent", "label", "n_pages", "total", "v1", "v2", "chars", "blocks", "distinct", "all_blocks", "all_distinct"]
