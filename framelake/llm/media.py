@@ -61,37 +61,44 @@ def chunks(png: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 12 + n
 
 
+def _predicted(lines: np.ndarray, kinds: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
+    """Samples of Average and Paeth rows. A sample needs those to its left, above, and above left, so all
+    samples on a diagonal are worked out together, from the top left to the bottom right."""
+    h, w = lines.shape[0], lines.shape[1] // bpp
+    raw = lines.reshape(h, w, bpp).astype(np.int16)
+    out = np.zeros((h + 1, w + 1, bpp), np.int16)
+    out[0, 1:] = above.reshape(w, bpp)
+    for t in range(w + h - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x = t - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = left + up - corner
+        a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        out[y + 1, x + 1] = (raw[y, x] + np.where(kinds[y, None] == 3, (left + up) // 2, paeth)) & 255
+    return out[1:, 1:].reshape(h, -1).astype(np.uint8)
+
+
 def unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
-    """Samples from filtered rows (h, 1 + stride). Runs of None, Sub and Up rows are done at once."""
+    """Samples from filtered rows (h, 1 + stride). Runs of rows of a kind are done at once."""
     kinds, out = lines[:, 0], lines[:, 1:].copy()
-    h, stride = out.shape
+    if (kinds > 4).any():
+        raise BadImage(f"filter {kinds.max()}")
+    group = np.where(kinds == 4, 3, kinds)  # Average and Paeth rows may alternate
     y = 0
-    while y < h:
+    while y < len(out):
         end = y + 1
-        while end < h and kinds[end] == kinds[y]:
+        while end < len(out) and group[end] == group[y]:
             end += 1
-        if kinds[y] == 1:
+        if group[y] == 1:
             for c in range(bpp):
                 out[y:end, c::bpp] = np.cumsum(out[y:end, c::bpp], axis=1, dtype=np.uint8)
-        elif kinds[y] == 2:
+        elif group[y] == 2:
             if y:
                 out[y] += out[y - 1]
             out[y:end] = np.cumsum(out[y:end], axis=0, dtype=np.uint8)
-        elif kinds[y] in (3, 4):
-            for r in range(y, end):
-                above = out[r - 1].astype(int) if r else np.zeros(stride, int)
-                row = out[r].astype(int)
-                for x in range(stride):
-                    left, corner = (row[x - bpp], above[x - bpp]) if x >= bpp else (0, 0)
-                    if kinds[y] == 3:
-                        guess = (left + above[x]) // 2
-                    else:
-                        p = left + above[x] - corner
-                        guess = min((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner))[2]
-                    row[x] = (row[x] + guess) & 255
-                out[r] = row
-        elif kinds[y] != 0:
-            raise BadImage(f"filter {kinds[y]}")
+        elif group[y] == 3:
+            out[y:end] = _predicted(out[y:end], kinds[y:end], out[y - 1] if y else np.zeros_like(out[0]), bpp)
         y = end
     return out
 
@@ -158,7 +165,9 @@ IMAGE_SCHEMA = "doc_id long, n_bytes long, png binary"
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """One PNG per row: ``doc_id, n_bytes, png``. Null texts count as empty, and an empty text is one row of spaces."""
+    """One PNG per row: ``doc_id, n_bytes, png``. Null texts count as empty, and an empty text is one row of
+    spaces; equal texts give equal images, repeated rows stay, an empty table gives an empty one. A text of
+    any length is one image, three bytes a pixel; further columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +190,8 @@ FEATURE_SCHEMA = (
 def image_features(images: DataFrame) -> DataFrame:
     """Features of stored images, every one computed from the bytes read back from ``png``.
 
-    A null image has null features. Equal images have equal features; repeated rows stay.
+    A null image has null features, a damaged one fails. Equal images have equal features; repeated rows
+    stay; an empty table gives an empty one. Coefficients equal to their median are bits of 0.
     """
 
     def one(png: bytes | None) -> tuple:

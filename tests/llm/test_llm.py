@@ -139,6 +139,33 @@ def test_png_filters():
     head = struct.pack(">IIBBBBB", 12, 10, 8, 0, 0, 0, 0)
     png = media.SIGNATURE + media._chunk(b"IHDR", head) + media._chunk(b"IDAT", zlib.compress(np.array(lines, np.uint8).tobytes())) + media._chunk(b"IEND", b"")
     assert media.read_png(png).shape == (10, 12)
+    many = rng.integers(0, 256, (40, 31)).astype(np.uint8)
+    many[:, 0] = rng.integers(3, 5, 40)
+    plain = np.zeros((40, 30), int)
+    for y in range(40):
+        for x in range(30):
+            left, up = plain[y, x - 3] if x >= 3 else 0, plain[y - 1, x] if y else 0
+            corner = plain[y - 1, x - 3] if x >= 3 and y else 0
+            p = left + up - corner
+            guess = (left + up) // 2 if many[y, 0] == 3 else min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+            plain[y, x] = (int(many[y, 1 + x]) + guess) & 255
+    assert (media.unfilter(many, 3) == plain).all()
+
+
+def test_cosine_hash_against_plain_transform():
+    rng = np.random.default_rng(3)
+    for shape in ((70, 64, 3), (5, 64, 3), (40, 33)):
+        px = rng.integers(0, 256, shape).astype(np.uint8)
+        grey = px.mean(axis=2) if px.ndim == 3 else px.astype(float)
+        small = np.empty((32, 32))
+        spans = [[range(k * n // 32, (k + 1) * n // 32) if n >= 32 else [k * n // 32] for k in range(32)] for n in shape[:2]]
+        for i in range(32):
+            for j in range(32):
+                small[i, j] = np.mean([grey[a, b] for a in spans[0][i] for b in spans[1][j]])
+        x = np.arange(32)
+        low = [np.round((small * np.outer(np.cos(np.pi * u * (2 * x + 1) / 64), np.cos(np.pi * v * (2 * x + 1) / 64))).sum(), 6) for u in range(8) for v in range(8)]
+        bits = "".join("1" if c > np.median(low[1:]) else "0" for c in low)
+        assert media.cosine_hash(px) == f"{int(bits, 2):016x}"
 
 
 def test_media_query(spark, odd_rows):
