@@ -12,7 +12,7 @@ from ..sources import media, sinks
 from .registry import Entry
 
 
-def _folder(t) -> str:
+def new_folder(t) -> str:
     """A new folder in the cluster's shared one (a temporary one only where driver and executors are one process)."""
     sc = t("events").sparkSession.sparkContext
     root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -22,7 +22,7 @@ def _folder(t) -> str:
 
 
 def _read_again(t, df, write, read):
-    path = _folder(t)
+    path = new_folder(t)
     write(df, path)
     return read(df.sparkSession, path)
 

@@ -4,10 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..streaming import stateful
 from ..streaming import windows as S
+from .files import new_folder
 from .registry import Entry
 
+_STATE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _streamed(t, sources, order, build):
+    """What ``build`` makes of streams of the tables ``sources``, each written in three pieces along ``order``
+    and read to the end; the result is a table of its own."""
+    spark, folder = t("events").sparkSession, new_folder(t)
+    streams = []
+    for k, df in enumerate(sources):
+        low, high = df.agg(F.min(order), F.max(order)).first()
+        step = (high - low) / 3
+        for part in range(3):  # one after the other, so that the stream reads them in this order
+            inside = (F.col(order) >= low + part * step) & ((F.col(order) < low + (part + 1) * step) if part < 2 else F.lit(True))
+            df.where(inside).write.mode("append").parquet(f"{folder}/in{k}")
+        streams.append(S.ingest(spark, f"{folder}/in{k}", df.schema, files_per_trigger=1000))
+    before = spark.conf.get(_STATE[0], None)
+    spark.conf.set(*_STATE)
+    try:
+        out = build(*streams)
+        q = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(_STATE[0], before) if before else spark.conf.unset(_STATE[0])
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def _pairs(t):
+    cols = [(F.col("stream_id") % 3).alias("file"), "ts", F.col("event_id").alias("pos")]
+    log = t("m_frame_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    return log.where("ftype = 'P'").select(*cols), log.where("ftype = 'B'").select(*cols)
+
 ENTRIES = {
+    "sm03_seq_gap_stream": Entry(
+        lambda t: _streamed(t, [t("m_rtp").select("ssrc", "arrival", "seq")], "arrival", stateful.seq_gap_stream),
+        "select ssrc, arrival, seq, (seq - lag(seq) over (partition by ssrc order by arrival) + 65536) % 65536 - 1 as gap from {m_rtp}",
+    ),
+    "sm06_leaky_bucket_stream": Entry(
+        lambda t: _streamed(t, [t("m_frame_log").select("stream_id", "i", "bits")], "i", lambda s: stateful.leaky_bucket_stream(s, 20000, 60000)),
+        """with recursive e as (select stream_id, i, least(bits, 60000) as level, case when bits > 60000 then 'overflow' else 'underflow' end as alert from {m_frame_log} where i = 0 union all
+  select f.stream_id, f.i, least(greatest(e.level - 20000, 0) + f.bits, 60000), case when greatest(e.level - 20000, 0) + f.bits > 60000 then 'overflow' when e.level < 20000 then 'underflow' end
+  from e join {m_frame_log} f on f.stream_id = e.stream_id and f.i = e.i + 1)
+select stream_id, i, level, alert from e""",
+    ),
+    "sm09_dedup_stream": Entry(
+        lambda t: _streamed(t, [t("m_frame_log").select("event_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")], "event_id", lambda s: S.dedup_stream(s, ["event_id"], "1 hour")).select("event_id"),
+        "select event_id from {m_frame_log}",
+    ),
+    "sm11_av_join_stream": Entry(
+        lambda t: _streamed(t, _pairs(t), "pos", lambda v, a: S.av_join_stream(v, a, "2 hours", "60 days")).select("file", "video_pos", "audio_pos"),
+        """select v.user_id % 3 as file, v.event_id as video_pos, a.event_id as audio_pos from {events} v join {events} a on v.user_id % 3 = a.user_id % 3
+and v.event_type = 'click' and a.event_type = 'view' and a.ts between v.ts - interval 2 hours and v.ts + interval 2 hours""",
+    ),
     "sm04_bitrate_windows": Entry(
         lambda t: S.bitrate_windows(t("m_frame_log"), "1 day"),
         "select stream_id, cast(date_trunc('day', ts) as timestamp) as start, count(*) as n, cast(sum(bits) as bigint) as bits from {m_frame_log} group by all",
