@@ -381,6 +381,30 @@ def test_links_reach_every_pair(spark, radius):
     assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+@pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
+def test_components(spark, kind):
+    from framelake.llm.components import components as spark_components
+
+    rnd = random.Random(4)
+    edges = {
+        "chain": [(k, k + 1) for k in range(40)], "star": [(7, k) for k in range(30) if k != 7],
+        "random": [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)], "none": [],
+    }[kind]
+    up = {n: n for e in edges for n in e}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {r.node: r.component for r in spark_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert got == {n: root(n) for n in linked}
+
+
 def test_pipeline_near_dedup_against_brute_force(spark):
     import corpus_pipeline
 
