@@ -565,12 +565,16 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, chunk, hot, broadc
     assert sum(r[2] for r in got) > 500
 
 
-def test_sorted_starts_is_a_suffix_sort():
-    text = np.frombuffer("".join(R.choice("ab") for _ in range(400)).encode(), np.uint8)
-    starts = np.arange(len(text) - 50 + 1)
-    merged, same = suffix_dedup.sorted_starts(text, starts, np.arange(len(text) - 24 + 1))
-    prefixes = [bytes(text[i : i + 50]) for i in merged]
-    assert sorted(merged.tolist()) == starts.tolist() and prefixes == sorted(prefixes)
+@pytest.mark.parametrize("length", [10, 26, 27, 50, 74, 75, 120])
+def test_sorted_starts_is_a_suffix_sort(monkeypatch, length):
+    monkeypatch.setattr(suffix_dedup, "LENGTH", length)
+    runs = ["".join(R.choice("ab") for _ in range(R.choice([length - 1, length, length + 9, 200]))).encode() for _ in range(12)]
+    runs += runs[:3] + [b"a" * (length + 30)] * 2
+    text = np.frombuffer(b"".join(runs), np.uint8)
+    left = np.concatenate([np.arange(len(r), 0, -1) for r in runs])
+    merged, same = suffix_dedup.sorted_starts(text, left)
+    prefixes = [bytes(text[i : i + length]) for i in merged]
+    assert sorted(merged.tolist()) == np.flatnonzero(left >= length).tolist() and prefixes == sorted(prefixes)
     assert same.tolist() == [False] + [a == b for a, b in zip(prefixes, prefixes[1:])]
 
 
