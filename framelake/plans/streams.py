@@ -18,7 +18,7 @@ def _streamed(t, sources, order, build):
     spark, folder = t("events").sparkSession, new_folder(t)
     streams = []
     for k, df in enumerate(sources):
-        low, high = df.agg(F.min(order), F.max(order)).first()
+        low, high = df.agg(F.coalesce(F.min(order), F.lit(0)), F.coalesce(F.max(order), F.lit(0))).first()
         step = (high - low) / 3
         for part in range(3):  # one after the other, so that the stream reads them in this order
             inside = (F.col(order) >= low + part * step) & ((F.col(order) < low + (part + 1) * step) if part < 2 else F.lit(True))
