@@ -323,6 +323,8 @@ def train(docs: DataFrame, n: int = SAMPLE) -> Network:
         yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()]) for p in net.params()], names=["embed", "recur", "out", "trans"])
 
     found = sample.mapInArrow(tidied(run), "embed binary, recur binary, out binary, trans binary").first()
+    if found is None:  # no rows, no task
+        return fit([])
     shapes = [p.shape for p in Network.fresh().params()]
     return Network(*(np.frombuffer(raw, np.float32).reshape(shape).copy() for raw, shape in zip(found, shapes, strict=True)))
 

@@ -848,3 +848,29 @@ def test_pipeline(spark, sf_dir):
     assert found == 0
     got = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in any column, empty and white texts, repeated rows, a long text, columns with clashing names, no rows."""
+    import corpus_pipeline
+
+    names = "row key hits bin fill offset score seed at n label text_hash __quality __key".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names)
+    more = (7,) * len(names)
+    body = "\n".join(sentence(14).capitalize() + "." for _ in range(4))
+    rows = [(1, body, "en", "a", len(body)), (1, body, "en", "a", len(body)), (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \n ", "en", "a", 3), (None, body + " x", None, "b", 5), (None, None, None, None, None)]
+    rows += [(9, sentence(30_000), "en", "a", 1), (10, "mail a.b@mail.example.com", "en", "a", 25)]
+    docs = spark.createDataFrame([(*r, *more) for r in rows], schema).repartition(2)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir)
+        assert after.schema.simpleString() == docs.schema.simpleString(), name
+        got = after.collect()
+        assert len(got) <= len(rows) and all(r.row == 7 for r in got), name
+        if name in ("decontamination", "pii"):
+            assert len(got) == len(rows), name
+        if name == "near_dedup":
+            assert sorted(str(r.doc_id) for r in got if r.doc_id in (1, None)) == ["1", "None", "None"]
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert {r.doc_id for r in packed.collect()} == {r[0] for r in rows}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
