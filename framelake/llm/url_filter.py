@@ -90,9 +90,14 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3))
 
 
+def _lowered(text: Column) -> Column:
+    """A-Z in small letters and nothing else: other letters never become one of a-z."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(_rest(url), "^[^/?#]*", 0)
-    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(_lowered(host), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -101,7 +106,7 @@ def path_of(url: Column) -> Column:
 
 def _tokens() -> Column:
     """Tokens of a URL; the path's first slash parts it from the host."""
-    return F.array_distinct(F.split(F.lower(F.concat("__host", "__path")), TOKEN_SPLIT))
+    return F.array_distinct(F.split(_lowered(F.concat("__host", "__path")), TOKEN_SPLIT))
 
 
 def token_counts(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
