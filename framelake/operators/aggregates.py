@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import idiv
-from .folds import fold_in_order
+from .folds import SEGMENT, Columns, Composable, fold_in_segments
 
 
 def stream_summary(packets: DataFrame, tb: tuple[int, int], by: str = "stream_id") -> DataFrame:
@@ -39,21 +40,36 @@ def gop_summary(frames: DataFrame, bit_rate: int, fps: int, by: str = "stream_id
     return groups.withColumn("allotted", allotted).withColumn("left_over", left)
 
 
-def gop_initial_qp(gops: DataFrame, first_qp: int, qp_min: int = 0, qp_max: int = 51, by: str = "stream_id") -> DataFrame:
+def gop_initial_qp(gops: DataFrame, first_qp: int, qp_min: int = 0, qp_max: int = 51, by: str = "stream_id", segment: int = SEGMENT) -> DataFrame:
     """``by, gop, qp``: first quantiser of every group (gop, np, nb, sum_qp, last_qp of its P frames) from the
-    group before. The limit of two steps from the value before chains, so the groups are folded in order."""
-
-    def step(qp: int, g: tuple) -> tuple:
-        n_p, n_b, total, last = g
-        nxt = qp
-        if n_p:
-            average = math.floor(total / n_p + 0.5) - min(2, math.floor((n_p + n_b + 1) / 15 + 0.5))
-            average -= average > last - 2
-            nxt = max(qp_min, min(qp_max, max(qp - 2, min(qp + 2, average))))
-        return nxt, (qp,)
-
+    group before. The limit of two steps from the value before chains; a step maps each of the few quantisers to
+    one of them, so a segment of groups brings such a table, and tables compose."""
+    domain = np.array(sorted({first_qp, *range(qp_min, qp_max + 1)}))
+
+    def averages(columns: Columns) -> np.ndarray:
+        n_p, n_b, total, last = (columns[c] for c in ("np", "nb", "sum_qp", "last_qp"))
+        average = np.floor(total / np.maximum(n_p, 1) + 0.5) - np.minimum(2, np.floor((n_p + n_b + 1) / 15 + 0.5))
+        return (average - (average > last - 2)).astype(np.int64)
+
+    def moved(qp: np.ndarray, average: int) -> np.ndarray:
+        return np.clip(np.maximum(qp - 2, np.minimum(qp + 2, average)), qp_min, qp_max)
+
+    def effect(columns: Columns) -> list:
+        table = domain
+        for n_p, average in zip(columns["np"].tolist(), averages(columns).tolist(), strict=True):
+            table = moved(table, average) if n_p else table
+        return table.tolist()
+
+    def fill(state: list, columns: Columns) -> list:
+        qp, out = state[0], []
+        for n_p, average in zip(columns["np"].tolist(), averages(columns).tolist(), strict=True):
+            out.append(qp)
+            qp = int(moved(np.array(qp), average)) if n_p else qp
+        return [out]
+
+    fold = Composable([first_qp], effect, lambda state, table: [table[int(np.searchsorted(domain, state[0]))]], fill)
     rows = gops.select(by, F.col("gop").cast("long").alias("gop"), *[F.col(c).cast("long").alias(c) for c in ("np", "nb", "sum_qp", "last_qp")])
-    return fold_in_order(rows, by, "gop", first_qp, step, "qp int")
+    return fold_in_segments(rows, by, "gop", fold, "qp int", segment=segment)
 
 
 def pixel_errors(cur: DataFrame, ref: DataFrame, by: list[str], pixel: tuple[str, ...] = ("x", "y")) -> DataFrame:

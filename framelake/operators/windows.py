@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import idiv
-from .folds import fold_in_order
+from .folds import SEGMENT as ROWS
+from .folds import Columns, Composable, fold_in_segments
 
 
 def _upto(by: list[str] | str, order: list[str] | str) -> Window:
@@ -114,30 +116,44 @@ def default_rates(frames: DataFrame, k: int = 4, by: str = "stream_id") -> DataF
     return mean.select(by, F.explode(steps).alias("rate"))
 
 
-def leaky_bucket(frames: DataFrame, rates: DataFrame, by: str = "stream_id", order: str = "i") -> DataFrame:
+def leaky_bucket(frames: DataFrame, rates: DataFrame, by: str = "stream_id", order: str = "i", segment: int = ROWS) -> DataFrame:
     """Smallest bucket ``b`` and initial fullness ``f`` of every stream and rate (bits per frame interval)
     that never underflow, where the bucket saturates at full.
 
-    Closed form over prefix sums: with C the bits so far, S = n r - C + bits; the need is the largest S
-    so far minus S plus the bits. Two windows share one shuffle by (stream, rate).
+    Closed form over prefix sums: with C the bits so far and S = n r - C + bits, the need of a frame is the largest S
+    so far minus S plus its bits, and the bucket is the largest need. The level saturates at the first frame (``brk``)
+    whose level y reaches bucket - rate; up to there, and up to the first frame of the largest need, the fullness must
+    cover C - n r. Segments of ``order`` are worked through side by side: count, sum and largest S and C - n r of each
+    compose over the segments before, then largest need with its first frame and largest y, then the frames up to the
+    limit. No window runs over a whole stream.
     """
-    key = [by, "rate"]
-    rows = frames.select(by, order, "bits").join(rates, by)
-    upto = _upto(key, order)
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1
-    sums = rows.withColumns({"__n": n, "__c": F.sum("bits").over(upto), "__b0": F.first("bits").over(upto)})
-    s = F.col("__n") * F.col("rate") - F.col("__c") + F.col("bits")
-    z = F.col("__b0") + F.col("__n") * F.col("rate") - F.col("__c")
-    needs = sums.withColumns({"__need": F.max(s).over(upto) - s + F.col("bits"), "__y": z + F.greatest(F.lit(0), F.max(-z).over(upto)), "__low": F.col("__c") - F.col("__n") * F.col("rate")})
-    whole = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = needs.withColumn("__b", F.max("__need").over(whole)).withColumns({
-        "__fi": F.min(F.when(F.col("__need") == F.col("__b"), F.col("__n"))).over(whole),
-        "__brk": F.min(F.when(F.col("__y") + F.col("rate") > F.col("__b"), F.col("__n"))).over(whole),
-    })
-    early = F.col("__n") <= F.least(F.col("__fi"), F.coalesce("__brk", "__fi"))
-    return marked.groupBy(*key).agg(
-        F.max("__b").cast("long").alias("b"), F.greatest(F.max("__b0"), F.max(F.when(early, F.col("__low")))).cast("long").alias("f")
+    pair = [by, "rate"]
+    key = [*pair, "__seg"]
+    rows = frames.select(by, order, "bits", idiv(F.col(order), segment).alias("__seg")).join(rates, by)
+    upto, earlier = _upto(key, order), _before(pair, "__seg")
+    # inside a segment, counted from its first frame
+    local = rows.withColumns({"__k": F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1, "__in": F.sum("bits").over(upto)})
+    over = F.col("__in") - F.col("__k") * F.col("rate")
+    ends = local.groupBy(*key).agg(
+        F.count("*").alias("__rows"), F.sum("bits").alias("__sum"), F.min_by("bits", order).alias("__first"), F.max(F.col("bits") - over).alias("__s"), F.max(over).alias("__o")
     )
+    before = ends.withColumns({"__n0": F.coalesce(F.sum("__rows").over(earlier), F.lit(0)), "__c0": F.coalesce(F.sum("__sum").over(earlier), F.lit(0)), "__b0": F.first("__first").over(_upto(pair, "__seg"))})
+    lead = F.col("__n0") * F.col("rate") - F.col("__c0")  # what a segment's own S and C - n r lack
+    carry = before.select(*key, "__n0", "__c0", "__b0", F.max(lead + F.col("__s")).over(earlier).alias("__s0"), F.max(F.col("__o") - lead).over(earlier).alias("__o0"))
+    placed = local.join(carry, key).withColumns({"__n": F.col("__n0") + F.col("__k"), "__low": over - lead})
+    s = F.col("bits") - F.col("__low")
+    highest = F.greatest(F.col("__o0"), F.max("__low").over(upto)) - F.col("__b0")
+    level = F.col("__b0") - F.col("__low") + F.greatest(F.lit(0), highest)
+    needs = placed.withColumns({"__need": F.greatest(F.col("__s0"), F.max(s).over(upto)) - s + F.col("bits"), "__full": level + F.col("rate")})
+    # over the segments of a stream and rate: the bucket, the first frame that needs it, and the segment that saturates
+    tops = needs.groupBy(*key).agg(F.max(F.struct("__need", -F.col("__n"))).alias("__top"), F.max("__full").alias("__most"))
+    whole = Window.partitionBy(*pair)
+    sized = tops.withColumn("__t", F.max("__top").over(whole)).select(*key, F.col("__t.__need").alias("__b"), (-F.col("__t.col2")).alias("__fi"), "__most")
+    limits = sized.select(*key, "__b", "__fi", F.min(F.when(F.col("__most") > F.col("__b"), F.col("__seg"))).over(whole).alias("__stop"))
+    ended = F.coalesce(F.max("__full").over(_before(key, order)) > F.col("__b"), F.lit(False))
+    early = (F.col("__n") <= F.col("__fi")) & (F.col("__stop").isNull() | (F.col("__seg") < F.col("__stop")) | ((F.col("__seg") == F.col("__stop")) & ~F.col("__ended")))
+    judged = needs.join(limits, key).withColumn("__ended", ended)
+    return judged.groupBy(*pair).agg(F.max("__b").cast("long").alias("b"), F.greatest(F.max("__b0"), F.max(F.when(early, F.col("__low")))).cast("long").alias("f"))
 
 
 def running(rows: DataFrame, value: str, by: list[str], order: str, segment: int) -> DataFrame:
@@ -161,18 +177,63 @@ def buffer_fullness(frames: DataFrame, rate: int, fps: int, omega: float = 0.9,
     }).drop("__n", "__sum")
 
 
-def complexity_ema(frames: DataFrame, by: str = "stream_id", order: str = "i", value: str = "complexity") -> DataFrame:
+def complexity_ema(frames: DataFrame, by: str = "stream_id", order: str = "i", value: str = "complexity", segment: int = ROWS) -> DataFrame:
     """``by, order, weight``: the average weight of the B frames so far. Of n frames the newest counts
-    (n - 1) / n and the average before it 1 / n while n < 8, then an eighth and seven eighths."""
+    (n - 1) / n and the average before it 1 / n while n < 8, then an eighth and seven eighths.
+
+    A step is ``x -> a x + b``, and so is a run of them: segments bring two numbers.
+    """
+    values = frames.select(by, order, F.col(value).cast("double").alias("value"))
+
+    def steps(columns: Columns) -> tuple[np.ndarray, np.ndarray]:
+        n, w = columns["n"].astype(np.float64), columns["value"]
+        a = np.where(n == 1, 0.0, np.where(n < 8, 1 / n, 7 / 8))
+        return a, np.where(n == 1, w, np.where(n < 8, w * (n - 1) / n, w / 8))
 
-    def step(state: tuple[int, float], row: tuple) -> tuple:
-        n, average = state[0] + 1, state[1]
-        average = row[0] * (n - 1) / n + average / n if n > 1 else row[0]
-        if n >= 8:
-            average = row[0] / 8 + 7 * state[1] / 8
-        return (n, average), (average,)
+    def effect(columns: Columns) -> list:
+        a, b = 1.0, 0.0
+        for x, y in zip(*steps(columns), strict=True):
+            a, b = a * x, b * x + y
+        return [float(a), float(b)]
 
-    return fold_in_order(frames.select(by, order, F.col(value).cast("double").alias("value")), by, order, (0, 0.0), step, "weight double")
+    def fill(state: list, columns: Columns) -> list:
+        out, at = [], state[0]
+        for x, y in zip(*steps(columns), strict=True):
+            at = at * x + y
+            out.append(at)
+        return [out]
+
+    fold = Composable([0.0], effect, lambda state, e: [e[0] * state[0] + e[1]], fill, "double")
+    counted = running(values, "value", [by], order, segment).select(by, order, "value", F.col("__n").alias("n"))
+    return fold_in_segments(counted, by, order, fold, "weight double", segment=segment)
+
+
+def bucket_levels(frames: DataFrame, rate: int, size: int, by: str = "stream_id", order: str = "i", segment: int = ROWS) -> DataFrame:
+    """``by, order, level, alert``: level of a bucket that is drained by ``rate`` before each frame, floored at empty
+    and capped at ``size``; ``overflow`` where a frame did not fit, else ``underflow`` where less than ``rate`` was there.
+
+    A step is ``x -> min(high, max(low, x + a))``, and so is a run of them: segments bring three numbers.
+    """
+    none = 1 << 62
+
+    def effect(columns: Columns) -> list:
+        a, low, high = 0, -none, none
+        for bits in columns["bits"].tolist():
+            floor = min(bits, size)
+            a, low, high = a + bits - rate, *(min(size, max(floor, x + bits - rate)) for x in (low, high))
+        return [a, low, high]
+
+    def fill(state: list, columns: Columns) -> list:
+        level, levels, alerts = state[0], [], []
+        for bits in columns["bits"].tolist():
+            full = max(level - rate, 0) + bits
+            alerts.append("overflow" if full > size else "underflow" if level < rate else None)
+            level = min(full, size)
+            levels.append(level)
+        return [levels, alerts]
+
+    fold = Composable([0], effect, lambda state, e: [min(e[2], max(e[1], state[0] + e[0]))], fill)
+    return fold_in_segments(frames.select(by, order, F.col("bits").cast("long").alias("bits")), by, order, fold, "level long, alert string", segment=segment)
 
 
 def frame_num_gaps(slices: DataFrame, max_frame_num: int, gaps_allowed: Column, by: str = "stream_id", order: str = "i") -> DataFrame:
@@ -201,16 +262,52 @@ def reframe(samples: DataFrame, n: int, by: str | tuple[str, ...] = "file") -> D
     )
 
 
-def pack_by_bytes(units: DataFrame, cap: int, by: str = "stream_id", order: str = "pos", size: str = "size") -> DataFrame:
-    """``by, order, size, group``: a new group starts when the cap would be exceeded (greedy)."""
+def _next_groups(ends: np.ndarray, cap: int) -> np.ndarray:
+    """The unit that opens the next group, if each unit opened one: binary search over the prefix sums ``ends``."""
+    n = len(ends)
+    begins = np.concatenate([[0], ends[:-1]])
+    return np.maximum(np.searchsorted(ends, begins + cap, "right"), np.arange(1, n + 1))
 
-    def step(state: tuple[int, int], row: tuple) -> tuple:
-        group, fill = state
-        fits = group >= 0 and fill + row[0] <= cap
-        state = (group, fill + row[0]) if fits else (group + 1, row[0])
-        return state, (state[0],)
 
-    return fold_in_order(units.select(by, order, F.col(size).cast("long").alias(size)), by, order, (-1, 0), step, "group long", carry=(size,))
+def pack_by_bytes(units: DataFrame, cap: int, by: str = "stream_id", order: str = "pos", size: str = "size", segment: int = ROWS) -> DataFrame:
+    """``by, order, size, group``: a new group starts when the cap would be exceeded (greedy); a larger unit is alone.
+
+    Each unit points at the one that would open the next group. Only the units of a segment's first ``cap`` bytes can
+    open its first own group; pointer doubling tells for each of them how many groups the segment then opens and how
+    full the last one is. So segments are chained by looking up one of these entries, and filled in side by side.
+    """
+
+    def effect(columns: Columns) -> list:
+        ends = np.cumsum(columns[size])
+        n = len(ends)
+        jump = np.append(_next_groups(ends, cap), n)
+        opened, last = np.append(np.ones(n, np.int64), 0), np.arange(n + 1)
+        while (jump[:n] < n).any():
+            opened, last = opened + opened[jump], np.where(jump < n, last[jump], last)
+            jump = jump[jump]
+        entries = min(n, int(np.searchsorted(ends, cap, "right")) + 1)
+        left = ends[-1] - np.where(last[:entries] > 0, ends[last[:entries] - 1], 0)
+        return [int(ends[-1]), *np.column_stack([ends[:entries], opened[:entries], left]).ravel().tolist()]
+
+    def first(state: list, ends: np.ndarray) -> int:
+        """The first unit that does not fit the open group."""
+        return 0 if state[0] < 0 else int(np.searchsorted(ends, cap - state[1], "right"))
+
+    def advance(state: list, effect: list) -> list:
+        entries = np.array(effect[1:], np.int64).reshape(-1, 3)
+        k = first(state, entries[:, 0])
+        return [state[0] + int(entries[k, 1]), int(entries[k, 2])] if k < len(entries) else [state[0], state[1] + effect[0]]
+
+    def fill(state: list, columns: Columns) -> list:
+        ends = np.cumsum(columns[size])
+        follows, at, opens = _next_groups(ends, cap), first(state, ends), np.zeros(len(ends), np.int64)
+        while at < len(ends):
+            opens[at] = 1
+            at = int(follows[at])
+        return [state[0] + np.cumsum(opens)]
+
+    rows = units.select(by, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size))
+    return fold_in_segments(rows, by, order, Composable([-1, 0], effect, advance, fill), "group long", carry=(size,), segment=segment)
 
 
 #: Frames of a segment: places that all frames share are worked through in segments side by side.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import windows as W
 from ..streaming import stateful
 from ..streaming import windows as S
 from .files import new_folder
@@ -40,18 +41,19 @@ def _pairs(t):
     log = t("m_frame_log").withColumn("ts", F.col("ts").cast("timestamp"))
     return log.where("ftype = 'P'").select(*cols), log.where("ftype = 'B'").select(*cols)
 
+
+_LEVELS = """with recursive e as (select stream_id, i, least(bits, 60000) as level, case when bits > 60000 then 'overflow' else 'underflow' end as alert from {m_frame_log} where i = 0 union all
+  select f.stream_id, f.i, least(greatest(e.level - 20000, 0) + f.bits, 60000), case when greatest(e.level - 20000, 0) + f.bits > 60000 then 'overflow' when e.level < 20000 then 'underflow' end
+  from e join {m_frame_log} f on f.stream_id = e.stream_id and f.i = e.i + 1)
+select stream_id, i, level, alert from e"""
+
 ENTRIES = {
     "sm03_seq_gap_stream": Entry(
         lambda t: _streamed(t, [t("m_rtp").select("ssrc", "arrival", "seq")], "arrival", stateful.seq_gap_stream),
         "select ssrc, arrival, seq, (seq - lag(seq) over (partition by ssrc order by arrival) + 65536) % 65536 - 1 as gap from {m_rtp}",
     ),
-    "sm06_leaky_bucket_stream": Entry(
-        lambda t: _streamed(t, [t("m_frame_log").select("stream_id", "i", "bits")], "i", lambda s: stateful.leaky_bucket_stream(s, 20000, 60000)),
-        """with recursive e as (select stream_id, i, least(bits, 60000) as level, case when bits > 60000 then 'overflow' else 'underflow' end as alert from {m_frame_log} where i = 0 union all
-  select f.stream_id, f.i, least(greatest(e.level - 20000, 0) + f.bits, 60000), case when greatest(e.level - 20000, 0) + f.bits > 60000 then 'overflow' when e.level < 20000 then 'underflow' end
-  from e join {m_frame_log} f on f.stream_id = e.stream_id and f.i = e.i + 1)
-select stream_id, i, level, alert from e""",
-    ),
+    "sm06_leaky_bucket_stream": Entry(lambda t: _streamed(t, [t("m_frame_log").select("stream_id", "i", "bits")], "i", lambda s: stateful.leaky_bucket_stream(s, 20000, 60000)), _LEVELS),
+    "sm06_bucket_levels": Entry(lambda t: W.bucket_levels(t("m_frame_log"), 20000, 60000), _LEVELS),
     "sm09_dedup_stream": Entry(
         lambda t: _streamed(t, [t("m_frame_log").select("event_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")], "event_id", lambda s: S.dedup_stream(s, ["event_id"], "1 hour")).select("event_id"),
         "select event_id from {m_frame_log}",

@@ -345,3 +345,75 @@ def test_running_sums_in_segments(spark, segment):
             level += bits - 10
             assert math.isclose(got[s, i], level)
     assert len(got) == len(rows)
+
+
+def loop_levels(bits, rate, size):
+    level, out = 0, []
+    for b in bits:
+        full = max(level - rate, 0) + b
+        out.append((min(full, size), "overflow" if full > size else "underflow" if level < rate else None))
+        level = min(full, size)
+    return out
+
+
+@pytest.mark.parametrize("segment", [1, 16, 1 << 16])
+def test_composed_segments(spark, segment):
+    """Rules that are sequential by nature, in segments: one stream holds a third of all rows."""
+    logs = {s: [R.choice([R.randint(1, 60), R.randint(1, 9)]) for _ in range(200 if s == 0 else 25)] for s in range(17)}
+    df = spark.createDataFrame([(s, i, b) for s, bits in logs.items() for i, b in enumerate(bits)], "stream_id long, i long, bits long").repartition(4)
+    levels = {(r.stream_id, r.i): (r.level, r.alert) for r in W.bucket_levels(df, 20, 55, segment=segment).collect()}
+    weights = {(r.stream_id, r.i): r.weight for r in W.complexity_ema(df.withColumn("complexity", F.col("bits") / 10), segment=segment).collect()}
+    groups = {(r.stream_id, r.i): (r.bits, r.group) for r in W.pack_by_bytes(df, 50, order="i", size="bits", segment=segment).collect()}
+    assert len(levels) == len(weights) == len(groups) == sum(map(len, logs.values()))
+    for s, bits in logs.items():
+        assert [levels[s, i] for i in range(len(bits))] == loop_levels(bits, 20, 55)
+        w, group, fill = 0.0, -1, 51
+        for i, b in enumerate(bits):
+            n, a = i + 1, b / 10
+            w = a if n == 1 else a * (n - 1) / n + w / n if n < 8 else a / 8 + w * 7 / 8
+            group, fill = (group + 1, b) if group < 0 or fill + b > 50 else (group, fill + b)
+            assert math.isclose(weights[s, i], w) and groups[s, i] == (b, group)
+
+
+@pytest.mark.parametrize("segment", [1, 4, 16, 1 << 16])
+def test_leaky_bucket_in_segments(spark, segment):
+    logs = {s: [R.randint(1, 60) for _ in range(150 if s == 0 else 30)] for s in range(11)}
+    df = spark.createDataFrame([(s, i, b) for s, bits in logs.items() for i, b in enumerate(bits)], "stream_id long, i long, bits long").repartition(3)
+    rates = spark.createDataFrame([(s, r) for s in logs for r in (20, 31, 45)], "stream_id long, rate long")
+    got = {(r.stream_id, r.rate): (r.b, r.f) for r in W.leaky_bucket(df, rates, segment=segment).collect()}
+    for (s, rate), found in got.items():
+        need, low, levels, sums = [], [], [], 0
+        for n, b in enumerate(logs[s]):
+            sums += b
+            need.append((n * rate - sums + b, b))
+            low.append(sums - n * rate)
+            levels.append(logs[s][0] - low[-1] + max(0, max(low) - logs[s][0]))
+        needs = [max(x for x, _ in need[: n + 1]) - x + b for n, (x, b) in enumerate(need)]
+        size = max(needs)
+        until = min([needs.index(size)] + [n for n, y in enumerate(levels) if y + rate > size][:1])
+        assert found == (size, max(logs[s][0], *low[: until + 1])), (s, rate)
+    assert len(got) == 33
+
+
+@pytest.mark.parametrize("segment", [1, 5])
+def test_gop_quantisers_in_segments(spark, segment):
+    rows = [(s, g, n, R.randint(0, 8), sum(qs), qs[-1] if qs else 26) for s in range(3) for g in range(1, 40) for n in [R.randint(0, 5)] for qs in [[R.randint(0, 51) for _ in range(n)]]]
+    df = spark.createDataFrame(rows, "stream_id long, gop long, np long, nb long, sum_qp long, last_qp int")
+    assert {tuple(r) for r in A.gop_initial_qp(df, 60, 3, 48, segment=segment).collect()} == {tuple(r) for r in A.gop_initial_qp(df, 60, 3, 48).collect()}
+
+
+def test_packing_one_long_stream(spark):
+    """A million units of one stream, in 62 segments that are packed side by side."""
+    n, cap = 1_000_000, 12000
+    sizes = F.pmod(F.xxhash64("id"), F.lit(1500)) + F.when(F.col("id") % 9973 == 0, 20000).otherwise(1)
+    units = spark.range(n).select(F.lit(1).cast("long").alias("stream_id"), F.col("id").alias("pos"), sizes.alias("size"))
+    packed = W.pack_by_bytes(units, cap, segment=1 << 14)
+    found = packed.groupBy("group").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.sum("size").alias("s"), F.min_by("size", "pos").alias("head")).orderBy("group").collect()
+    greedy, fill = [0], 0
+    for i, (s,) in enumerate(units.select("size").toPandas().itertuples(index=False)):
+        if i and fill + s > cap:
+            greedy.append(i)
+            fill = 0
+        fill += s
+    assert [r.a for r in found] == greedy and [r.group for r in found] == list(range(len(greedy)))
+    assert packed.select(F.spark_partition_id().alias("p")).distinct().count() > 1
