@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +100,42 @@ def display_order(frames: DataFrame, by: tuple[str, ...] = ("stream_id", "gop"),
     return frames.withColumn("display", (F.row_number().over(Window.partitionBy(*by).orderBy("poc", tie)) - 1).cast("long"))
 
 
+def bump_output(frames: DataFrame, capacity: int, by: str = "stream_id", order: str = "i") -> DataFrame:
+    """``by, n, i, poc``: pictures (poc, idr) in output order. Up to ``capacity`` are held; when one more comes the
+    smallest picture order goes out, and a refresh or the end sends out all. Periods between refreshes go through
+    their tasks side by side, with a heap of ``capacity`` pictures each; their sizes number the output."""
+    key = [by, "__period"]
+    cut = gop_id(frames.select(by, order, "poc", "idr"), F.col("idr") == 1, by, order).select(by, F.col("gop").alias("__period"), order, F.col("poc").cast("long").alias("poc"))
+    kinds = dict(cut.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        period, heap, k = None, [], 0
+        for b in batches:
+            out = []
+            for s, g, i, poc in zip(*(b.column(c).to_pylist() for c in (by, "__period", order, "poc")), strict=True):
+                if (s, g) != period:
+                    out += [(*period, k + n, j, p) for n, (p, j) in enumerate(sorted(heap))] if period else []
+                    period, heap, k = (s, g), [], 0
+                heapq.heappush(heap, (poc, i))
+                if len(heap) > capacity:
+                    p, j = heapq.heappop(heap)
+                    out.append((s, g, k, j, p))
+                    k += 1
+            yield made(out)
+        if period:
+            yield made([(*period, k + n, j, p) for n, (p, j) in enumerate(sorted(heap))])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[by, "__period", "k", order, "poc"])
+
+    sorted_rows = cut.repartition(*key).sortWithinPartitions(*key, order)
+    sent = sorted_rows.mapInArrow(run, f"`{by}` long, __period long, k long, `{order}` long, poc long").withColumn(by, F.col(by).cast(kinds[by]))
+    sizes = cut.groupBy(*key).agg(F.count("*").alias("__n"))
+    starts = sizes.select(*key, F.coalesce(F.sum("__n").over(_before(by, "__period")), F.lit(0)).alias("__start"))
+    return sent.join(starts, key).select(by, (F.col("__start") + F.col("k")).alias("n"), order, "poc")
+
+
 def unwrap_rtp_ts(rtp: DataFrame, by: str = "ssrc", order: str = "arrival") -> DataFrame:
     """Running time from an 8-bit clock: a step back of more than 10 is a wrap; a thousand per tick; first 0."""
     d = F.coalesce(F.col("tr") - F.lag("tr").over(Window.partitionBy(by).orderBy(order)), F.lit(0))

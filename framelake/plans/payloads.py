@@ -35,6 +35,15 @@ def _byte_streams(t):
 
 _RTP = [("version", "b0 & 3"), ("padding", "b0 >> 2 & 1"), ("extension", "b0 >> 3 & 1"), ("csrc_count", "b0 >> 4 & 15"), ("marker", "b1 & 1"), ("payload_type", "b1 >> 1")]
 
+SCAN_SQL = r"""with s as (select cast(doc_id as varchar) as file, regexp_replace(text, '[^ -~]', '', 'g') as raw from {documents}),
+b as (select file, raw, translate(translate(raw, 'ZO', 'zo'), ' ,e', 'ZZO') as s from s),
+c as (select file, raw, s, unnest(range(1, length(s) - 1)) as p from b where length(s) > 2),
+u as (select file, raw, s, p + 2 as pos, case when p > 1 and substr(s, p - 1, 1) = 'Z' then 4 else 3 end as start_code_len from c where substr(s, p, 3) = 'ZZO'),
+e as (select *, coalesce(lead(pos - start_code_len) over (partition by file order by pos), length(s)) as stop from u),
+z as (select *, length(substr(s, pos + 1, stop - pos)) - length(rtrim(substr(s, pos + 1, stop - pos), 'Z')) as zeros,
+  case substr(s, pos + 1, 1) when 'Z' then 0 when 'O' then 1 when '' then null else ascii(substr(raw, pos + 1, 1)) end as b0 from e)
+select file, pos, start_code_len, stop - pos - zeros as length, zeros, b0 >> 7 & 1 as forbidden, b0 >> 5 & 3 as ref_idc, b0 & 31 as nal_type from z"""
+
 ENTRIES = {
     "prj04_rtp_header_fields": Entry(
         lambda t: _digest(t).withColumn("d", F.unhex("h")).withColumn("f", C.rtp_header_fields(F.col("d"), "low_first")).select(
@@ -78,14 +87,7 @@ select doc_id, said[1] as first_mb, said[2] % 5 as slice_type, said[3] as pps_id
     ),
     "src04_scan_start_codes": Entry(
         lambda t: media.scan_start_codes(_byte_streams(t)).select("file", "pos", "start_code_len", "length", "zeros", *[F.col(c).cast("long").alias(c) for c in ("forbidden", "ref_idc", "nal_type")]).withColumn("start_code_len", F.col("start_code_len").cast("long")),
-        r"""with s as (select cast(doc_id as varchar) as file, regexp_replace(text, '[^ -~]', '', 'g') as raw from {documents}),
-b as (select file, raw, translate(translate(raw, 'ZO', 'zo'), ' ,e', 'ZZO') as s from s),
-c as (select file, raw, s, unnest(range(1, length(s) - 1)) as p from b where length(s) > 2),
-u as (select file, raw, s, p + 2 as pos, case when p > 1 and substr(s, p - 1, 1) = 'Z' then 4 else 3 end as start_code_len from c where substr(s, p, 3) = 'ZZO'),
-e as (select *, coalesce(lead(pos - start_code_len) over (partition by file order by pos), length(s)) as stop from u),
-z as (select *, length(substr(s, pos + 1, stop - pos)) - length(rtrim(substr(s, pos + 1, stop - pos), 'Z')) as zeros,
-  case substr(s, pos + 1, 1) when 'Z' then 0 when 'O' then 1 when '' then null else ascii(substr(raw, pos + 1, 1)) end as b0 from e)
-select file, pos, start_code_len, stop - pos - zeros as length, zeros, b0 >> 7 & 1 as forbidden, b0 >> 5 & 3 as ref_idc, b0 & 31 as nal_type from z""",
+        SCAN_SQL,
     ),
     "snk04_extract_units": Entry(
         lambda t: sinks.extract_units(

@@ -43,6 +43,19 @@ def _skipping(t):
 
 _BEFORE = "rows between unbounded preceding and 1 preceding"
 
+def fields(t):
+    """Pictures as top or bottom fields or whole frames."""
+    kinds = F.array(*map(F.lit, "TBFBT"))
+    return t("m_frame_log").select("stream_id", "i", F.element_at(kinds, (F.col("bits") % 5 + 1).cast("int")).alias("structure"))
+
+
+PAIRED_SQL = """with recursive p as (select stream_id, i, ['T', 'B', 'F', 'B', 'T'][bits % 5 + 1] as s, row_number() over (partition by stream_id order by i) as n from {m_frame_log}),
+e as (select stream_id, n, i, s, case when s = 'F' then null else i end as held, case when s = 'F' then null else s end as held_s, case when s = 'F' then 1 else 0 end as alone, false as pairs from p where n = 1 union all
+  select p.stream_id, p.n, p.i, p.s, case when p.s = 'F' or (e.held_s is not null and e.held_s <> p.s) then null else p.i end, case when p.s = 'F' or (e.held_s is not null and e.held_s <> p.s) then null else p.s end,
+    0, p.s <> 'F' and e.held_s is not null and e.held_s <> p.s from e join p on p.stream_id = e.stream_id and p.n = e.n + 1),
+m as (select *, lead(pairs) over (partition by stream_id order by n) as taken, lead(s) over (partition by stream_id order by n) as next_s from e)
+select stream_id, i, case when taken then 2 else 1 end as n_pictures, case when taken then s || next_s else s end as structure from m where not pairs"""
+
 ENTRIES = {
     "wn01_unit_lengths": Entry(
         lambda t: W.unit_lengths(_units(t)).select("file", "pos", "length"),
@@ -111,15 +124,7 @@ select stream_id, i, round(a, 6) as weight from e""",
 from (select * replace (cast((k + 2 * sum(case when event_id % 6 = 1 then 1 else 0 end) over (partition by stream_id, gop order by k rows unbounded preceding)) % 8 as bigint) as frame_num)
   from {{m_slices}})) where frame_num <> prev and frame_num <> (prev + 1) % 8 and idr = 0 and pps_id <> 3""",
     ),
-    "wn14_pair_fields": Entry(
-        lambda t: W.pair_fields(t("m_frame_log").select("stream_id", "i", F.element_at(F.array(F.lit("T"), F.lit("B"), F.lit("F"), F.lit("B"), F.lit("T")), (F.col("bits") % 5 + 1).cast("int")).alias("structure"))),
-        """with recursive p as (select stream_id, i, ['T', 'B', 'F', 'B', 'T'][bits % 5 + 1] as s, row_number() over (partition by stream_id order by i) as n from {m_frame_log}),
-e as (select stream_id, n, i, s, case when s = 'F' then null else i end as held, case when s = 'F' then null else s end as held_s, case when s = 'F' then 1 else 0 end as alone, false as pairs from p where n = 1 union all
-  select p.stream_id, p.n, p.i, p.s, case when p.s = 'F' or (e.held_s is not null and e.held_s <> p.s) then null else p.i end, case when p.s = 'F' or (e.held_s is not null and e.held_s <> p.s) then null else p.s end,
-    0, p.s <> 'F' and e.held_s is not null and e.held_s <> p.s from e join p on p.stream_id = e.stream_id and p.n = e.n + 1),
-m as (select *, lead(pairs) over (partition by stream_id order by n) as taken, lead(s) over (partition by stream_id order by n) as next_s from e)
-select stream_id, i, case when taken then 2 else 1 end as n_pictures, case when taken then s || next_s else s end as structure from m where not pairs""",
-    ),
+    "wn14_pair_fields": Entry(lambda t: W.pair_fields(fields(t)), PAIRED_SQL),
     "wn15_reframe": Entry(
         lambda t: W.reframe(t("m_samples"), 12, ("file", "ch")).select("file", "ch", F.col("frame").cast("long").alias("frame"), F.size("samples").cast("long").alias("n"), F.round(F.element_at("samples", 1), 6).alias("first"), F.round(F.element_at("samples", -1), 6).alias("last")),
         "select file, ch, idx // 12 as frame, count(*) as n, round(arg_min(s, idx), 6) as first, round(arg_max(s, idx), 6) as last from {m_samples} group by file, ch, idx // 12",

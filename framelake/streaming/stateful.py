@@ -10,8 +10,11 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.columns import nal_header_fields
+
 
 def _joined(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     parts = list(rows)
@@ -160,39 +163,98 @@ def reorder_stream(frames: DataFrame, capacity: int = 10) -> DataFrame:
 
 
 class Interleave(StatefulProcessor):
-    """Packets of a file wait until the watermark passes their time, then go out by time."""
+    """Packets of a file wait until the watermark passes their millisecond, then go out by time. What waits is
+    held by millisecond, so a timer reads and clears only its own packets."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "ts_us long, stream_index long, pos long")
+        self.held = handle.getMapState("held", "ms long", "us array<long>, stream array<long>, pos array<long>")
+        self.sent = handle.getValueState("sent", "n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         part = _joined(rows)
-        us = part["ts"].astype("datetime64[us]").astype("int64").tolist()
-        self.held.appendList([(int(t), int(s), int(p)) for t, s, p in zip(us, part["stream_index"], part["pos"], strict=True)])
-        for ms in {t // 1000 + 1 for t in us}:
-            self.handle.registerTimer(ms)
-        yield pd.DataFrame({"file": [], "ts": [], "stream_index": [], "pos": []}).astype({"file": "int64", "ts": "datetime64[us]", "stream_index": "int64", "pos": "int64"})
+        part["us"] = part["ts"].astype("datetime64[us]").astype("int64")
+        for ms, new in part.groupby(part["us"] // 1000):
+            at = (int(ms),)
+            lists = [[int(x) for x in new[c]] for c in ("us", "stream_index", "pos")]
+            if self.held.containsKey(at):
+                lists = [list(old) + x for old, x in zip(self.held.getValue(at), lists, strict=True)]
+            self.held.updateValue(at, tuple(lists))
+            self.handle.registerTimer(int(ms) + 1)
+        yield pd.DataFrame({"file": [], "n": [], "ts": [], "stream_index": [], "pos": []}).astype({"file": "int64", "n": "int64", "ts": "datetime64[us]", "stream_index": "int64", "pos": "int64"})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = sorted(tuple(r) for r in self.held.get())
-        out = [r for r in held if r[0] <= limit]
-        rest = held[len(out) :]
-        if rest:
-            self.held.put(rest)
-        else:
-            self.held.clear()
-        yield pd.DataFrame({"file": key[0], "ts": pd.to_datetime([r[0] for r in out], unit="us"), "stream_index": [r[1] for r in out], "pos": [r[2] for r in out]})
+        at = (expiredTimerInfo.getExpiryTimeInMs() - 1,)
+        out = sorted(zip(*self.held.getValue(at), strict=True))
+        self.held.removeKey(at)
+        n = self.sent.get()[0] if self.sent.exists() else 0
+        self.sent.update((n + len(out),))
+        yield pd.DataFrame({"file": key[0], "n": range(n, n + len(out)), "ts": pd.to_datetime([r[0] for r in out], unit="us"), "stream_index": [r[1] for r in out], "pos": [r[2] for r in out]})
 
     def close(self) -> None:
         pass
 
 
 def interleave_stream(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Packets (file, ts, stream_index, pos) of all streams of a file by time, once none older can come."""
+    """Packets (file, ts, stream_index, pos) of all streams of a file by time, numbered from 0 per file (``n``),
+    once none older can come."""
     return packets.select("file", "ts", "stream_index", "pos").withWatermark("ts", delay).groupBy("file").transformWithStateInPandas(
-        statefulProcessor=Interleave(), outputStructType="file long, ts timestamp, stream_index long, pos long", outputMode="Append", timeMode="EventTime"
+        statefulProcessor=Interleave(), outputStructType="file long, n long, ts timestamp, stream_index long, pos long", outputMode="Append", timeMode="EventTime"
     )
 
 
+class UnitScanner(StatefulProcessor):
+    """Units of a byte stream that comes in chunks. Between chunks a file keeps its last three bytes, where its open
+    unit began, and where the last byte that is not zero ended; a unit goes out when the next start code or the last
+    chunk closes it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("open", "offset long, tail binary, pos long, code int, head int, used long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        part = _joined(rows).sort_values("chunk_no")
+        offset, tail, pos, code, head, used = self.state.get() if self.state.exists() else (0, b"", None, None, None, 0)
+        out, ended = [], False
+        for data, last in zip(part["data"], part["last"], strict=True):
+            data = bytes(data)
+            if pos == offset and head is None and data:
+                head = data[0]
+            whole, base, seen = bytes(tail) + data, offset - len(tail), 0
+            at = whole.find(b"\0\0\1")
+            while at >= 0:
+                if base + at + 2 >= offset:  # the 01 is new
+                    fresh = 4 if at > 0 and whole[at - 1] == 0 else 3
+                    end = at + 3 - fresh
+                    kept = len(whole[seen:end].rstrip(b"\0"))
+                    used = base + seen + kept if kept else used
+                    if pos is not None:
+                        out.append((pos, code, base + end - max(used, pos), base + end - pos, head))
+                    pos, code, head = base + at + 3, fresh, whole[at + 3] if at + 3 < len(whole) else None
+                    seen, used = at + 3, pos
+                at = whole.find(b"\0\0\1", at + 1)
+            kept = len(whole[seen:].rstrip(b"\0"))
+            used = max(used, base + seen + kept) if kept else used
+            offset, tail = offset + len(data), whole[-3:]
+            if last:
+                if pos is not None:
+                    out.append((pos, code, offset - max(used, pos), offset - pos, head))
+                ended = True
+        if ended:
+            self.state.clear()
+        else:
+            self.state.update((offset, tail, pos, code, head, used))
+        found = {c: [r[k] for r in out] for k, c in enumerate(("pos", "start_code_len", "zeros", "length", "b0"))}
+        made = pd.DataFrame({"file": key[0], **found}).astype({"b0": "Int64"})
+        yield made.assign(length=made["length"] - made["zeros"])
+
+    def close(self) -> None:
+        pass
+
+
+def scan_stream(chunks: DataFrame) -> DataFrame:
+    """Units of byte streams as ``scan_start_codes`` finds them, from a stream of chunks (file, chunk_no, data, last):
+    chunks of a file come in order, and ``last`` marks the one that ends it and flushes its open unit."""
+    found = chunks.select("file", "chunk_no", "data", "last").groupBy("file").transformWithStateInPandas(
+        statefulProcessor=UnitScanner(), outputStructType="file string, pos long, start_code_len int, zeros long, length long, b0 long", outputMode="Append", timeMode="None"
+    )
+    return found.select("*", nal_header_fields(F.col("b0")).alias("h")).select("file", "pos", "start_code_len", "zeros", "length", "h.*")
