@@ -1,7 +1,7 @@
 """Joins: as-of, interval, rectangle, grid, overlay, and the equi joins of streams and pictures.
 
 Sides are broadcast only where Spark finds them small; range conditions are turned into equi joins
-on the units or cells that a range covers, so every join is dealt out by its keys.
+on the dyadic cells that a range is made of, so every join is dealt out by its keys.
 """
 
 from __future__ import annotations
@@ -47,18 +47,43 @@ def dangling_refs(slices: DataFrame, defs: DataFrame) -> DataFrame:
     return as_of(slices, defs.where("valid = 1"), ["file", "id"], "pos", "pos", F.col("body"), "__body").where("__body is null").drop("__body")
 
 
+def dyadic_cells(ranges: DataFrame, start: str, end: str, level: str, cell: str) -> DataFrame:
+    """``ranges`` with a row per dyadic cell (``level``, ``cell``: the whole numbers from ``cell`` 2^level on, 2^level of
+    them) of a range from ``start`` to ``end``, both included: disjoint cells, two a level at most, so that a range of a
+    billion numbers has under 60. Ranges that are null or empty have none."""
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.greatest(F.col("__until") - F.col("__from"), F.lit(1)))))
+    shift = lambda x, n: F.call_function("shiftright", x, n)
+    spans = ranges.withColumns({"__from": F.col(start).cast("long"), "__until": F.col(end).cast("long") + 1}).where("__from < __until")
+    at = spans.withColumn(level, F.explode(levels)).withColumns({"__low": -shift(-F.col("__from"), F.col(level)), "__high": shift(F.col("__until"), F.col(level))})
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1).cast("long"))
+    first = F.when((F.col("__low") < F.col("__high")) & (odd("__low") == 1), F.col("__low"))
+    last = F.when((odd("__high") == 1) & (F.col("__low") + odd("__low") < F.col("__high")), F.col("__high") - 1)
+    return at.withColumn(cell, F.explode(F.array_compact(F.array(first, last)))).drop("__from", "__until", "__low", "__high")
+
+
+def _stabbed(points: DataFrame, at: list[str], cells: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """Distinct ``by`` and ``at`` of ``points`` with ``name``: ``value`` over the ranges that hold them. ``cells`` has
+    ``__l0, __c0`` (and ``__l1, __c1``) for ``at``; a point looks its cell up on the levels that there are."""
+    dims = range(len(at))
+    levels = [f"__l{k}" for k in dims]
+    there = [tuple(r) for r in cells.select(*levels).distinct().collect()] or [(0,) * len(at)]  # at most 64 levels a dimension
+    looked = points.select(*by, *at).distinct().withColumn("__l", F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(levels, r, strict=True)]) for r in there])))
+    looked = looked.select(*by, *at, *[F.col(f"__l.{n}").alias(n) for n in levels])
+    looked = looked.withColumns({f"__c{k}": F.call_function("shiftright", F.col(at[k]).cast("long"), F.col(levels[k])) for k in dims})
+    return looked.join(cells, [*by, *levels, *[f"__c{k}" for k in dims]]).groupBy(*by, *at).agg(value.alias(name))
+
+
 def mark_segments(blocks: DataFrame, segments: DataFrame, by: str = "frame_no", mb: str = "mb") -> DataFrame:
     """Blocks with ``bad`` of the segment that holds their unit (null: no segment; several: the worst)."""
-    units = segments.select(by, F.explode(F.sequence("start_mb", "end_mb")).alias(mb), "bad")
-    flags = units.groupBy(by, mb).agg(F.max("bad").alias("bad"))
-    return blocks.join(flags, [by, mb], "left")
+    cells = dyadic_cells(segments.select(by, "start_mb", "end_mb", "bad"), "start_mb", "end_mb", "__l0", "__c0").drop("start_mb", "end_mb")
+    return blocks.join(_stabbed(blocks, [mb], cells, [by], F.max("bad"), "bad"), [by, mb], "left")
 
 
 def apply_zones(frames: DataFrame, zones: DataFrame, no: str = "i", default_qp: int = 26) -> DataFrame:
     """Frames with the zone that holds their number (lowest zone_id wins), its quantiser, and the factor by
     which it changes the bit rate (1 where the zone sets none; a zone has one or the other)."""
-    covered = zones.select(F.explode(F.sequence("start_i", "end_i")).alias(no), "zone_id", "qp", "bitrate_factor")
-    first = covered.groupBy(no).agg(F.min(F.struct("zone_id", "qp", "bitrate_factor")).alias("__z"))
+    cells = dyadic_cells(zones, "start_i", "end_i", "__l0", "__c0").select("__l0", "__c0", "zone_id", "qp", "bitrate_factor")
+    first = _stabbed(frames, [no], cells, [], F.min(F.struct("zone_id", "qp", "bitrate_factor")), "__z")
     return frames.join(first, no, "left").select(
         *frames.columns, F.col("__z.zone_id").alias("zone_id"), F.coalesce("__z.qp", F.lit(default_qp)).cast("long").alias("qp"),
         F.coalesce("__z.bitrate_factor", F.lit(1.0)).alias("bitrate_factor"),
@@ -67,10 +92,9 @@ def apply_zones(frames: DataFrame, zones: DataFrame, no: str = "i", default_qp:
 
 def slice_group_of(mbs: DataFrame, rects: DataFrame, n_groups: int) -> DataFrame:
     """Units (x, y) with ``slice_group``: the lowest group whose rectangle holds them, else the last."""
-    cells = rects.select(
-        "group_id", F.explode(F.sequence("left", "right")).alias("x"), "top", "bottom"
-    ).select("group_id", "x", F.explode(F.sequence("top", "bottom")).alias("y"))
-    lowest = cells.groupBy("x", "y").agg(F.min("group_id").alias("slice_group"))
+    wide = dyadic_cells(rects.select("group_id", "left", "right", "top", "bottom"), "left", "right", "__l0", "__c0")
+    cells = dyadic_cells(wide, "top", "bottom", "__l1", "__c1").select("__l0", "__c0", "__l1", "__c1", "group_id")
+    lowest = _stabbed(mbs, ["x", "y"], cells, [], F.min("group_id"), "slice_group")
     return mbs.join(lowest, ["x", "y"], "left").withColumn("slice_group", F.coalesce("slice_group", F.lit(n_groups - 1)).cast("long"))
 
 
@@ -105,10 +129,8 @@ def unit_to_mb_group(group_of_unit: DataFrame, width: int, field: bool, by: str
     otherwise in adjacent rows of a pair)."""
     unit = F.col("mb")
     row, col = idiv(unit, width), F.pmod(unit, F.lit(width))
-    rows = F.array(row, row + F.lit(0)) if field else F.array(2 * row, 2 * row + 1)
-    if field:
-        return group_of_unit.select(by, F.explode(F.array(2 * row * width + col, (2 * row + 1) * width + col)).alias("mb"), "slice_group")
-    return group_of_unit.select(by, F.explode(rows).alias("__row"), col.alias("__col"), "slice_group").select(by, (F.col("__row") * width + F.col("__col")).alias("mb"), "slice_group")
+    pair = F.array(2 * row * width + col, (2 * row + 1) * width + col)
+    return group_of_unit.select(by, F.explode(pair).alias("mb"), "slice_group")
 
 
 def mux_interleave(video: DataFrame, audio: DataFrame, by: str = "file", order: str = "pos", pts: str = "pts") -> DataFrame:

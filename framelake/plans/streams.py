@@ -106,10 +106,10 @@ ENTRIES = {
         SCAN_SQL,
     ),
     "sm02_interleave_stream": Entry(
-        lambda t: _streamed(t, [_packets_by_time(t)], "pos", lambda s: stateful.interleave_stream(s, "1 day")),
+        lambda t: _streamed(t, [_packets_by_time(t)], "pos", lambda s: stateful.interleave_stream(s, "1 day", 21_600_000)),
         """with p as (select user_id % 4 as file, ts, user_id as stream_index, event_id as pos from {events}),
 n as (select *, row_number() over (partition by file order by ts, stream_index, pos) - 1 as n from p)
-select file, n, ts, stream_index, pos from n where epoch_ms(ts) + 1 <= (select epoch_ms(max(ts)) - 86400000 from p)""",
+select file, n, ts, stream_index, pos from n where (epoch_ms(ts) // 21600000 + 1) * 21600000 <= (select epoch_ms(max(ts)) - 86400000 from p)""",
     ),
     "sm07_dropped_rows": Entry(
         _dropped,

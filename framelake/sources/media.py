@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import idiv, nal_header_fields
+from ..operators.folds import fold_in_order
 from .records import SPLIT_BYTES, RecordSource
 
 #: Bytes and number types of sample formats.
@@ -38,8 +39,9 @@ def media_catalog(spark: SparkSession, path: str) -> DataFrame:
 SPLIT_ABOVE = 256 << 20
 
 
-def _records(spark: SparkSession, path: str, size: int, split_above: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``file, record, data``: whole records of ``size`` bytes, numbered per file, and a short last one.
+def _records(spark: SparkSession, path: str, size: int, split_above: int | None = None, split_bytes: int = SPLIT_BYTES, overlap: int = 0) -> DataFrame:
+    """``file, record, data``: whole records of ``size`` bytes, numbered per file, and a short last one; with ``overlap``
+    so many of the bytes that follow a record lie behind it.
 
     Files are cut up in the task that reads them; large ones, whatever their length, are read in ranges.
     """
@@ -53,13 +55,13 @@ def _records(spark: SparkSession, path: str, size: int, split_above: int | None
                 n = -(-len(content) // size)
                 for first in range(0, n, step):
                     ks = range(first, min(first + step, n))
-                    yield pd.DataFrame({"file": file, "record": ks, "data": [bytes(content[k * size : (k + 1) * size]) for k in ks]})
+                    yield pd.DataFrame({"file": file, "record": ks, "data": [bytes(content[k * size : (k + 1) * size + overlap]) for k in ks]})
 
     schema = "file string, record long, data binary"
     found = files.where(F.col("length") <= limit).select(F.col("path").alias("file"), "content").mapInPandas(cut, schema)
     spark.dataSource.register(RecordSource)
     for (file,) in files.where(F.col("length") > limit).select("path").collect():  # names of very large files only
-        ranges = spark.read.format("fixed_records").option("path", file).option("record_size", size).option("split_bytes", split_bytes).load()
+        ranges = spark.read.format("fixed_records").option("path", file).option("record_size", size).option("split_bytes", split_bytes).option("overlap", overlap).load()
         found = found.unionByName(ranges.withColumn("file", F.lit(file)))
     return found
 
@@ -109,85 +111,173 @@ def read_chunks(spark: SparkSession, path: str, size: int = 4096) -> DataFrame:
     return rows.select("file", F.col("record").alias("chunk_no"), (F.col("record") * size).alias("offset"), "data")
 
 
+def _within_chunks(chunks: DataFrame, by: str) -> DataFrame:
+    """A short row per chunk: its borders (``head``, ``tail``), the end of its last byte that is not zero (``used``), and
+    ``codes``: start codes that lie in it, each with the end of the last such byte before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, heads, tails, used, codes = [], [], [], [], []
+            for offset, value in zip(b.column("offset").to_pylist(), b.column("data"), strict=True):
+                data = value.as_py() or b""
+                found, seen, last, at = [], 0, None, data.find(b"\0\0\1")
+                while at >= 0:
+                    four = data[at - 1] == 0 if at else None
+                    kept = len(data[seen : at - bool(four)].rstrip(b"\0"))
+                    last = offset + seen + kept if kept else last
+                    found.append({"pos": offset + at + 3, "four": four, "b0": data[at + 3] if at + 3 < len(data) else None, "used": last})
+                    seen, last = at + 3, offset + at + 3
+                    at = data.find(b"\0\0\1", at + 1)
+                kept = len(data[seen:].rstrip(b"\0"))
+                sizes.append(len(data))
+                heads.append(data[:4])
+                tails.append(data[-3:])
+                used.append(offset + seen + kept if kept else last)
+                codes.append(found)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(by), b.column("chunk_no"), b.column("offset"), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary()), pa.array(tails, pa.binary()), pa.array(used, pa.int64()), pa.array(codes, pa.list_(pa.struct(CODE)))],
+                names=[by, "chunk_no", "offset", "size", "head", "tail", "used", "codes"],
+            )
+
+    kind = dict(chunks.dtypes)[by]
+    return chunks.select(by, F.col("chunk_no").cast("long").alias("chunk_no"), F.col("offset").cast("long").alias("offset"), "data").mapInArrow(
+        run, f"`{by}` {kind}, chunk_no long, offset long, size long, head binary, tail binary, used long, codes array<struct<pos: long, four: boolean, b0: long, used: long>>"
+    )
+
+
+CODE = [("pos", pa.int64()), ("four", pa.bool_()), ("b0", pa.int64()), ("used", pa.int64())]
+
+
 def scan_start_codes(chunks: DataFrame, by: str = "file") -> DataFrame:
     """Units of a chunked byte stream: ``file, pos, start_code_len, zeros, file_size, length`` and the
     fields of the header byte. ``pos`` is the first byte behind the start code; trailing zeros belong to
     no unit.
 
-    Every chunk is searched with the last three bytes of the chunk before and the three of the next, so
-    codes that straddle a border are found once, by the chunk that holds the 01.
+    Chunks are searched where they are. What is shuffled is a short row per chunk: the codes in it, and its first and last
+    bytes, from which codes that straddle a border are found, once, by the chunk that holds the 01.
     """
     order = Window.partitionBy(by).orderBy("chunk_no")
-    latin = lambda c: F.decode(c, "ISO-8859-1")
-    text = chunks.select(by, "chunk_no", "offset", latin("data").alias("t"))
-    wide = text.withColumns({
-        "before": F.coalesce(F.substring(F.lag("t").over(order), -3, 3), F.lit("")), "after": F.coalesce(F.substring(F.lead("t").over(order), 1, 1), F.lit("")),
-        "size": F.length("t"),
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy(by)
+    tails = F.concat(*[F.coalesce(F.lag("tail", k).over(order), F.lit(b"")) for k in (3, 2, 1)])
+    bordered = _within_chunks(chunks, by).withColumns({
+        "before": F.substring(tails, -3, 3), "used_before": F.max("used").over(earlier), "after": F.first(F.when(F.col("size") > 0, F.substring("head", 1, 1)), ignorenulls=True).over(later),
+        "file_size": F.max(F.col("offset") + F.col("size")).over(whole), "file_used": F.max("used").over(whole),
     })
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for file, offset, size, before, body, after in zip(b[by], b["offset"], b["size"], b["before"], b["t"], b["after"], strict=True):
-                whole, low = before + body + after, len(before)
-                at = whole.find("\0\0\1")
-                while at >= 0:
-                    one = at + 2
-                    if low <= one < low + size:
-                        code = 4 if at > 0 and whole[at - 1] == "\0" else 3
-                        head = ord(whole[one + 1]) if one + 1 < len(whole) else None
-                        rows.append((file, offset + one + 1 - low, code, head))
-                    at = whole.find("\0\0\1", at + 1)
-            yield pd.DataFrame(rows, columns=[by, "pos", "start_code_len", "b0"]).astype({"b0": "Int64"})
-
-    found = wide.mapInPandas(find, f"{by} string, pos long, start_code_len int, b0 long")
-    sizes = text.groupBy(by).agg(F.max(F.col("offset") + F.length("t")).alias("file_size"))
-    units = found.join(sizes, by)
+    def straddling(before: pd.Series, head: pd.Series, offset: pd.Series) -> pd.Series:
+        found = []
+        for b, h, o in zip(before, head, offset, strict=True):
+            whole, low, codes = bytes(b) + bytes(h), len(b), []
+            at = whole.find(b"\0\0\1")
+            while 0 <= at < low:
+                if at + 2 >= low:
+                    codes.append({"pos": o + at + 3 - low, "four": at > 0 and whole[at - 1] == 0, "b0": whole[at + 3] if at + 3 < len(whole) else None, "used": None})
+                at = whole.find(b"\0\0\1", at + 1)
+            found.append(codes)
+        return pd.Series(found, dtype=object)
+
+    crossing = F.pandas_udf(straddling, "array<struct<pos: long, four: boolean, b0: long, used: long>>")
+    told = bordered.withColumn("c", F.explode(F.concat(crossing("before", "head", "offset"), "codes")))
+    four = F.coalesce("c.four", F.substring("before", -1, 1) == F.lit(b"\0"))
+    byte = F.when(F.octet_length("after") > 0, F.conv(F.hex("after"), 16, 10).cast("long"))
+    codes = told.select(
+        by, F.col("c.pos").alias("pos"), F.when(four, 4).otherwise(3).alias("start_code_len"), F.coalesce("c.b0", byte).alias("b0"),
+        F.coalesce("c.used", "used_before").alias("__used"), "file_size", "file_used",
+    )
     upto = Window.partitionBy(by).orderBy("pos")
-    following = F.coalesce(F.lead(F.col("pos") - F.col("start_code_len")).over(upto), F.col("file_size"))
-    ends = units.withColumn("__end", following)
-    return trailing_zeros(ends, text, by).withColumn("length", F.col("__end") - F.col("pos") - F.col("zeros")).drop("__end").select("*", nal_header_fields(F.col("b0")).alias("h")).select(
+    end = F.coalesce(F.lead(F.col("pos") - F.col("start_code_len")).over(upto), F.col("file_size"))
+    last = F.when(F.lead("pos").over(upto).isNull(), F.col("file_used")).otherwise(F.lead("__used").over(upto))
+    units = codes.withColumns({"__end": end, "__last": last}).withColumn("zeros", F.col("__end") - F.greatest("__last", "pos"))
+    return units.withColumn("length", F.col("__end") - F.col("pos") - F.col("zeros")).select("*", nal_header_fields(F.col("b0")).alias("h")).select(
         by, "pos", "start_code_len", "zeros", "file_size", "length", "h.*"
     )
 
 
-def trailing_zeros(units: DataFrame, text: DataFrame, by: str) -> DataFrame:
-    """Units with ``zeros``: how many zero bytes end at ``__end`` within the unit."""
-    # the last non-zero byte of every chunk, carried forward, and those next to each end within its chunk
-    tails = text.select(by, "chunk_no", "offset", "t", F.length(F.regexp_replace("t", "\\x00+\\z", "")).alias("n"))
-    order = Window.partitionBy(by).orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.withColumn("last_before", F.coalesce(F.max(F.when(F.col("n") > 0, F.col("offset") + F.col("n"))).over(order), F.lit(0)))
-    chunk_size = text.groupBy(by).agg(F.max(F.length("t")).alias("__size"))
-    placed = units.join(chunk_size, by).withColumn("chunk_no", idiv(F.greatest(F.col("__end") - 1, F.lit(0)), F.col("__size")))
-    there = placed.join(carried.select(by, "chunk_no", "offset", "t", "last_before"), [by, "chunk_no"])
-    inside = F.length(F.regexp_replace(F.substring("t", F.lit(1), (F.col("__end") - F.col("offset")).cast("int")), "\\x00+\\z", ""))
-    last = F.when(inside > 0, F.col("offset") + inside).otherwise(F.col("last_before"))
-    return there.withColumn("zeros", F.col("__end") - F.greatest(last, F.col("pos"))).drop("chunk_no", "__size", "offset", "t", "last_before")
-
-
 RTP_DUMP_SCHEMA = "file string, n long, time int, packet binary, torn boolean"
+#: The largest packet of a dump (a longer one is corruption), and bytes of a record's head.
+MAX_PACKET, HEAD = 65508, 8
+#: Where a chain of records ends, torn or not.
+ENDED = 1 << 62
 
 
-def read_rtp_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Records of length (u32), time (i32) and packet, little-endian; a torn last record is marked. The
-    chain of lengths does not split, so one task reads a file."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+def _chains(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a range at which a record may start, where the chain from each leaves the range (from its start on;
+    ``ENDED``: it breaks off), and its number of records. A record fits if its length is allowed and its bytes are there.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``data``: the range of ``size`` bytes and what follows it. Chains are followed by pointer doubling.
+    """
+    places = np.arange(max(0, min(size, len(data) - HEAD + 1)))
+    b = data.astype(np.int64)
+    lengths = b[places] | b[places + 1] << 8 | b[places + 2] << 16 | b[places + 3] << 24
+    fits = (lengths <= MAX_PACKET) & (places + HEAD + lengths <= len(data))
+    places, jump = places[fits], (places + HEAD + lengths)[fits]
+    count, where = np.ones(len(places), np.int64), np.searchsorted(places, jump)
+    inside = jump < size
+    known = inside & (where < len(places)) & (places[np.minimum(where, len(places) - 1)] == jump) if len(places) else inside
+    # a chain that goes on in the range at a place where no whole record fits breaks off there, after that torn one
+    count = count + (inside & ~known)
+    jump = np.where(inside & ~known, ENDED, jump)
+    open_ = np.where(known, where, -1)
+    while (open_ >= 0).any():
+        at = np.flatnonzero(open_ >= 0)
+        count[at], jump[at], open_[at] = count[at] + count[open_[at]], jump[open_[at]], open_[open_[at]]
+    return places, jump, count
+
+
+def read_rtp_dump(spark: SparkSession, path: str, range_bytes: int = 1 << 20, split_above: int | None = None) -> DataFrame:
+    """Records of length (u32), time (i32) and packet, little-endian; a torn record is marked and ends its file.
+
+    The chain of lengths is followed in ranges of bytes side by side: a range tries every place of its first bytes at which
+    a record may start, and tells where each chain leaves it; the chains are joined end to start per file, from one
+    short row per range; then each range reads the records of the one true chain.
+    """
+    reach = MAX_PACKET + HEAD
+    if range_bytes < 1:
+        raise ValueError("range_bytes must be positive")
+    ranges = _records(spark, path, range_bytes, split_above, overlap=reach)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for file, k, value in zip(b.column("file").to_pylist(), b.column("record").to_pylist(), b.column("data"), strict=True):
+                data = np.frombuffer(value.as_buffer(), np.uint8)
+                places, jump, count = _chains(data, range_bytes)
+                first = places < (1 if k == 0 else reach)
+                start = k * range_bytes
+                rows.append((file, k, [k, *np.column_stack([places + start, np.where(jump == ENDED, ENDED, jump + start), count])[first].ravel().tolist()]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["file", "record", "entries"])
+
+    def step(state: list, row: tuple) -> tuple[list, tuple]:
+        """State: the place at which the next record starts, and the records before it."""
+        k, table = row[0][0], np.array(row[0][1:], np.int64).reshape(-1, 3)
+        at, n = state
+        if not k * range_bytes <= at < (k + 1) * range_bytes:
+            return state, ([ENDED, n],)
+        found = np.searchsorted(table[:, 0], at)
+        if found == len(table) or table[found, 0] != at:
+            return [ENDED, n + 1], (state,)
+        return [int(table[found, 1]), n + int(table[found, 2])], (state,)
+
+    chained = fold_in_order(ranges.mapInArrow(entries, "file string, record long, entries array<long>"), "file", "record", [0, 0], step, "state array<long>")
+    starts = chained.where(F.col("state")[0] < ENDED)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, data in zip(b["file"], b["content"], strict=True):
-                at, rows = 0, []
-                while at < len(data):
-                    if at + 8 > len(data):
-                        rows.append((file, len(rows), None, bytes(data[at:]), True))
-                        break
-                    size, time = struct.unpack_from("<Ii", data, at)
-                    packet = bytes(data[at + 8 : at + 8 + size])
-                    rows.append((file, len(rows), time, packet, len(packet) < size))
-                    at += 8 + size
-                yield pd.DataFrame(rows, columns=["file", "n", "time", "packet", "torn"]).astype({"time": "Int32"})
-
-    return files.mapInPandas(run, RTP_DUMP_SCHEMA)
+            for file, k, value, (at, n) in zip(b.column("file").to_pylist(), b.column("record").to_pylist(), b.column("data"), b.column("state").to_pylist(), strict=True):
+                data, at, rows = value.as_py(), at - k * range_bytes, []
+                while at < min(range_bytes, len(data)):
+                    size, time = struct.unpack_from("<Ii", data, at) if at + HEAD <= len(data) else (None, None)
+                    torn = size is None or size > MAX_PACKET or at + HEAD + size > len(data)
+                    packet = data[at:] if size is None else data[at + HEAD : at + HEAD + min(size, reach)]
+                    rows.append((time, packet, torn))
+                    at = len(data) if torn else at + HEAD + size
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(rows), pa.string()), pa.array(range(n, n + len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.bool_())],
+                    names=["file", "n", "time", "packet", "torn"],
+                )
+
+    return ranges.join(starts, ["file", "record"]).select("file", "record", "data", "state").mapInArrow(read, RTP_DUMP_SCHEMA)
 
 
 def session_lines(lines: DataFrame) -> DataFrame:

@@ -40,10 +40,10 @@ class Range(InputPartition):
 
 
 class RecordReader(DataSourceReader):
-    def __init__(self, path: str, size: int, split: int) -> None:
+    def __init__(self, path: str, size: int, split: int, overlap: int = 0) -> None:
         if size <= 0:
             raise ValueError("record_size must be positive")
-        self.path, self.size, self.split = path, size, max(1, split // size)
+        self.path, self.size, self.split, self.overlap = path, size, max(1, split // size), overlap
 
     def partitions(self) -> list[Range]:
         from pyarrow import fs
@@ -64,16 +64,17 @@ class RecordReader(DataSourceReader):
         system, path = _opened(part.file)
         step = max(1, BATCH_BYTES // self.size)
         with system.open_input_file(path) as f:
-            f.seek(part.first * self.size)
             for first in range(part.first, part.first + part.count, step):
                 n = min(step, part.first + part.count - first)
-                raw = f.read(n * self.size)
-                data = [raw[k * self.size : (k + 1) * self.size] for k in range(n)]
+                f.seek(first * self.size)
+                raw = f.read(n * self.size + self.overlap)
+                data = [raw[k * self.size : (k + 1) * self.size + self.overlap] for k in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([part.file] * n), pa.array(range(first, first + n), pa.int64()), pa.array(data, pa.binary())], names=["file", "record", "data"])
 
 
 class RecordSource(DataSource):
-    """Options: ``path`` (a file or a folder), ``record_size``, ``split_bytes``."""
+    """Options: ``path`` (a file or a folder), ``record_size``, ``split_bytes``, ``overlap``: further bytes behind a
+    record that are read with it."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,4 +84,4 @@ class RecordSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RecordReader:
-        return RecordReader(self.options["path"], int(self.options["record_size"]), int(self.options.get("split_bytes", SPLIT_BYTES)))
+        return RecordReader(self.options["path"], int(self.options["record_size"]), int(self.options.get("split_bytes", SPLIT_BYTES)), int(self.options.get("overlap", 0)))

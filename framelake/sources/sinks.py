@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import nal_header_byte, rescale_ts
+from .byte_streams import PART_BYTES, ByteStreamSource
 
 
 def write_by_stream(packets: DataFrame, path: str, chosen: DataFrame | None = None) -> None:
@@ -44,9 +45,18 @@ def extract_units(nal: DataFrame, predicate: Column, single: bool = False) -> Da
     return nal.where(predicate).select("file", "pos", unit_bytes(code, F.col("forbidden"), F.col("ref_idc"), F.col("nal_type"), F.col("payload")).alias("data"))
 
 
-def write_units(units: DataFrame, path: str) -> None:
-    """Byte streams as a table of pieces, range-partitioned and sorted by file and position."""
-    units.repartitionByRange("file", "pos").sortWithinPartitions("file", "pos").write.mode("overwrite").parquet(path)
+def write_units(units: DataFrame, path: str, mode: str = "overwrite", part_bytes: int = PART_BYTES) -> None:
+    """Byte streams of units (file, pos, data): a folder per file, whose parts one after the other are the stream
+    (``byte_streams``). Tasks write parts of ranges of (file, pos) side by side; the job's commit puts them in place."""
+    units.sparkSession.dataSource.register(ByteStreamSource)
+    ordered = units.select(F.col("file").cast("string").alias("file"), F.col("pos").cast("long").alias("pos"), "data").repartitionByRange("file", "pos").sortWithinPartitions("file", "pos")
+    ordered.write.format("byte_stream").mode(mode).option("part_bytes", part_bytes).save(path)
+
+
+def read_units(spark: SparkSession, path: str, size: int = 4096) -> DataFrame:
+    """``file, chunk_no, offset, data``: what ``write_units`` wrote, in chunks, for ``scan_start_codes``."""
+    spark.dataSource.register(ByteStreamSource)
+    return spark.read.format("byte_stream").option("chunk_size", size).load(path)
 
 
 def stream_pieces(units: DataFrame) -> DataFrame:

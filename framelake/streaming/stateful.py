@@ -70,7 +70,7 @@ class BucketLevel(StatefulProcessor):
             level = min(full, self.size)
             levels.append(level)
         self.level.update((level,))
-        yield pd.DataFrame({"stream_id": key[0], "i": part["i"], "level": levels, "alert": alerts})
+        yield pd.DataFrame({"stream_id": key[0], "i": part["i"], "level": levels, "alert": pd.Series(alerts, dtype=object, index=part.index)})
 
     def close(self) -> None:
         pass
@@ -108,7 +108,7 @@ class FieldPairs(StatefulProcessor):
             self.pending.update(held)
         else:
             self.pending.clear()
-        yield pd.DataFrame({"stream_id": key[0], **{c: [r[k] for r in out] for k, c in enumerate(("i", "n_pictures", "structure"))}})
+        yield pd.DataFrame({"stream_id": key[0], **{c: [r[k] for r in out] for k, c in enumerate(("i", "n_pictures", "structure"))}}).astype({"structure": object})
 
     def close(self) -> None:
         pass
@@ -163,28 +163,31 @@ def reorder_stream(frames: DataFrame, capacity: int = 10) -> DataFrame:
 
 
 class Interleave(StatefulProcessor):
-    """Packets of a file wait until the watermark passes their millisecond, then go out by time. What waits is
-    held by millisecond, so a timer reads and clears only its own packets."""
+    """Packets of a file wait until the watermark passes their slot of time, then go out by time. What waits is
+    held by slot, so a timer reads and clears only its own packets."""
+
+    def __init__(self, slot_ms: int) -> None:
+        self.slot = slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "ms long", "us array<long>, stream array<long>, pos array<long>")
+        self.held = handle.getMapState("held", "slot long", "us array<long>, stream array<long>, pos array<long>")
         self.sent = handle.getValueState("sent", "n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         part = _joined(rows)
         part["us"] = part["ts"].astype("datetime64[us]").astype("int64")
-        for ms, new in part.groupby(part["us"] // 1000):
-            at = (int(ms),)
+        for slot, new in part.groupby(part["us"] // (1000 * self.slot)):
+            at = (int(slot),)
             lists = [[int(x) for x in new[c]] for c in ("us", "stream_index", "pos")]
             if self.held.containsKey(at):
                 lists = [list(old) + x for old, x in zip(self.held.getValue(at), lists, strict=True)]
             self.held.updateValue(at, tuple(lists))
-            self.handle.registerTimer(int(ms) + 1)
+            self.handle.registerTimer((int(slot) + 1) * self.slot)
         yield pd.DataFrame({"file": [], "n": [], "ts": [], "stream_index": [], "pos": []}).astype({"file": "int64", "n": "int64", "ts": "datetime64[us]", "stream_index": "int64", "pos": "int64"})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = (expiredTimerInfo.getExpiryTimeInMs() - 1,)
+        at = (expiredTimerInfo.getExpiryTimeInMs() // self.slot - 1,)
         out = sorted(zip(*self.held.getValue(at), strict=True))
         self.held.removeKey(at)
         n = self.sent.get()[0] if self.sent.exists() else 0
@@ -195,11 +198,11 @@ class Interleave(StatefulProcessor):
         pass
 
 
-def interleave_stream(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
+def interleave_stream(packets: DataFrame, delay: str = "10 seconds", slot_ms: int = 1000) -> DataFrame:
     """Packets (file, ts, stream_index, pos) of all streams of a file by time, numbered from 0 per file (``n``),
-    once none older can come."""
+    once none older than the end of their slot of ``slot_ms`` can come."""
     return packets.select("file", "ts", "stream_index", "pos").withWatermark("ts", delay).groupBy("file").transformWithStateInPandas(
-        statefulProcessor=Interleave(), outputStructType="file long, n long, ts timestamp, stream_index long, pos long", outputMode="Append", timeMode="EventTime"
+        statefulProcessor=Interleave(slot_ms), outputStructType="file long, n long, ts timestamp, stream_index long, pos long", outputMode="Append", timeMode="EventTime"
     )
 
 

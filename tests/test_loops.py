@@ -417,3 +417,30 @@ def test_packing_one_long_stream(spark):
         fill += s
     assert [r.a for r in found] == greedy and [r.group for r in found] == list(range(len(greedy)))
     assert packed.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@pytest.mark.parametrize(("a", "b"), [(0, 10**9), (5, 5), (7, 6), (-9, 23), (1, 62), (0, 0), (3, (1 << 40) + 11)])
+def test_dyadic_cells(spark, a, b):
+    cells = J.dyadic_cells(spark.createDataFrame([(a, b)], "a long, b long"), "a", "b", "level", "cell").collect()
+    assert len(cells) < 100 and all(len([c for c in cells if c.level == k]) <= 2 for k in range(64))
+    covered = sorted((c.cell << c.level, (c.cell + 1) << c.level) for c in cells)
+    assert all(x[1] == y[0] for x, y in zip(covered, covered[1:], strict=False))
+    assert (covered[0][0], covered[-1][1]) == (a, b + 1) if a <= b else not covered
+
+
+def test_range_joins_of_long_ranges(spark):
+    zones = [(k, a, a + R.choice([0, 1, 7, 10**6, 10**9]), R.randint(10, 40), None) for k in range(40) for a in [R.randint(0, 2000)]]
+    zdf = spark.createDataFrame(zones, "zone_id long, start_i long, end_i long, qp long, bitrate_factor double")
+    frames = spark.createDataFrame([(s, i) for s in range(3) for i in [*range(0, 2500, 3), 10**8]], "stream_id long, i long")
+    for r in J.apply_zones(frames, zdf).collect():
+        fit = [z for z in zones if z[1] <= r.i <= z[2]]
+        assert (r.zone_id, r.qp) == ((fit[0][0], fit[0][3]) if fit else (None, 26))
+    assert J.apply_zones(frames, zdf.limit(0)).where("zone_id is null and qp = 26").count() == frames.count()
+    rects = [(g, *sorted((R.randint(0, 40), R.randint(0, 40))), *sorted((R.randint(0, 30), R.randint(0, 30)))) for g in range(5)]
+    mbs = spark.createDataFrame([(x, y) for x in range(44) for y in range(33)], "x long, y long")
+    for r in J.slice_group_of(mbs, spark.createDataFrame(rects, "group_id long, left long, right long, top long, bottom long"), 6).collect():
+        assert r.slice_group == min((g for g, le, ri, t, b in rects if le <= r.x <= ri and t <= r.y <= b), default=5)
+    segments = [(f, a, a + R.choice([0, 3, 90]), R.randint(0, 2)) for f in range(4) for a in R.sample(range(60), 4)]
+    blocks = spark.createDataFrame([(f, m) for f in range(5) for m in range(64)], "frame_no long, mb long")
+    for r in J.mark_segments(blocks, spark.createDataFrame(segments, "frame_no long, start_mb long, end_mb long, bad long")).collect():
+        assert r.bad == max((s[3] for s in segments if s[0] == r.frame_no and s[1] <= r.mb <= s[2]), default=None)

@@ -68,7 +68,7 @@ def loop_units(data):
     return out
 
 
-@pytest.mark.parametrize("chunk", [7, 16, 4096])
+@pytest.mark.parametrize("chunk", [1, 2, 7, 16, 4096])
 def test_scan_start_codes(spark, tmp_path, chunk):
     for f in range(3):
         data = b"\0" * R.randrange(3)
@@ -84,6 +84,13 @@ def test_scan_start_codes(spark, tmp_path, chunk):
         assert got[name] == loop_units((tmp_path / name).read_bytes())
 
 
+def test_scan_shuffles_no_payload(spark):
+    chunks = spark.createDataFrame([("a", 0, 0, b"\0\0\1x")], "file string, chunk_no long, offset long, data binary")
+    plan = media.scan_start_codes(chunks)._jdf.queryExecution().executedPlan().toString()
+    exchanged = plan[: plan.index("MapInArrow")]
+    assert "Exchange" in exchanged and "data#" not in exchanged and "Exchange" not in plan[plan.index("MapInArrow") :]
+
+
 def test_rtp_dump(spark, tmp_path):
     packets = [bytes(R.randrange(256) for _ in range(R.randrange(12, 30))) for _ in range(5)]
     data = b"".join(struct.pack("<Ii", len(p), k * 40) + p for k, p in enumerate(packets))
@@ -95,6 +102,41 @@ def test_rtp_dump(spark, tmp_path):
     assert [r.torn for r in sorted((r for r in rows if r.file.endswith("torn.rtp")), key=lambda r: r.n)] == [False] * 4 + [True]
 
 
+def loop_dump(data):
+    at, out = 0, []
+    while at < len(data):
+        if at + 8 > len(data):
+            return [*out, (len(out), None, data[at:], True)]
+        size, time = struct.unpack_from("<Ii", data, at)
+        torn = size > 65508 or at + 8 + size > len(data)
+        out.append((len(out), time, data[at + 8 : at + 8 + min(size, 65516)], torn))
+        if torn:
+            break
+        at += 8 + size
+    return out
+
+
+@pytest.mark.parametrize("ranged", [1, 13, 100, 997, 1 << 20])
+def test_rtp_dump_in_ranges(spark, tmp_path, ranged):
+    """Files cut in ranges equal a loop from the start: packets longer than a range, zeros that look like records,
+    torn tails, a length that cannot be, an empty file."""
+    def dump(packets):
+        return b"".join(struct.pack("<Ii", len(p), k * 40) + p for k, p in enumerate(packets))
+
+    packets = [R.choice([bytes(R.randrange(60)), R.randbytes(R.randrange(90)), struct.pack("<Ii", 4, 1) * 5, b""]) for _ in range(40)]
+    data = dump(packets)
+    files = {"whole": data, "torn": data[:-3], "head": data + b"\1\0\0", "bad": data + struct.pack("<Ii", 1 << 31, 7) + data, "none": b"", "zeros": bytes(2000), "long": dump([R.randbytes(3000), b"x"])}
+    if ranged == 1:
+        files = {k: v[:400] for k, v in files.items()}
+    for name, content in files.items():
+        (tmp_path / f"{name}.rtp").write_bytes(content)
+    got = {}
+    for r in media.read_rtp_dump(spark, str(tmp_path), ranged, split_above=R.choice([0, 1 << 30])).collect():
+        got.setdefault(r.file.rsplit("/", 1)[1][:-4], []).append((r.n, r.time, bytes(r.packet), r.torn))
+    for name, content in files.items():
+        assert sorted(got.get(name, [])) == loop_dump(content), name
+
+
 SESSION = """v=0
 s=-
 a=group:BUNDLE 0 1
@@ -154,8 +196,34 @@ def test_sinks(spark, tmp_path):
     units = sinks.extract_units(nal, F.col("nal_type") < 6)
     assert bytes(sinks.stream_pieces(units).first().data) == b"\0\0\1\x65ab" + b"\0\0\0\1\x41cd"
     assert bytes(sinks.extract_units(nal, F.col("nal_type") == 7, single=True).first().data) == b"\0\0\0\1\x67e"
-    sinks.write_units(units, str(tmp_path / "u"))
-    assert spark.read.parquet(str(tmp_path / "u")).count() == 2
+
+
+@pytest.mark.parametrize(("part_bytes", "chunk"), [(1, 5), (40, 64), (1 << 20, 4096)])
+def test_byte_streams_are_written_in_parts(spark, tmp_path, part_bytes, chunk):
+    rows = [(f"a/{f} b", p * 100, R.choice([3, 4]), 0, R.randrange(4), R.choice([1, 5, 7]), b"\x80" + bytes(R.choice([3, 9, 200]) for _ in range(R.randrange(40)))) for f in range(3) for p in range(30)]
+    nal = spark.createDataFrame(rows, "file string, pos long, start_code_len int, forbidden int, ref_idc int, nal_type int, payload binary").repartition(5)
+    path = str(tmp_path / "streams")
+    for _ in range(2):  # what is written again replaces what was there
+        sinks.write_units(sinks.extract_units(nal, F.lit(True)), path, part_bytes=part_bytes)
+    for f in range(3):
+        want = b"".join((b"\0\0\1" if r[2] == 3 else b"\0\0\0\1") + bytes([r[4] << 5 | r[5]]) + r[6] for r in rows if r[0] == f"a/{f} b")
+        parts = sorted((tmp_path / "streams" / f"a%2F{f}%20b").iterdir())
+        assert b"".join(p.read_bytes() for p in parts if not p.name.startswith(".")) == want and (part_bytes > 1 or len(parts) == 30)
+    assert not list((tmp_path / "streams" / "_temporary").iterdir())
+    units = media.scan_start_codes(sinks.read_units(spark, path, chunk))
+    got = {}
+    for r in units.orderBy("file", "pos").collect():
+        got.setdefault(r.file, []).append((r.start_code_len, r.length, r.zeros, r.ref_idc, r.nal_type))
+    assert got == {f"a/{f} b": [(r[2], len(r[6]) + 1, 0, r[4], r[5]) for r in rows if r[0] == f"a/{f} b"] for f in range(3)}
+
+
+def test_a_failed_write_leaves_no_parts(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    units = spark.range(10).select(F.lit("s").alias("file"), F.col("id").alias("pos"), F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise(F.lit(b"x")).cast("binary").alias("data"))
+    with pytest.raises(PySparkException):
+        sinks.write_units(units, str(tmp_path / "w"))
+    assert not [p for p in tmp_path.rglob("part-*")]
 
 
 def test_zero_byte_warnings(spark):
