@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +112,24 @@ def dc_weight(cur: DataFrame, refs: DataFrame, by: str = "frame_no") -> DataFram
     return ref.join(own, by).select(by, "ref_no", w.alias("w")).withColumn("w", F.when(F.col("w").between(-64, 127), F.col("w")).otherwise(32))
 
 
+def letter_counts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, sym, n``: how often each of the letters a to z is in the lower-cased text; letters that are not there are
+    left out. One pass over the bytes of each text: no letter is part of another character in UTF-8."""
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.zeros((b.num_rows, 256), np.int64)
+            for k, value in enumerate(b.column("t")):
+                if value.is_valid:
+                    counts[k] = np.bincount(np.frombuffer(value.as_buffer(), np.uint8), minlength=256)
+            rows, letters = np.nonzero(counts[:, 97:123])
+            syms = pa.array([chr(97 + x) for x in range(26)]).take(pa.array(letters))
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows)), syms, pa.array(counts[rows, letters + 97])], names=[key, "sym", "n"])
+
+    return texts.select(key, F.lower(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, sym string, n long")
+
+
 def symbol_histogram(symbols: DataFrame, key: str) -> DataFrame:
     """Counts and shares of symbols (key, sym, n) per key."""
     counts = symbols.groupBy(key, "sym").agg(F.sum("n").alias("n"))
@@ -206,6 +226,16 @@ def corruption_summary(blocks: DataFrame, segments: DataFrame, by: str = "frame_
     return blocks.groupBy(by).agg(*map(state, (0, 1, 2, 3))).join(bad, by, "left").fillna(0, ["bad_segments"])
 
 
+def _solved(m: DataFrame, by: list[str]) -> DataFrame:
+    """x1, x2 from the sums a00, a01, a11, b0, b1 of each group, and whether all its q are the same."""
+    det = F.col("a00") * F.col("a11") - F.col("a01") * F.col("a01")
+    second = ~F.col("same") & (F.abs(det) > 1e-6)
+    return m.select(
+        *by, F.round(F.when(second, (F.col("b0") * F.col("a11") - F.col("b1") * F.col("a01")) / det).otherwise(F.col("b0") / F.col("a00")), 4).alias("x1"),
+        F.round(F.when(second, (F.col("b1") * F.col("a00") - F.col("b0") * F.col("a01")) / det).otherwise(F.lit(0.0)), 4).alias("x2"),
+    )
+
+
 def fit_rate_model(points: DataFrame, by: list[str]) -> DataFrame:
     """x1, x2 of rate = x1 / q + x2 / q^2 by least squares over (q, r); first order where all q are
     equal or the determinant vanishes."""
@@ -214,12 +244,28 @@ def fit_rate_model(points: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").cast("double").alias("a00"), F.sum(1 / q).alias("a01"), F.sum(1 / (q * q)).alias("a11"),
         F.sum(q * r).alias("b0"), F.sum(r).alias("b1"), (F.min("q") == F.max("q")).alias("same"),
     )
-    det = F.col("a00") * F.col("a11") - F.col("a01") * F.col("a01")
-    second = ~F.col("same") & (F.abs(det) > 1e-6)
-    return m.select(
-        *by, F.round(F.when(second, (F.col("b0") * F.col("a11") - F.col("b1") * F.col("a01")) / det).otherwise(F.col("b0") / F.col("a00")), 4).alias("x1"),
-        F.round(F.when(second, (F.col("b1") * F.col("a00") - F.col("b0") * F.col("a01")) / det).otherwise(F.lit(0.0)), 4).alias("x2"),
-    )
+    return _solved(m, by)
+
+
+def aggregate_with(points: DataFrame, by: list[str], partial: Callable, values: list[str], made: list[str], combine: dict[str, Callable]) -> DataFrame:
+    """Groups by a user's own aggregate over Arrow arrays. ``partial`` takes the columns ``values`` (double) of the rows
+    of a group that lie in one input partition, and gives a list of numbers, named ``made``; these are combined by Spark
+    with the functions of ``combine`` (sum if none is named). So no task holds more of a group than a partition has."""
+    own = F.arrow_udf(partial, "array<double>", F.ArrowUDFType.GROUPED_AGG)
+    parts = points.select(*by, *[F.col(v).cast("double").alias(v) for v in values]).withColumn("__part", F.spark_partition_id())
+    sums = parts.groupBy(*by, "__part").agg(own(*values).alias("__m"))
+    return sums.groupBy(*by).agg(*[combine.get(n, F.sum)(F.col("__m")[k]).alias(n) for k, n in enumerate(made)])
+
+
+def fit_rate_model_with(points: DataFrame, by: list[str]) -> DataFrame:
+    """``fit_rate_model`` by an aggregate of one's own, in numpy."""
+
+    def moments(q: pa.Array, r: pa.Array) -> list[float]:
+        x, y = q.to_numpy(zero_copy_only=False), r.to_numpy(zero_copy_only=False)
+        return [float(len(x)), float((1 / x).sum()), float((1 / (x * x)).sum()), float((x * y).sum()), float(y.sum()), float(x.min()), float(x.max())]
+
+    m = aggregate_with(points, by, moments, ["q", "r"], ["a00", "a01", "a11", "b0", "b1", "low", "high"], {"low": F.min, "high": F.max})
+    return _solved(m.withColumn("same", F.col("low") == F.col("high")), by)
 
 
 def fit_linear_predictor(points: DataFrame, by: list[str]) -> DataFrame:

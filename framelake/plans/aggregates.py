@@ -35,6 +35,15 @@ def _gops(t):
 FLAGS = ["bframes", "sp", "partition_mode", "weighted", "cabac", "slice_groups"]
 _ERRORS_SQL = "from {m_pixels} a join {m_pixels} b on a.frame_no = b.frame_no + 1 and a.x = b.x and a.y = b.y"
 
+def _points(t):
+    return t("m_candidates").select("mb", (F.col("rate") % 13 + 1).alias("q"), F.col("dist").alias("r"))
+
+
+_FIT_SQL = """with m as (select mb, cast(count(*) as double) as a00, sum(1.0 / q) as a01, sum(1.0 / (q * q)) as a11, cast(sum(q * r) as double) as b0, cast(sum(r) as double) as b1, min(q) = max(q) as same
+  from (select mb, cast(rate % 13 + 1 as double) as q, cast(dist as double) as r from {m_candidates}) group by mb)
+select mb, round(case when not same and abs(a00 * a11 - a01 * a01) > 1e-6 then (b0 * a11 - b1 * a01) / (a00 * a11 - a01 * a01) else b0 / a00 end, 4) as x1,
+round(case when not same and abs(a00 * a11 - a01 * a01) > 1e-6 then (b1 * a00 - b0 * a01) / (a00 * a11 - a01 * a01) else 0.0 end, 4) as x2 from m"""
+
 ENTRIES = {
     "ag01_stream_summary": Entry(
         lambda t: A.stream_summary(t("m_packets"), (1, 90000)),
@@ -143,13 +152,8 @@ count(*) - count(distinct s) as repeated from s group by ssrc""",
 count(*) filter (state = 2) as state_2, count(*) filter (state = 3) as state_3 from {m_blocks} group by frame_no) b
 left join (select frame_no, count(distinct start_mb) as n from {m_segments} where bad <> 0 group by frame_no) s on b.frame_no = s.frame_no""",
     ),
-    "ag15_fit_rate_model": Entry(
-        lambda t: A.fit_rate_model(t("m_candidates").select("mb", (F.col("rate") % 13 + 1).alias("q"), F.col("dist").alias("r")), ["mb"]),
-        """with m as (select mb, cast(count(*) as double) as a00, sum(1.0 / q) as a01, sum(1.0 / (q * q)) as a11, cast(sum(q * r) as double) as b0, cast(sum(r) as double) as b1, min(q) = max(q) as same
-  from (select mb, cast(rate % 13 + 1 as double) as q, cast(dist as double) as r from {m_candidates}) group by mb)
-select mb, round(case when not same and abs(a00 * a11 - a01 * a01) > 1e-6 then (b0 * a11 - b1 * a01) / (a00 * a11 - a01 * a01) else b0 / a00 end, 4) as x1,
-round(case when not same and abs(a00 * a11 - a01 * a01) > 1e-6 then (b1 * a00 - b0 * a01) / (a00 * a11 - a01 * a01) else 0.0 end, 4) as x2 from m""",
-    ),
+    "ag15_fit_rate_model": Entry(lambda t: A.fit_rate_model(_points(t), ["mb"]), _FIT_SQL),
+    "ud04_fit_rate_model": Entry(lambda t: A.fit_rate_model_with(_points(t), ["mb"]), _FIT_SQL),
     "ag16_fit_linear_predictor": Entry(
         lambda t: A.fit_linear_predictor(t("m_candidates").select("mb", F.col("rate").alias("x"), (F.col("dist") % 1000).alias("y")), ["mb"]),
         """with m as (select mb, cast(count(*) as double) as n, sum(x) as sx, sum(x * x) as sxx, sum(y) as sy, sum(x * y) as sxy, avg(y / nullif(x, 0)) as ratio, min(y) = max(y) as same

@@ -6,8 +6,12 @@ one text for both engines, or two where arrays or generators differ.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.aggregates import letter_counts
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
 #: name: (Spark SQL, DuckDB SQL or None for the same); {x} names a table or an earlier binding
@@ -81,15 +85,6 @@ from {orders}""",
 from {lineitem}""",
         None,
     ),
-    "m_symbols": (
-        """select doc_id, sym, n from (
-  select doc_id, inline(transform(split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '),
-    c -> named_struct('sym', c, 'n', cast(length(t) - length(replace(t, c, '')) as bigint))))
-  from (select doc_id, lower(text) as t from {documents}) l) s where n > 0""",
-        """select doc_id, sym, count(*) as n
-from (select doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '')) as sym from {documents}) t
-where sym <> '' group by doc_id, sym""",
-    ),
     "m_pixels": (
         f"""select vec_id as frame_no, label, cast(mod(p, 8) as bigint) as x, cast(p div 8 as bigint) as y, {_PIXEL} as v
 from (select vec_id, label, posexplode(embedding) as (p, e) from {{embeddings}}) t""",
@@ -140,14 +135,27 @@ group by frame_no, y div 2""",
 )
 
 
+#: Media tables that a function makes of the tables, beside SQL for DuckDB.
+BUILT: dict[str, tuple[Callable[[Callable[[str], DataFrame]], DataFrame], str]] = {
+    "m_symbols": (
+        lambda t: letter_counts(t("documents")),
+        """select doc_id, sym, count(*) as n
+from (select doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '')) as sym from {documents}) t
+where sym <> '' group by doc_id, sym""",
+    ),
+}
+
+
 def _needs(sql: str) -> list[str]:
-    return [n for n in (*TABLES, *BINDINGS) if "{" + n + "}" in sql]
+    return [n for n in (*TABLES, *BINDINGS, *BUILT) if "{" + n + "}" in sql]
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table or one of the media tables made from it."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in BUILT:
+        return BUILT[name][0](lambda n: bind(spark, sf_dir, n))
     sql = BINDINGS[name][0]
     return spark.sql(sql, **{n: bind(spark, sf_dir, n) for n in _needs(sql)})
 
@@ -158,10 +166,9 @@ def duck(sql: str) -> str:
 
     def need(text: str) -> str:
         for n in _needs(text):
-            if n in BINDINGS and n not in made:
-                spark_sql, own = BINDINGS[n]
-                made[n] = need(own or spark_sql)
-        for n in (*TABLES, *BINDINGS):
+            if n not in TABLES and n not in made:
+                made[n] = need(BUILT[n][1] if n in BUILT else BINDINGS[n][1] or BINDINGS[n][0])
+        for n in (*TABLES, *BINDINGS, *BUILT):
             text = text.replace("{" + n + "}", n)
         return text
 

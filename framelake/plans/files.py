@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.joins import session_codecs
+from ..operators.joins import session_codecs, ssrc_groups
 from ..sources import media, sinks
 from .registry import Entry
+from .windows import _nal
 
 
 def new_folder(t) -> str:
@@ -51,7 +52,122 @@ def _trace(t):
     return s.select("file", F.posexplode(lines).alias("k", "line"), "i").select("file", (F.col("i") * 4 + F.col("k")).alias("line_no"), "line")
 
 
+def _sources(t):
+    """Sections with two grouped sources each: the second repeats the first, and both say who they are."""
+    s = t("m_streams").select(F.col("file").cast("string").alias("session"), (F.col("stream_index") * 6).alias("at"), (F.col("stream_index") * 2 + 1000).alias("src"))
+    lines = F.array(
+        F.lit("m=video 9 RTP/AVP 96"), F.format_string("a=ssrc-group:FID %d %d", "src", F.col("src") + 1), F.format_string("a=ssrc:%d cname:c%d", "src", "src"),
+        F.format_string("a=ssrc:%d cname:c%d", F.col("src") + 1, "src"), F.format_string("a=ssrc:%d msid:m", F.col("src") + 1),
+    )
+    return s.select("session", "at", F.posexplode(lines).alias("k", "line")).select("session", (F.col("at") + F.col("k")).alias("line_no"), "line")
+
+
+def _little_endian(value, digits):
+    """Bytes of a whole number, as a hex string of ``digits``, from the lowest on."""
+    whole = F.lpad(F.hex(value.bitwiseAND(F.lit((1 << 4 * digits) - 1))), digits, "0")
+    return F.concat(*[F.substring(whole, digits - 1 - 2 * k, 2) for k in range(digits // 2)])
+
+
+def _packed(t, pieces, read):
+    """``pieces`` (file, pos, data) written as byte streams, whose parts are files of whole records, and read by ``read``."""
+    path = new_folder(t)
+    sinks.write_units(pieces, path)
+    return read(pieces.sparkSession, f"{path}/*/part-*")
+
+
+def _frames(t):
+    """Luma of 8 x 8 pixels, the frame's number in the 16 bytes of one chroma plane, nothing in the other."""
+    luma = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda e: F.lpad(F.hex(e["v"].cast("long")), 2, "0")))
+    rows = t("m_pixels").groupBy(F.col("label").cast("string").alias("file"), F.col("frame_no").alias("pos")).agg(luma.alias("h"))
+    return rows.select("file", "pos", F.unhex(F.concat("h", F.lpad(F.hex("pos"), 32, "0"), F.lit("00" * 16))).alias("data"))
+
+
+def _sums(t):
+    frames = _packed(t, _frames(t), lambda spark, path: media.read_planar_frames(spark, path, 8, 8))
+    named = frames.select("file", "frame_no", F.conv(F.hex("u"), 16, 10).cast("long").alias("number"), "complete")
+    lines = media.frame_pixels(frames).groupBy("file", "frame_no").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("by_x"), F.sum(F.col("v") * F.col("y")).alias("by_y"))
+    return named.join(lines, ["file", "frame_no"]).select("number", "complete", "total", "by_x", "by_y")
+
+
+def _samples(t):
+    """Four channels of 16 bits: number, index, and the two samples."""
+    level = lambda ch: F.sum(F.when(F.col("ch") == ch, F.floor(F.col("s") * 1000)))
+    rows = t("m_samples").groupBy("file", "idx").agg(level(0).alias("a"), level(1).alias("b"))
+    values = F.concat(*[_little_endian(F.col(c), 4) for c in ("file", "idx", "a", "b")])
+    return rows.select((F.col("file") % 7).cast("string").alias("file"), (F.col("file") * 100 + F.col("idx")).alias("pos"), F.unhex(values).alias("data"))
+
+
+def _dump(t):
+    """Packets of a text of their own, of very different length."""
+    text = F.concat_ws("/", F.repeat(F.lit("x"), (F.col("seq") % 97).cast("int")), F.col("ssrc").cast("string"), F.col("arrival").cast("string"))
+    rows = t("m_rtp").select((F.col("ssrc") % 5).cast("string").alias("file"), (F.col("arrival") * 1000 + F.col("ssrc")).alias("pos"), F.col("tr"), F.encode(text, "UTF-8").alias("p"))
+    head = F.concat(_little_endian(F.octet_length("p").cast("long"), 8), _little_endian(F.col("tr"), 8))
+    return rows.select("file", "pos", F.concat(F.unhex(head), "p").alias("data"))
+
+
+def _catalog(t):
+    """Bytes by kind of what two writers have written: lines of text, and byte streams whose names have no ending."""
+    path = new_folder(t)
+    t("m_frame_log").select(F.col("event_id").cast("string").alias("value")).write.text(f"{path}/lines")
+    sinks.write_units(t("m_rtp").select((F.col("ssrc") % 3).cast("string").alias("file"), F.col("arrival").alias("pos"), F.encode(F.col("seq").cast("string"), "UTF-8").alias("data")), f"{path}/streams")
+    files = media.media_catalog(t("events").sparkSession, path).where(~F.col("path").contains("_SUCCESS"))
+    return files.groupBy("kind").agg(F.sum("length").alias("bytes"), (F.min("modified").isNotNull()).alias("dated"))
+
+
+def _rewritten(t):
+    """Units written as byte streams in parts, read in chunks and scanned again."""
+    nal = _nal(t).select(
+        F.col("file").cast("string").alias("file"), "pos", "nal_type", (F.col("pos") % 2 + 3).alias("start_code_len"), F.lit(0).alias("forbidden"), (F.col("pos") % 4).alias("ref_idc"), F.encode(F.col("pos").cast("string"), "UTF-8").alias("payload")
+    )
+    path = new_folder(t)
+    sinks.write_units(sinks.extract_units(nal, F.lit(True)), path)
+    units = media.scan_start_codes(sinks.read_units(t("events").sparkSession, path, 100))
+    return units.select(F.col("file").cast("long").alias("file"), "pos", *[F.col(c).cast("long").alias(c) for c in ("start_code_len", "length", "zeros", "ref_idc", "nal_type")])
+
+
 ENTRIES = {
+    "src01_media_catalog": Entry(
+        _catalog,
+        """select 'text' as kind, cast(sum(length(cast(event_id as varchar)) + 1) as bigint) as bytes, true as dated from {events} having count(*) > 0
+union all select '<UNKNOWN>', cast(sum(length(cast(seq as varchar))) as bigint), true from {m_rtp} having count(*) > 0""",
+    ),
+    "src02_planar_frames": Entry(
+        _sums,
+        "select frame_no as number, true as complete, cast(sum(v) as bigint) as total, cast(sum(v * x) as bigint) as by_x, cast(sum(v * y) as bigint) as by_y from {m_pixels} group by frame_no",
+    ),
+    "src03_pcm": Entry(
+        lambda t: _packed(t, _samples(t), lambda spark, path: media.read_pcm(spark, path, 4, "s16le")).select(*[F.col("ch")[k].cast("long").alias(c) for k, c in enumerate(("number", "at", "a", "b"))], "complete"),
+        """select ((file + 32768) % 65536) - 32768 as number, idx as at, cast(sum(case when ch = 0 then floor(s * 1000) end) as bigint) as a, cast(sum(case when ch = 1 then floor(s * 1000) end) as bigint) as b, true as complete
+from {m_samples} group by file, idx""",
+    ),
+    "src05_rtp_dump": Entry(
+        lambda t: _packed(t, _dump(t), lambda spark, path: media.read_rtp_dump(spark, path, 4096)).select(F.col("time").cast("long").alias("time"), F.decode("packet", "UTF-8").alias("said"), "torn"),
+        "select tr as time, repeat('x', seq % 97) || '/' || ssrc || '/' || arrival as said, false as torn from {m_rtp}",
+    ),
+    "src07_zones": Entry(
+        lambda t: _read_again(
+            t, t("m_zones").select(F.format_string("%d,%d,%s", "start_i", "end_i", F.coalesce(F.concat(F.lit("q="), F.col("qp").cast("string")), F.concat(F.lit("b="), F.col("bitrate_factor").cast("string")))).alias("value")),
+            lambda df, path: df.write.text(path), media.read_zones,
+        ).drop("zone_id"),
+        "select start_i, end_i, qp, case when qp is null then bitrate_factor end as bitrate_factor from {m_zones}",
+    ),
+    "src07_timecodes": Entry(
+        lambda t: _read_again(
+            t, t("m_frame_log").select(F.col("stream_id").alias("stream"), (F.col("i") * 40 + F.col("stream_id") / 8).alias("ms")),
+            lambda df, path: df.repartition(1, "stream").sortWithinPartitions("stream", "ms").select("stream", F.format_string("%.3f", "ms").alias("value")).write.partitionBy("stream").text(path), lambda spark, path: media.read_timecodes(spark, f"{path}/*/*.txt"),
+        ).select(F.regexp_extract("file", "stream=([0-9]+)", 1).cast("long").alias("stream"), "frame_no", "ms"),
+        "select stream_id as stream, i as frame_no, i * 40 + stream_id / 8 as ms from {m_frame_log}",
+    ),
+    "jn15_ssrc_groups": Entry(
+        lambda t: ssrc_groups(media.session_lines(_sources(t))).select("session", "section", "semantics", F.col("n").cast("long").alias("n"), "ssrc", F.array_join("attributes", ",").alias("attributes")),
+        """with s as (select cast(file as varchar) as session, row_number() over (partition by file order by stream_index) as section, stream_index * 2 + 1000 as src from {m_streams})
+select session, section, 'FID' as semantics, n, cast(src + n as varchar) as ssrc, 'cname:c' || src || case when n = 1 then ',msid:m' else '' end as attributes from s, (select unnest(range(2)) as n)""",
+    ),
+    "snk04_write_units": Entry(
+        _rewritten,
+        """with u as (select stream_id as file, i, [1, 5, 6, 7, 8, 9, 1, 1, 14, 1][bits % 10 + 1] as nal_type, i % 2 + 3 as scl, 1 + length(cast(i as varchar)) as length from {m_frame_log})
+select file, cast(sum(scl + length) over (partition by file order by i rows unbounded preceding) - length as bigint) as pos, scl as start_code_len, length, 0 as zeros, i % 4 as ref_idc, cast(nal_type as bigint) as nal_type from u""",
+    ),
     "src06_session_lines": Entry(
         lambda t: media.session_lines(_session(t)),
         f"""with {_SESSION},

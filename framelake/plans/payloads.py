@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import windows as W
 from ..operators.projections import parted_rtp, zero_byte_warnings
 from ..sources import media, sinks
+from ..streaming.windows import start_codes
 from .registry import Entry
 from .windows import _AU_SQL, _nal
 
@@ -23,13 +24,13 @@ def _sparse(t):
     return _digest(t).select("doc_id", F.unhex(hexes).alias("p"))
 
 
-def _byte_streams(t):
+def _byte_streams(t, chunk=64):
     """A file per document whose spaces are zeros and whose e are ones, in chunks of 64 bytes."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[^ -~]", ""), "[ ,]", "\u0000"), "e", "\u0001")
     rows = t("documents").select(F.col("doc_id").cast("string").alias("file"), text.alias("s"))
-    n = F.greatest(F.ceil(F.length("s") / 64).cast("int"), F.lit(1))
+    n = F.greatest(F.ceil(F.length("s") / chunk).cast("int"), F.lit(1))
     return rows.select("file", "s", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).select(
-        "file", F.col("k").cast("long").alias("chunk_no"), (F.col("k") * 64).cast("long").alias("offset"), F.encode(F.substring("s", F.col("k") * 64 + 1, F.lit(64)), "ISO-8859-1").alias("data")
+        "file", F.col("k").cast("long").alias("chunk_no"), (F.col("k") * chunk).cast("long").alias("offset"), F.encode(F.substring("s", F.col("k") * chunk + 1, F.lit(chunk)), "ISO-8859-1").alias("data")
     )
 
 
@@ -44,7 +45,16 @@ z as (select *, length(substr(s, pos + 1, stop - pos)) - length(rtrim(substr(s,
   case substr(s, pos + 1, 1) when 'Z' then 0 when 'O' then 1 when '' then null else ascii(substr(raw, pos + 1, 1)) end as b0 from e)
 select file, pos, start_code_len, stop - pos - zeros as length, zeros, b0 >> 7 & 1 as forbidden, b0 >> 5 & 3 as ref_idc, b0 & 31 as nal_type from z"""
 
+def _called(t):
+    """Start codes of whole byte streams by a table function, joined laterally."""
+    spark = t("documents").sparkSession
+    codes = start_codes(spark)
+    streams = _byte_streams(t, chunk=1 << 30).select("file", "data")
+    return streams.lateralJoin(codes(F.col("data").outer())).select("file", F.col("pos").cast("long").alias("pos"), F.col("start_code_len").cast("long").alias("start_code_len"))
+
+
 ENTRIES = {
+    "ud03_start_codes": Entry(_called, SCAN_SQL[: SCAN_SQL.index(",\ne as (")] + "\nselect file, pos, start_code_len from u"),
     "prj04_rtp_header_fields": Entry(
         lambda t: _digest(t).withColumn("d", F.unhex("h")).withColumn("f", C.rtp_header_fields(F.col("d"), "low_first")).select(
             "doc_id", *[F.col(f"f.{c}").cast("long").alias(c) for c in ("version", "padding", "extension", "csrc_count", "marker", "payload_type", "seq", "timestamp", "ssrc")],

@@ -106,7 +106,7 @@ def test_av_join(spark, tmp_path, few):
 
 
 def test_start_code_table_function(spark):
-    windows.start_codes_udtf(spark)
+    windows.start_codes(spark)
     df = spark.createDataFrame([(1, b"\0\0\1a\0\0\0\1b"), (2, b"none"), (3, None)], "k long, data binary")
     df.createOrReplaceTempView("pieces")
     got = spark.sql("select k, c.pos, c.start_code_len from pieces, lateral start_codes(data) c").collect()
