@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +142,22 @@ def score(field: Field, texts: list[bytes]) -> np.ndarray:
     return np.clip(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Field:
-    """Fit on at most ``per_label`` documents of each label, from the training fold only."""
+#: Most lines that the field is fitted on.
+SAMPLE_LINES = 300_000
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, max_lines: int = SAMPLE_LINES) -> Field:
+    """Fit on at most ``per_label`` documents of each label, ``common.SAMPLE_BYTES`` of text and ``max_lines`` lines (a
+    document that does not fit any more is passed over), from the training fold only."""
     known = labels.where(in_training_fold(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     ids = sample_ids(known.where("quality = 0"), "doc_id", per_label, 6).union(sample_ids(known.where("quality = 1"), "doc_id", per_label, 6))
     label = dict(known.groupBy("doc_id").agg(F.max("quality")).join(F.broadcast(ids), "doc_id").distinct().collect())
-    found = [(t.encode(), int(label[i])) for i, t in sampled_texts(id_text(docs), ids) if i in label]
+    found, lines = [], 0
+    for i, text in sorted(sampled_texts(id_text(docs), ids), key=lambda r: crc32(str(r[0]).encode()[::-1])):
+        n = text.count("\n") + 1
+        if i in label and lines + n <= max_lines:
+            found.append((text.encode(), int(label[i])))
+            lines += n
     return fit([t for t, _ in found], [y for _, y in found])
 
 

@@ -201,18 +201,26 @@ def _suspects(docs: DataFrame, known: _Filter, text_col: str) -> DataFrame:
     return named.mapInArrow(tidied(run), f"row {named.schema['row'].dataType.simpleString()}, text string, hits {_HITS}").withColumn("key", F.md5(F.encode("text", "UTF-8")))
 
 
+#: Diagonals of a text that one row carries, about, and bytes of words that a task holds beside items.
+DIAGONALS, PART_BYTES = 1000, 4 << 20
+CUT = {"key": pa.string(), "item": pa.string(), "shift": pa.int32(), "part": pa.binary()}
+FOUND = {"key": pa.string(), "item": pa.string(), "doc_start": pa.int32(), "item_start": pa.int32(), "n_aligned": pa.int32(), "n_equal": pa.int32()}
+
+
 def _matches(suspects: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
     """``key, item, doc_start, item_start, n_aligned, n_equal`` of the distinct suspect texts."""
     texts = suspects.dropDuplicates(["key"])
     met = texts.select("key", F.inline("hits")).join(seeds.withColumnRenamed("at", "__i"), "seed")
     diagonals = met.groupBy("key", "item", (F.col("at") - F.col("__i")).alias("shift")).agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
     wanted = diagonals.join(items.select("item", (F.octet_length("words") / 8).cast("int").alias("size")), "item")
-    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("item", "shift", "size")).alias("wanted"))  # one text's own diagonals
+    counted = wanted.groupBy("key").agg(F.count("*").alias("all"))
+    dealt = wanted.join(counted, "key").withColumn("part", F.pmod(F.xxhash64("item", "shift"), F.ceil(F.col("all") / DIAGONALS)))
+    per_text = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("item", "shift", "size")).alias("wanted")).drop("part")  # about DIAGONALS of one text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of a text that each diagonal puts beside its item."""
+        """The words of a text that each diagonal puts beside its item, in batches of bounded size."""
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for key, text, wanted in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 words = word_hashes(words_of(text))
                 for w in wanted:
@@ -220,15 +228,21 @@ def _matches(suspects: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFra
                     lo, hi = max(0, w["shift"]), min(len(words), w["shift"] + w["size"])
                     part[lo - w["shift"] : hi - w["shift"]] = words[lo:hi]
                     rows.append((key, w["item"], w["shift"], part.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.binary()))], names=["key", "item", "shift", "part"])
+                    held += 8 * w["size"]
+                    if held > PART_BYTES:
+                        yield made(rows, CUT)
+                        rows, held = [], 0
+            yield made(rows, CUT)
+
+    def made(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for key, item, shift, part, words in zip(*(b.column(c).to_pylist() for c in ("key", "item", "shift", "part", "words")), strict=True):
                 rows += [(key, item, a + shift, a, e - a, n) for a, e, n in stretches(np.frombuffer(words, np.uint64), np.frombuffer(part, np.uint64))]
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "item", "doc_start", "item_start", "n_aligned", "n_equal"])
+            yield made(rows, FOUND)
 
     parts = checkpointed(texts.select("key", "text").join(per_text, "key").mapInArrow(tidied(cut), "key string, item string, shift int, part binary"))  # one Python worker a task
     beside = parts.join(items, "item").select("key", "item", "shift", "part", "words")

@@ -105,6 +105,16 @@ def test_overlaps_empty_and_clashing_columns(spark):
     assert sorted(kept.collect()) == sorted(odd.where("doc_id > 1").collect()) and kept.columns == odd.columns
 
 
+def test_many_diagonals_of_one_text(spark, monkeypatch):
+    """A text and an item that repeat themselves: lists and batches are cut, the overlaps stay the same."""
+    rows = [(1, " ".join(["a b"] * 60)), (2, " ".join(sentence(50).split())), (3, " ".join(["x", *["a b"] * 20]))]
+    bench = spark.createDataFrame([(1, " ".join(["a b"] * 15)), (2, "b")], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.overlaps(docs_of(spark, rows), bench).collect()))
+    monkeypatch.setattr(decontaminate, "DIAGONALS", 3)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 100)
+    assert whole and sorted(map(tuple, decontaminate.overlaps(docs_of(spark, rows), bench).collect())) == whole
+
+
 # ------------------------------------------------------------------ 2 media
 
 
@@ -487,21 +497,61 @@ def test_wide_fingerprint_counts_bits():
 
 
 def test_pairs_at_the_similarity_meet():
-    """Recall of the bands for pairs of sets at 0.8, 0.85 and 0.9, and of the sketch before them."""
+    """Recall of the bands and the bound on bits, and of the sketch before them, for pairs of sets at a similarity by
+    size. (9, 8): 9 shingles and 8 of them, the shortest that bands have to find."""
     from framelake.llm import simhash_texts as near_texts
 
     rng = np.random.default_rng(8)
-    for similarity, least in ((0.8, 0.95), (0.85, 0.99), (0.9, 0.995)):
+    for n, common, m, least in ((200, 178, 200, 0.95), (200, 184, 200, 0.99), (200, 190, 200, 0.995), (10, 9, 10, 0.95), (9, 8, 9, 0.9), (10, 8, 8, 0.9), (9, 8, 8, 0.95), (20, 18, 20, 0.95), (40, 36, 41, 0.95)):
         met = kept = 0
         for _ in range(400):
-            n = 200
-            common = round(2 * n * similarity / (1 + similarity))
-            a = rng.integers(0, 1 << 63, 2 * n - common, np.uint64)
+            a = rng.integers(0, 1 << 63, n + m - common, np.uint64)
             one, two = np.unique(a[:n]), np.unique(np.concatenate([a[:common], a[n:]]))
-            kept += len(set(one[:16].tolist()) & set(two.tolist())) >= 6
-            x, y = (near_texts.bands_of(near_texts.wide_fingerprint(s)) for s in (one, two))
-            met += any((p ^ q).bit_count() <= 2 for p, q in zip(x.tolist(), y.tolist()))
-        assert met >= least * 400 and kept >= 399, (similarity, met, kept)
+            least_hits = near_texts.SHARED * min(near_texts.SKETCH, len(one))
+            kept += len(set(one[: near_texts.SKETCH].tolist()) & set(two[: near_texts.SKETCH].tolist())) >= least_hits
+            prints = [near_texts.wide_fingerprint(s) for s in (one, two)]
+            x, y = map(near_texts.bands_of, prints)
+            apart = sum((int(p) ^ int(q)).bit_count() for p, q in zip(*prints, strict=True))
+            met += apart <= near_texts.MOST_BITS and any((p ^ q).bit_count() <= 2 for p, q in zip(x.tolist(), y.tolist(), strict=True))
+        assert met >= least * 400 and kept >= 398, (n, common, m, met, kept)
+
+
+def test_pairs_of_short_texts_are_found_exactly(spark):
+    """Every similar pair of sets of up to eight shingles, against all pairs; one short text is near to many."""
+    from framelake.llm import simhash_texts as near_texts
+
+    rnd = random.Random(4)
+    sets = []
+    for _ in range(60):
+        base = [rnd.randrange(1 << 60) for _ in range(rnd.randint(1, 8))]
+        sets += [base, base[:-1], base[1:], base + [rnd.randrange(1 << 60)], list(base)]
+    hub = [rnd.randrange(1 << 60) for _ in range(6)]
+    sets += [hub, *([*hub, rnd.randrange(1 << 60)] for _ in range(100))]
+    sets = [sorted(set(s))[:8] for s in sets]
+    texts = spark.createDataFrame([(k, np.array(s, np.uint64).tobytes()) for k, s in enumerate(sets)], "key long, shingles binary")
+    up = list(range(len(sets)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    links = near_texts.few_links(texts).collect()
+    assert all(len(set(sets[r.u]) & set(sets[r.v])) >= 0.8 * len(set(sets[r.u]) | set(sets[r.v])) for r in links)
+    got = list(range(len(sets)))
+
+    def found(k):
+        while got[k] != k:
+            k = got[k]
+        return k
+
+    for r in links:
+        got[max(found(r.u), found(r.v))] = min(found(r.u), found(r.v))
+    assert [found(k) for k in range(len(sets))] == [root(k) for k in range(len(sets))]
 
 
 def test_families_are_verified_in_blocks(spark, monkeypatch):
@@ -526,6 +576,14 @@ def test_families_are_verified_in_blocks(spark, monkeypatch):
 # ------------------------------------------------------------------ 6 quality
 
 
+def test_quality_sample_is_bounded_in_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(crf_quality, "fit", lambda texts, labels: seen.append(sum(t.count(b"\n") + 1 for t in texts)) or None)
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(60)], "doc_id long, quality int, toxic int")
+    crf_quality.train(docs_of(spark, [(d, "a\n" * (500 if d == 7 else 9)) for d in range(60)]), labels, max_lines=200)
+    assert 150 < seen[0] <= 200
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
