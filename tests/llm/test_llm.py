@@ -785,15 +785,22 @@ def test_viterbi_against_enumeration():
         assert tuple(tags) == max(product(range(3), repeat=4), key=value)
 
 
-def test_added_spans_on_held_out_values(net):
-    """Values of known and variant formats among words of random letters, none of them seen in training."""
+#: What stands around ``@`` and full stops, and between groups, in no value that the network learns from.
+HELD_OUT = ((("{", "}"), ("<", ">"), (" {", "} "), ("[ ", " ]"), ("|", "|")), ("*", "~", " . ", " / ", "=", " _ "))
+
+
+@pytest.mark.parametrize(("formats", "recall"), [((pii.AROUND, pii.BETWEEN), 0.9), (HELD_OUT, 0.8)])
+def test_added_spans_on_held_out_values(net, formats, recall):
+    """Values among words of random letters, none of them seen in training: of the formats that it has learnt,
+    and of formats that were held out from the generator."""
+    assert formats[0] == pii.AROUND or not {*formats[0], *formats[1]} & {*pii.AROUND, *pii.BETWEEN}
     rng = np.random.default_rng(77)
     right = wrong = missed = 0
     for _ in range(150):
         spans, text = [], ""
         while len(text) < 600:
             if rng.random() < 0.1:
-                value, kind = pii._made_up(rng)
+                value, kind = pii._made_up(rng, *formats)
                 if kind >= 0:
                     spans.append((kind, len(text), len(text) + len(value)))
                 text += value + (" ", ". ", ", ", "\n")[rng.integers(0, 4)]
@@ -805,13 +812,14 @@ def test_added_spans_on_held_out_values(net):
         right, wrong, missed = right + len(want & added), wrong + len(added - want), missed + len(want - added)
         for _, a, b in added:
             assert not (text[a - 1 : a].isdigit() and text[a].isdigit()) and not (text[b : b + 1].isdigit() and text[b - 1].isdigit())
-    assert right > 200 and right >= 0.9 * (right + wrong) and right >= 0.9 * (right + missed), (right, wrong, missed)
+    assert right > 200 and right >= 0.95 * (right + wrong) and right >= recall * (right + missed), (right, wrong, missed)
 
 
 def test_reconcile_and_tidy():
     assert pii.reconcile([(0, 5, 20)], [(0, 10, 20), (3, 30, 40)]) == [(0, 5, 20), (3, 30, 40)]  # a cut span gives way to a whole one
     assert pii.reconcile([(2, 0, 9), (2, 5, 14), (3, 12, 16)]) == [(2, 0, 14)]  # one kind is joined, of two the longer stays
     assert pii.tidy("x 5000677111630122 y", (2, 3, 18)) == (2, 2, 18) and pii.tidy("a, b.", (0, 0, 4)) is None
+    assert pii.settled("x 4111 1111 1111 1111", (3, 2, 21)) == (2, 2, 21) and pii.settled("x 4111 1111 1111 1112", (3, 2, 21)) is None
     assert not pii.plausible(2, "5000677111630122") and pii.plausible(2, "4111/1111/1111/1111") and not pii.plausible(1, "203.0.113.256") and not pii.plausible(3, "12345678901")
 
 
