@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import dropped, written
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -22,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     low = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
@@ -31,15 +31,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of the links ``u, v`` (longs); component: the smallest node.
 
-    Each round moves all links towards smaller nodes (two joins of link-sized tables) and writes
-    a checkpoint; links halve in length, so rounds grow with the logarithm of the longest chain.
-    They end when all links are stars. An empty link table gives an empty result.
+    Each round moves all links towards smaller nodes (two joins of link-sized tables) and writes them
+    as a table in the shared folder, which takes as many tasks to read as its size asks for; the one
+    before goes. Links halve in length, so rounds grow with the logarithm of the longest chain. They
+    end when all links are stars. An empty link table gives an empty result.
     """
-    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    edges, at = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
         if _settled(edges):
             break
-        edges = checkpointed(_small_star(_large_star(edges)))
+        before = at
+        edges, at = written(_small_star(_large_star(edges)))
+        dropped(edges.sparkSession, before)
     else:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
