@@ -10,9 +10,9 @@ from .common import dropped, written
 
 def _settled(edges: DataFrame) -> bool:
     """Are the links stars: every node has one smaller node that has none, or has none itself?"""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
-    per_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
-    return per_node.where("up > 1 or (up > 0 and n > up)").isEmpty()
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("up")).union(edges.select("v", F.lit(None)))
+    per_node = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.bool_or(F.col("up").isNull()).alias("below"))
+    return per_node.where("low < high or (low is not null and below)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Links may repeat: there are never more than before, and those to a node's smallest neighbour come out once."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     low = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(low.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
