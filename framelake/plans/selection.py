@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import projections as P
 from ..operators import selection as S
 from ..operators import windows as W
 from .registry import Entry
@@ -25,7 +28,25 @@ def _sets(t):
     return s.where("user_id % 2 = 0").drop("user_id"), s.where("user_id % 2 = 1").drop("user_id")
 
 
+#: A picture chain: every other picture, mirrored, two columns and a line cut off, pictures counted anew.
+PICTURE_CHAIN = [
+    partial(P.frame_skip, k=1),
+    partial(P.hflip, width=8),
+    partial(P.crop, left=2, top=1, right=0, bottom=0, width=8, height=8),
+    partial(P.seek, n=4),
+]
+
+
 ENTRIES = {
+    "ud01_picture_chain": Entry(
+        lambda t: S.chain(t("m_pixels").select("frame_no", "x", "y", "v"), PICTURE_CHAIN).withColumn("v", F.col("v").cast("long")),
+        "select frame_no - 4 as frame_no, 5 - x as x, y - 1 as y, cast(v as bigint) as v from {m_pixels} where frame_no % 2 = 0 and x <= 5 and y >= 1 and frame_no >= 4",
+    ),
+    "ud01_packet_chain": Entry(
+        lambda t: S.chain(t("m_frame_log").select("stream_id", F.col("i").alias("frame_no"), "bits"), [partial(P.select_every, step=4, offsets=[1, 3]), partial(S.frame_range, seek=2, n=6, order="out_no")]),
+        """with k as (select stream_id, i as frame_no, bits, i // 4 * 2 + case i % 4 when 3 then 1 else 0 end as out_no from {m_frame_log} where i % 4 in (1, 3))
+select stream_id, frame_no, bits, out_no from k qualify row_number() over (partition by stream_id order by out_no) between 3 and 8""",
+    ),
     "so01_sort_rates": Entry(
         lambda t: S.sort_rates(W.default_rates(t("m_frame_log"))),
         "select stream_id, cast(floor(avg(bits) * (1 + k / 4.0)) as bigint) as rate from {m_frame_log}, (select unnest(range(4)) as k) group by stream_id, k order by rate",
