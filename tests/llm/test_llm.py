@@ -887,6 +887,13 @@ def test_packing(spark, odd_rows):
     assert packing.pack(packing.pieces(docs_of(spark, []), packing.word_encoder(TOKENIZER))).count() == 0
 
 
+def test_words_are_cut_from_one_string():
+    """Empty words, none at all, words of any letters, slices."""
+    words = pa.array(["", "a", "\u00e9\x85", "", "\U0001f600", "b\tc", ""], pa.large_string())
+    for some in (words, words[:0], words[:1], words[2:5]):
+        assert packing._strings(some) == some.to_pylist()
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offsets, fills = packing.best_fit(np.array([5, 7, 3, 2, 3]), 10)
     assert fills.tolist() == [10, 10] and bins.tolist() == [1, 0, 0, 1, 1] and offsets.tolist() == [0, 0, 7, 8, 5]
