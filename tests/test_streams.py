@@ -1,5 +1,7 @@
 """Streams run to the end over split input must give what their batch twins give."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,20 @@ def test_av_join(spark, tmp_path, few):
     assert {(r.file, r.video_pos, r.audio_pos) for r in spark.table("av").collect()} == batch
 
 
+def test_av_join_compares_slots_not_whole_files(spark):
+    """Packets meet by more than their file, and the pairs are those of all by all: on borders, before 1970, for no and for odd tolerances."""
+    micros = [(k * 1_800_000_000) + d for k in range(-30, 30) for d in (0, 1, 1_799_999_999)]
+    rows = [(k % 2, at, k) for k, at in enumerate(micros)] + [(0, None, -1)]
+    packets = spark.createDataFrame(rows, "file long, us long, pos long").selectExpr("file", "timestamp_micros(us) as ts", "pos")
+    for tolerance, seconds in (("2 hours", 7200), ("30 minutes", 1800), ("0 seconds", 0), ("1 day 1 second", 86401), ("7 milliseconds", 0.007)):
+        joined = windows.av_join_stream(packets, packets, tolerance)
+        got = sorted((r.file, r.video_pos, r.audio_pos) for r in joined.collect())
+        assert got == sorted((a % 2, a, b) for a in range(len(micros)) for b in range(a % 2, len(micros), 2) if abs(micros[a] - micros[b]) <= round(seconds * 1e6))
+        assert joined.columns == ["file", "video_ts", "video_pos", "audio_ts", "audio_pos"]
+    keys = re.findall(r"Join \[([^\]]*)\]", joined._jdf.queryExecution().sparkPlan().toString())
+    assert keys and all(len(k.split(",")) > 1 for k in keys), keys
+
+
 def test_start_code_table_function(spark):
     windows.start_codes(spark)
     df = spark.createDataFrame([(1, b"\0\0\1a\0\0\0\1b"), (2, b"none"), (3, None)], "k long, data binary")
