@@ -6,6 +6,7 @@ many tasks. Everything is read through Spark's own readers: any path that Spark
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -324,12 +325,42 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Bytes of a chunk of a text that is read in chunks.
+TEXT_BYTES = 1 << 20
+
+
+def timecodes(chunks: DataFrame) -> DataFrame:
+    """``file, frame_no, ms`` of timecode files in chunks (file, chunk_no, data): a number a line after the header. Chunks
+    of a file meet as bytes, in order; a line that a border cuts waits for its rest, so no file is held whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, rest, n = None, b"", 0
+
+        def numbers(lines: list[bytes]) -> pa.RecordBatch:
+            nonlocal n
+            ms = [float(line) for line in (line.strip(b" ") for line in lines) if re.fullmatch(rb"[\d.]+\r?", line)]
+            n += len(ms)
+            return pa.RecordBatch.from_arrays([pa.array([file] * len(ms), pa.string()), pa.array(range(n - len(ms), n), pa.int64()), pa.array(ms, pa.float64())], names=["file", "frame_no", "ms"])
+
+        for b in batches:
+            for name, data in zip(b.column("file").to_pylist(), b.column("data").to_pylist(), strict=True):
+                if name != file:
+                    if rest:
+                        yield numbers([rest])
+                    file, rest, n = name, b"", 0
+                *lines, rest = (rest + data).split(b"\n")
+                if lines:
+                    yield numbers([line.removesuffix(b"\r") for line in lines])
+        if rest:
+            yield numbers([rest])
+
+    ordered = chunks.select("file", "chunk_no", "data").repartition("file").sortWithinPartitions("file", "chunk_no")
+    return ordered.mapInArrow(run, "file string, frame_no long, ms double")
+
+
 def read_timecodes(spark: SparkSession, path: str) -> DataFrame:
     """``file, frame_no, ms`` of timecode files: a number a line after the header."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    kept = rows.where(F.trim("line").rlike(r"^[\d.]+$"))
-    n = F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1
-    return kept.select("file", n.cast("long").alias("frame_no"), F.trim("line").cast("double").alias("ms"))
+    return timecodes(read_chunks(spark, path, TEXT_BYTES))
 
 
 def trace_blocks(lines: DataFrame, names: list[str]) -> DataFrame:

@@ -221,7 +221,7 @@ def test_many_short_streams_are_read_together(spark, tmp_path):
     """A stream is a folder: short ones share tasks, and a long one beside them is still cut."""
     from framelake.sources import byte_streams
 
-    want = {f"s{k}": b"%d" % k * (k % 9) for k in range(400)} | {"long": R.randbytes(3 << 20)}
+    want = {f"s{k}": b"%d" % k * (k % 9) for k in range(400)} | {"long": R.randbytes(60 << 10)}
     units = spark.createDataFrame([(f, p, d[p : p + 5000]) for f, d in want.items() for p in range(0, max(1, len(d)), 5000)], "file string, pos long, data binary")
     path = str(tmp_path / "streams")
     sinks.write_units(units, path)
@@ -232,12 +232,24 @@ def test_many_short_streams_are_read_together(spark, tmp_path):
         assert r.offset == 7 * r.chunk_no == len(got.get(r.file, b""))
         got[r.file] = got.get(r.file, b"") + bytes(r.data)
     assert got == {f: d for f, d in want.items() if d}
-    reader = byte_streams.ByteStreamReader(path, 1024, 1 << 20)
+    reader = byte_streams.ByteStreamReader(path, 1024, 20 << 10)
     assert len([p for p in reader.partitions() if any(s.file == "long" for s in p.stretches)]) == 3
     reader = byte_streams.ByteStreamReader(path, 7, 1 << 30)
     assert max(b.num_rows for p in reader.partitions() for b in reader.read(p)) <= byte_streams.BATCH_ROWS
 
 
+@pytest.mark.parametrize("size", [1, 5, 1 << 20])
+def test_timecodes_in_chunks(spark, size):
+    """Lines that borders cut, ends of lines of both kinds, none at the end, other lines; an empty file."""
+    texts = {"a": "# timecode format v2\n0.000\n40.125\r\n 80 \n\nx\n120", "b": "7\n" * 9, "c": "", "d": "1\r", "e": "5.5"}
+    chunks = [(f, k, t.encode()[p : p + size]) for f, t in texts.items() for k, p in enumerate(range(0, len(t), size))]
+    got = {}
+    for r in media.timecodes(spark.createDataFrame(chunks[::-1], "file string, chunk_no long, data binary")).orderBy("file", "frame_no").collect():
+        assert r.frame_no == len(got.setdefault(r.file, []))
+        got[r.file].append(r.ms)
+    assert got == {"a": [0.0, 40.125, 80.0, 120.0], "b": [7.0] * 9, "d": [1.0], "e": [5.5]}
+
+
 def test_a_failed_write_leaves_no_parts(spark, tmp_path):
     from pyspark.errors import PySparkException
 
