@@ -6,6 +6,7 @@ many tasks. Everything is read through Spark's own readers: any path that Spark
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import idiv, nal_header_fields
 from ..operators.folds import fold_in_order
-from .records import SPLIT_BYTES, RecordSource
+from .records import BATCH_BYTES, SPLIT_BYTES, RecordSource
 
 #: Bytes and number types of sample formats.
 SAMPLES = {"u8": (1, "u1"), "s16le": (2, "<i2"), "s32le": (4, "<i4"), "f32le": (4, "<f4"), "f64le": (8, "<f8"), "s16be": (2, ">i2"), "s32be": (4, ">i4"), "f32be": (4, ">f4"), "f64be": (8, ">f8")}
@@ -37,7 +38,7 @@ def media_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Larger files are read in byte ranges by many tasks.
-SPLIT_ABOVE = 256 << 20
+SPLIT_ABOVE = 16 << 20
 
 
 def _records(spark: SparkSession, path: str, size: int, split_above: int | None = None, split_bytes: int = SPLIT_BYTES, overlap: int = 0) -> DataFrame:
@@ -50,7 +51,7 @@ def _records(spark: SparkSession, path: str, size: int, split_above: int | None
     files = spark.read.format("binaryFile").load(path)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, (8 << 20) // size)
+        step = max(1, BATCH_BYTES // (size + overlap))
         for b in batches:
             for file, content in zip(b["file"], b["content"], strict=True):
                 n = -(-len(content) // size)
@@ -61,9 +62,10 @@ def _records(spark: SparkSession, path: str, size: int, split_above: int | None
     schema = "file string, record long, data binary"
     found = files.where(F.col("length") <= limit).select(F.col("path").alias("file"), "content").mapInPandas(cut, schema)
     spark.dataSource.register(RecordSource)
-    for (file,) in files.where(F.col("length") > limit).select("path").collect():  # names of very large files only
-        ranges = spark.read.format("fixed_records").option("path", file).option("record_size", size).option("split_bytes", split_bytes).option("overlap", overlap).load()
-        found = found.unionByName(ranges.withColumn("file", F.lit(file)))
+    large = sorted(file for (file,) in files.where(F.col("length") > limit).select("path").collect())  # names only
+    if large:
+        ranges = spark.read.format("fixed_records").option("paths", json.dumps(large)).option("record_size", size).option("split_bytes", split_bytes).option("overlap", overlap).load()
+        found = found.unionByName(ranges)
     return found
 
 
@@ -198,6 +200,8 @@ def scan_start_codes(chunks: DataFrame, by: str = "file") -> DataFrame:
 RTP_DUMP_SCHEMA = "file string, n long, time int, packet binary, torn boolean"
 #: The largest packet of a dump (a longer one is corruption), and bytes of a record's head.
 MAX_PACKET, HEAD = 65508, 8
+#: Bytes that are read at once, about: the ranges of a block share what follows it.
+BLOCK_BYTES = 1 << 20
 #: Where a chain of records ends, torn or not.
 ENDED = 1 << 62
 
@@ -231,27 +235,31 @@ def read_rtp_dump(spark: SparkSession, path: str, range_bytes: int = 1 << 20, sp
 
     The chain of lengths is followed in ranges of bytes side by side: a range tries every place of its first bytes at which
     a record may start, and tells where each chain leaves it; the chains are joined end to start per file, from one
-    short row per range; then each range reads the records of the one true chain.
+    short row per range; then the records of the one true chain are read. Bytes are read in blocks of ranges.
     """
     reach = MAX_PACKET + HEAD
     if range_bytes < 1:
         raise ValueError("range_bytes must be positive")
-    ranges = _records(spark, path, range_bytes, split_above, overlap=reach)
+    per = max(1, BLOCK_BYTES // range_bytes)
+    block_bytes = per * range_bytes
+    blocks = _records(spark, path, block_bytes, split_above, overlap=reach)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for file, k, value in zip(b.column("file").to_pylist(), b.column("record").to_pylist(), b.column("data"), strict=True):
-                data = np.frombuffer(value.as_buffer(), np.uint8)
-                places, jump, count = _chains(data, range_bytes)
-                first = places < (1 if k == 0 else reach)
-                start = k * range_bytes
-                rows.append((file, k, [k, *np.column_stack([places + start, np.where(jump == ENDED, ENDED, jump + start), count])[first].ravel().tolist()]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["file", "record", "entries"])
+            for file, block, value in zip(b.column("file").to_pylist(), b.column("record").to_pylist(), b.column("data"), strict=True):
+                whole, rows = np.frombuffer(value.as_buffer(), np.uint8), []
+                for k in range(block * per, block * per + min(per, -(-len(whole) // range_bytes))):
+                    start = k * range_bytes
+                    data = whole[start - block * block_bytes :][: range_bytes + reach]
+                    places, jump, count = _chains(data, range_bytes)
+                    first = places < (1 if k == 0 else reach)
+                    rows.append(np.column_stack([places + start, np.where(jump == ENDED, ENDED, jump + start), count])[first].astype(np.int64).tobytes())
+                numbers = range(block * per, block * per + len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(numbers, pa.int64()), pa.array(numbers, pa.int64()), pa.array(rows, pa.binary())], names=["file", "record", "k", "entries"])
 
     def step(state: list, row: tuple) -> tuple[list, tuple]:
         """State: the place at which the next record starts, and the records before it."""
-        k, table = row[0][0], np.array(row[0][1:], np.int64).reshape(-1, 3)
+        k, table = row[0], np.frombuffer(row[1], np.int64).reshape(-1, 3)
         at, n = state
         if not k * range_bytes <= at < (k + 1) * range_bytes:
             return state, ([ENDED, n],)
@@ -260,14 +268,15 @@ def read_rtp_dump(spark: SparkSession, path: str, range_bytes: int = 1 << 20, sp
             return [ENDED, n + 1], (state,)
         return [int(table[found, 1]), n + int(table[found, 2])], (state,)
 
-    chained = fold_in_order(ranges.mapInArrow(entries, "file string, record long, entries array<long>"), "file", "record", [0, 0], step, "state array<long>")
-    starts = chained.where(F.col("state")[0] < ENDED)
+    chained = fold_in_order(blocks.mapInArrow(entries, "file string, record long, k long, entries binary"), "file", "record", [0, 0], step, "state array<long>")
+    # the first record of a block leads to all that start in it
+    starts = chained.where(F.col("state")[0] < ENDED).groupBy("file", idiv(F.col("record"), per).alias("record")).agg(F.min("state").alias("state"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, k, value, (at, n) in zip(b.column("file").to_pylist(), b.column("record").to_pylist(), b.column("data"), b.column("state").to_pylist(), strict=True):
-                data, at, rows = value.as_py(), at - k * range_bytes, []
-                while at < min(range_bytes, len(data)):
+                data, at, rows = value.as_py(), at - k * block_bytes, []
+                while at < min(block_bytes, len(data)):
                     size, time = struct.unpack_from("<Ii", data, at) if at + HEAD <= len(data) else (None, None)
                     torn = size is None or size > MAX_PACKET or at + HEAD + size > len(data)
                     packet = data[at:] if size is None else data[at + HEAD : at + HEAD + min(size, reach)]
@@ -278,7 +287,7 @@ def read_rtp_dump(spark: SparkSession, path: str, range_bytes: int = 1 << 20, sp
                     names=["file", "n", "time", "packet", "torn"],
                 )
 
-    return ranges.join(starts, ["file", "record"]).select("file", "record", "data", "state").mapInArrow(read, RTP_DUMP_SCHEMA)
+    return blocks.join(starts, ["file", "record"]).select("file", "record", "data", "state").mapInArrow(read, RTP_DUMP_SCHEMA)
 
 
 def session_lines(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ Files are opened by pyarrow's file systems (local, object stores, HDFS). The las
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,8 @@ def _opened(uri: str):
     """File system and path of a path or URI (Spark writes ``file:/x`` for ``file:///x``)."""
     from pyarrow import fs
 
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
+    if uri.startswith("file:/"):  # names are as they are, not escaped
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     if "://" in uri:
         return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), uri
@@ -40,29 +41,30 @@ class Range(InputPartition):
 
 
 class RecordReader(DataSourceReader):
-    def __init__(self, path: str, size: int, split: int, overlap: int = 0) -> None:
+    def __init__(self, paths: list[str], size: int, split: int, overlap: int = 0) -> None:
         if size <= 0:
             raise ValueError("record_size must be positive")
-        self.path, self.size, self.split, self.overlap = path, size, max(1, split // size), overlap
+        self.paths, self.size, self.split, self.overlap = paths, size, max(1, split // size), overlap
 
     def partitions(self) -> list[Range]:
         from pyarrow import fs
 
-        system, path = _opened(self.path)
-        info = system.get_file_info(path)
-        if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        files = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file]
-        prefix = self.path.removesuffix(path) if info.is_file else self.path.rstrip("/")[: len(self.path.rstrip("/")) - len(path.rstrip("/"))]
         found = []
-        for f in sorted(files, key=lambda f: f.path):
-            n = -(-f.size // self.size)
-            found += [Range(prefix + f.path, first, min(self.split, n - first)) for first in range(0, n, self.split)]
+        for given in self.paths:
+            system, path = _opened(given)
+            info = system.get_file_info(path)
+            if info.type == fs.FileType.NotFound:
+                raise FileNotFoundError(given)
+            files = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file]
+            prefix = given.removesuffix(path) if info.is_file else given.rstrip("/")[: len(given.rstrip("/")) - len(path.rstrip("/"))]
+            for f in sorted(files, key=lambda f: f.path):
+                n = -(-f.size // self.size)
+                found += [Range(prefix + f.path, first, min(self.split, n - first)) for first in range(0, n, self.split)]
         return found
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         system, path = _opened(part.file)
-        step = max(1, BATCH_BYTES // self.size)
+        step = max(1, BATCH_BYTES // (self.size + self.overlap))
         with system.open_input_file(path) as f:
             for first in range(part.first, part.first + part.count, step):
                 n = min(step, part.first + part.count - first)
@@ -73,8 +75,8 @@ class RecordReader(DataSourceReader):
 
 
 class RecordSource(DataSource):
-    """Options: ``path`` (a file or a folder), ``record_size``, ``split_bytes``, ``overlap``: further bytes behind a
-    record that are read with it."""
+    """Options: ``path`` (a file or a folder) or ``paths`` (a JSON list of them), ``record_size``, ``split_bytes``,
+    ``overlap``: further bytes behind a record that are read with it."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,4 +86,5 @@ class RecordSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RecordReader:
-        return RecordReader(self.options["path"], int(self.options["record_size"]), int(self.options.get("split_bytes", SPLIT_BYTES)), int(self.options.get("overlap", 0)))
+        paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
+        return RecordReader(paths, int(self.options["record_size"]), int(self.options.get("split_bytes", SPLIT_BYTES)), int(self.options.get("overlap", 0)))

@@ -137,6 +137,30 @@ def test_rtp_dump_in_ranges(spark, tmp_path, ranged):
         assert sorted(got.get(name, [])) == loop_dump(content), name
 
 
+def test_what_is_read_at_once_is_bounded(spark, tmp_path):
+    """Short records with a long overlap come in batches of few bytes, and a file of some size is not one row."""
+    from framelake.sources import records
+
+    (tmp_path / "100%25.bin").write_bytes(bytes(20 << 20))
+    reader = records.RecordSource({"path": str(tmp_path), "record_size": "4096", "overlap": "65516"}).reader(None)
+    assert max(b.nbytes for p in reader.partitions()[:1] for _, b in zip(range(3), reader.read(p))) < 9 << 20
+    rows = media._records(spark, str(tmp_path / "*.bin"), 1 << 20)
+    assert (rows.count(), rows.select("file").distinct().count()) == (20, 1)
+    assert "BatchScan fixed_records" in rows._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_rtp_dump_of_several_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK_BYTES", 5000)
+    data = b"".join(struct.pack("<Ii", len(p), 7) + p for p in (R.choice([bytes(R.randrange(300)), R.randbytes(R.randrange(9000))]) for _ in range(60)))
+    files = {"whole": data, "torn": data[:-1], "bad": data + struct.pack("<Ii", 1 << 31, 7) + data}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {}
+    for r in media.read_rtp_dump(spark, str(tmp_path), 700).collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.n, r.time, bytes(r.packet), r.torn))
+    assert {name: sorted(rows) for name, rows in got.items()} == {name: loop_dump(content) for name, content in files.items()}
+
+
 SESSION = """v=0
 s=-
 a=group:BUNDLE 0 1
