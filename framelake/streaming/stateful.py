@@ -6,6 +6,7 @@ Each processor keeps a few values or a bounded list per key; the batch twins are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -206,49 +207,63 @@ def interleave_stream(packets: DataFrame, delay: str = "10 seconds", slot_ms: in
     )
 
 
+#: Groups that files are dealt to: files of a group share a call and a state, since each of these has its price.
+GROUPS = 1024
+
+
 class UnitScanner(StatefulProcessor):
-    """Units of a byte stream that comes in chunks. Between chunks a file keeps its last three bytes, where its open
-    unit began, and where the last byte that is not zero ended; a unit goes out when the next start code or the last
-    chunk closes it."""
+    """Units of byte streams that come in chunks, for a group of files. Between chunks a file keeps its last three bytes,
+    where its open unit began, and where the last byte that is not zero ended; a unit goes out when the next start code
+    or the last chunk closes it. A group's open files are one row of arrays."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("open", "offset long, tail binary, pos long, code int, head int, used long")
+        self.state = handle.getValueState("open", "file array<string>, offset array<long>, tail array<binary>, pos array<long>, code array<int>, head array<int>, used array<long>")
+
+    @staticmethod
+    def scan(state: tuple, data: bytes, last: bool, out: list) -> tuple:
+        """State of a file behind ``data``; its units go to ``out``."""
+        offset, tail, pos, code, head, used = state
+        if pos == offset and head is None and data:
+            head = data[0]
+        whole, base, seen = tail + data, offset - len(tail), 0
+        at = whole.find(b"\0\0\1")
+        while at >= 0:
+            if base + at + 2 >= offset:  # the 01 is new
+                fresh = 4 if at > 0 and whole[at - 1] == 0 else 3
+                end = at + 3 - fresh
+                kept = len(whole[seen:end].rstrip(b"\0"))
+                used = base + seen + kept if kept else used
+                if pos is not None:
+                    out.append((pos, code, base + end - max(used, pos), base + end - pos, head))
+                pos, code, head = base + at + 3, fresh, whole[at + 3] if at + 3 < len(whole) else None
+                seen, used = at + 3, pos
+            at = whole.find(b"\0\0\1", at + 1)
+        kept = len(whole[seen:].rstrip(b"\0"))
+        used = max(used, base + seen + kept) if kept else used
+        offset, tail = offset + len(data), whole[-3:]
+        if last and pos is not None:
+            out.append((pos, code, offset - max(used, pos), offset - pos, head))
+        return offset, tail, pos, code, head, used
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        part = _joined(rows).sort_values("chunk_no")
-        offset, tail, pos, code, head, used = self.state.get() if self.state.exists() else (0, b"", None, None, None, 0)
-        out, ended = [], False
-        for data, last in zip(part["data"], part["last"], strict=True):
-            data = bytes(data)
-            if pos == offset and head is None and data:
-                head = data[0]
-            whole, base, seen = bytes(tail) + data, offset - len(tail), 0
-            at = whole.find(b"\0\0\1")
-            while at >= 0:
-                if base + at + 2 >= offset:  # the 01 is new
-                    fresh = 4 if at > 0 and whole[at - 1] == 0 else 3
-                    end = at + 3 - fresh
-                    kept = len(whole[seen:end].rstrip(b"\0"))
-                    used = base + seen + kept if kept else used
-                    if pos is not None:
-                        out.append((pos, code, base + end - max(used, pos), base + end - pos, head))
-                    pos, code, head = base + at + 3, fresh, whole[at + 3] if at + 3 < len(whole) else None
-                    seen, used = at + 3, pos
-                at = whole.find(b"\0\0\1", at + 1)
-            kept = len(whole[seen:].rstrip(b"\0"))
-            used = max(used, base + seen + kept) if kept else used
-            offset, tail = offset + len(data), whole[-3:]
-            if last:
-                if pos is not None:
-                    out.append((pos, code, offset - max(used, pos), offset - pos, head))
-                ended = True
-        if ended:
+        part = _joined(rows).sort_values(["file", "chunk_no"])
+        held = self.state.get()
+        states = {f: (o, bytes(t), *rest) for f, o, t, *rest in zip(*held, strict=True)} if held else {}
+        files, out = [], []
+        for file, chunks in groupby(zip(part["file"], part["data"], part["last"], strict=True), key=lambda row: row[0]):
+            data, last = zip(*((bytes(d), e) for _, d, e in chunks), strict=True)
+            state = self.scan(states.pop(file, (0, b"", None, None, None, 0)), b"".join(data), any(last), out)
+            files += [file] * (len(out) - len(files))
+            if not any(last):
+                states[file] = state
+        if states:
+            self.state.update(tuple(map(list, zip(*((f, *x) for f, x in states.items()), strict=True))))
+        elif held:
             self.state.clear()
-        else:
-            self.state.update((offset, tail, pos, code, head, used))
-        found = {c: [r[k] for r in out] for k, c in enumerate(("pos", "start_code_len", "zeros", "length", "b0"))}
-        made = pd.DataFrame({"file": key[0], **found}).astype({"b0": "Int64"})
-        yield made.assign(length=made["length"] - made["zeros"])
+        if out:
+            found = {c: [r[k] for r in out] for k, c in enumerate(("pos", "start_code_len", "zeros", "length", "b0"))}
+            made = pd.DataFrame({"file": files, **found}).astype({"b0": "Int64"})
+            yield made.assign(length=made["length"] - made["zeros"])
 
     def close(self) -> None:
         pass
@@ -257,7 +272,8 @@ class UnitScanner(StatefulProcessor):
 def scan_stream(chunks: DataFrame) -> DataFrame:
     """Units of byte streams as ``scan_start_codes`` finds them, from a stream of chunks (file, chunk_no, data, last):
     chunks of a file come in order, and ``last`` marks the one that ends it and flushes its open unit."""
-    found = chunks.select("file", "chunk_no", "data", "last").groupBy("file").transformWithStateInPandas(
+    dealt = chunks.select(F.pmod(F.xxhash64("file"), F.lit(GROUPS)).alias("group"), "file", "chunk_no", "data", "last")
+    found = dealt.groupBy("group").transformWithStateInPandas(
         statefulProcessor=UnitScanner(), outputStructType="file string, pos long, start_code_len int, zeros long, length long, b0 long", outputMode="Append", timeMode="None"
     )
     return found.select("*", nal_header_fields(F.col("b0")).alias("h")).select("file", "pos", "start_code_len", "zeros", "length", "h.*")

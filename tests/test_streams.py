@@ -1,5 +1,6 @@
 """Streams run to the end over split input must give what their batch twins give."""
 
+import random
 import re
 
 import pytest
@@ -121,6 +122,32 @@ def test_av_join_compares_slots_not_whole_files(spark):
     assert keys and all(len(k.split(",")) > 1 for k in keys), keys
 
 
+def test_scan_stream_shares_state_between_files(spark, tmp_path, monkeypatch):
+    """Files of a group share a state; units that straddle micro-batches, and files that end in different ones, equal the batch scan."""
+    from framelake.sources import media
+
+    monkeypatch.setattr(stateful, "GROUPS", 4, raising=False)
+    rnd = random.Random(5)
+    rows = []
+    for f in range(60):
+        data = b"".join(rnd.choice([b"\0", b"\0\0\1", b"\0\0\0\1", b"ab", b"\7"]) for _ in range(rnd.randrange(1, 40)))
+        cuts = sorted(rnd.choices(range(len(data) + 1), k=rnd.randrange(5)))
+        ends = list(zip([0, *cuts], [*cuts, len(data)]))
+        start, many = rnd.randrange(3), len(ends)
+        rows += [(f"f{f}", k, a, data[a:b], k == many - 1, min(2, start + k * 3 // many)) for k, (a, b) in enumerate(ends)]
+    df = spark.createDataFrame(rows, "file string, chunk_no long, offset long, data binary, last boolean, piece int")
+    for k in range(3):
+        df.where(F.col("piece") == k).drop("offset", "piece").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = stateful.scan_stream(windows.ingest(spark, str(tmp_path / "in"), df.drop("offset", "piece").schema))
+    progress = windows.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    held = [s["numRowsTotal"] for p in progress for s in p["stateOperators"]]
+    assert len(held) >= 3 and 0 < max(held) <= 4 and held[-1] == 0, held
+    cols = ["file", "pos", "start_code_len", "zeros", "length", "nal_type"]
+    want = media.scan_start_codes(df.drop("last", "piece")).select(cols).collect()
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).select(cols).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 100
+
+
 def test_start_code_table_function(spark):
     windows.start_codes(spark)
     df = spark.createDataFrame([(1, b"\0\0\1a\0\0\0\1b"), (2, b"none"), (3, None)], "k long, data binary")
