@@ -1,7 +1,7 @@
 """Sources of media material: raw frames and samples, byte streams, RTP dumps, sessions, logs.
 
 Files of fixed-size records are split into ranges of whole records, so one large file is read by
-many tasks. Everything is read through Spark's own readers: any path that Spark opens will do.
+many tasks. Small files are read through Spark's own readers; those above ``SPLIT_ABOVE`` in ranges, by pyarrow's file systems.
 """
 
 from __future__ import annotations
